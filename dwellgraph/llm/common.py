@@ -73,16 +73,16 @@ class WordHashes(dict):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.limit:
             self.clear()
         self[word] = value
         return value
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -95,3 +95,16 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(n_eff):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n_eff + 1 + i])
     return out
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+_PLAIN = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """The lower-cased text's runs of ASCII letters and digits and of other than ASCII, as UTF-8."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()

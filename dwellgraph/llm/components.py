@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import materialize
+from dwellgraph.llm.common import broadcast_if_small, materialize
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -17,23 +17,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates the large-star and small-star steps until the edge table stands still, which leaves each
     id linked to the smallest of its component. Every step is a grouped minimum (combined before the
-    shuffle) and an equi-join, which adaptive execution splits if one id has most of the links. Each
-    round is written to the shared folder. Null ends, loops and repeated edges have no effect; an empty
-    table gives an empty result. The smaller end of each edge must be the wanted representative order.
+    shuffle), written out, and an equi-join with it: broadcast if it is counted small, else a sort-merge
+    join that adaptive execution splits if one id has most of the links. Each round is written to the
+    shared folder. Null ends, loops and repeated edges have no effect; an empty table gives an empty
+    result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = materialize(e.where("u > v").distinct(), "cc")
+    e = materialize(e.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct(), "cc")
     stamp = _stamp(e)
     while stamp[0]:
-        # Large star: each neighbour above u is tied to the smallest neighbour of u.
+        # Large star: each neighbour above u is tied to the smallest neighbour of u (or u itself).
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # An edge (u > v) needs the minimum of its smaller end only: u is the neighbour above v.
-        large = e.withColumnsRenamed({"u": "w", "v": "u"}).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        # An edge (w > u) needs the minimum of its smaller end only: w is the neighbour above u.
+        tied = e.select(F.col("u").alias("w"), F.col("v").alias("u")).join(broadcast_if_small(materialize(least, "cc")), "u")
+        large = materialize(tied.select(F.col("w").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "cc")
         # Small star: u and its smaller neighbours are tied to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        small = large.join(broadcast_if_small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "cc")
         now = _stamp(e)
         if now == stamp:

@@ -3,18 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dwellgraph.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dwellgraph.llm.bpe import encode_documents, public_vocabulary
 
     return encode_documents(table(spark, sf_dir, "documents"), *public_vocabulary())
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm import toxicity as t
+
+    docs = table(spark, sf_dir, "documents")
+    weights = t.fit(t.learning_rows(docs, table(spark, sf_dir, "labels")))
+    scored = t.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", t.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm import language as x
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = x.profiles(docs.where(~x.held_out(F.col("doc_id"))))
+    return x.predict(docs.drop("lang"), known).select("doc_id", x.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_toxicity": op6_toxicity,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_language": op8_language,
 }
 
 #: DuckDB SQL where SQL can express the operator at the cost of whole tables.
