@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellgraph.llm import licenses
 from dwellgraph.llm.common import table
 
 
@@ -26,6 +27,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dwellgraph.llm import toxicity as t
 
@@ -49,14 +63,41 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.predict(docs.drop("lang"), known).select("doc_id", x.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
+    "op9_licenses": op9_licenses,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 #: DuckDB SQL where SQL can express the operator at the cost of whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_licenses": licenses.oracle_sql(),
+    "op4_warc": """
+with p as (select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) payload_bytes from pages),
+d as (select *, sha1(html) hex, min(page_id) over (partition by sha1(html)) first from p),
+n as (select *, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(hex, 10 * i + 1, 10))::BIGINT) parts from d)
+select page_id, payload_bytes::BIGINT payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((parts[(i // 8)::INT + 1] >> (35 - 5 * (i % 8))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') payload_digest,
+  case when page_id = first then 'response' else 'revisit' end record_type,
+  case when page_id <> first then first end refers_to
+from n""",
+}
