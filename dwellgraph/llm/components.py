@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from dwellgraph.llm.common import broadcast_if_small, materialize
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour at most, and none if it has larger ones."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) for every id with an edge to another id; component_id is the smallest id reachable.
 
-    Alternates the large-star and small-star steps until the edge table stands still, which leaves each
-    id linked to the smallest of its component. Every step is a grouped minimum (combined before the
+    Alternates the large-star and small-star steps until each id is linked to the smallest of its
+    component and to nothing else. Every step is a grouped minimum (combined before the
     shuffle), written out, and an equi-join with it: broadcast if it is counted small, else a sort-merge
     join that adaptive execution splits if one id has most of the links. Each round is written to the
     shared folder. Null ends, loops and repeated edges have no effect; an empty table gives an empty
@@ -24,8 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = materialize(e.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct(), "cc")
-    stamp = _stamp(e)
-    while stamp[0]:
+    while not _are_stars(e):
         # Large star: each neighbour above u is tied to the smallest neighbour of u (or u itself).
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -36,10 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(broadcast_if_small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "cc")
-        now = _stamp(e)
-        if now == stamp:
-            break
-        stamp = now
     leaves = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return leaves.union(roots)

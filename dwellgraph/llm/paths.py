@@ -12,61 +12,85 @@ from dwellgraph.llm.components import connected_components
 
 #: Buckets of so many members at most are compared exhaustively.
 LIMIT = 24
-#: Levels of branching after which what is left is compared whatever its size.
-DEPTH = 8
+#: So many members outside a bucket's largest component at most are compared with the whole bucket.
+FEW = 4
+#: Levels of branching.
+DEPTH = 6
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(node, id, cnt, pivot) of the buckets that hold two ids at least; pivot is the smallest id."""
+    """(node, id, cnt) of the buckets that hold two ids at least."""
     multi = materialize(rows.groupBy("node").agg(F.count("*").alias("cnt")).where("cnt > 1"), "nodes")
-    kept = materialize(rows.join(broadcast_if_small(multi), "node"), "nodes")
-    pivots = materialize(kept.groupBy("node").agg(F.min("id").alias("pivot")), "nodes")
-    return materialize(kept.join(broadcast_if_small(pivots), "node"), "nodes")
+    return materialize(rows.join(broadcast_if_small(multi), "node"), "nodes")
+
+
+def popular(rows: DataFrame) -> DataFrame:
+    """(node, pivot): of each bucket the member that meets most others over all buckets, from (node, id, cnt).
+
+    The middle of a group of near copies shares its buckets with most of them, so that one comparison
+    with it ties most of the group.
+    """
+    met = materialize(rows.groupBy("id").agg(F.sum("cnt").alias("met")), "met")
+    best = rows.join(broadcast_if_small(met), "id").groupBy("node").agg(F.max(F.struct("met", "id")).alias("best"))
+    return materialize(best.select("node", F.col("best.id").alias("pivot")), "pivots")
 
 
 def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """(id, component_id) of all ids with a confirmed link, from (node, id) rows of non-null values.
 
     verify keeps the pairs (a, b) that are links, by an exact test. Small buckets are compared
-    exhaustively. In a large one every member is compared with the pivot, which is linear; members that
-    the pivot ties together need no further comparison among themselves. A large bucket whose members
-    are then not all in one component is branched by branch(rows, level), which gives (node, id) rows of
-    finer buckets, and the same is done there. Buckets still open after the last level are compared
-    pair by pair across components, so no case is dropped.
+    exhaustively. In a large one every member is compared with a pivot, which is linear; members tied
+    together by then need no comparison among themselves. Where members are left outside the bucket's
+    largest component, they are compared with all others if they are few; else with one more pivot from
+    among them, and the bucket is branched: branch(rows, level) gives (node, id) rows of finer buckets.
+    In buckets still open at the last level, members of components that have FEW members there at most
+    are compared with the whole bucket, those of larger components through pivots.
     """
-    tested = found = labels = None
-    level = 0
-    while True:
-        nodes = shared_buckets(rows)
-        if labels is not None:
-            nodes = _labelled(nodes, labels)
-        small = nodes if level >= depth else nodes.where(F.col("cnt") <= limit)
-        columns = [F.col("id").alias("b"), "node"] + ([F.col("label").alias("lb")] if labels is not None else [])
-        near = small.withColumnRenamed("id", "a").join(small.select(*columns), "node").where("a < b")
-        if labels is not None:
-            near = near.where("label <> lb")
-        star = nodes.where((F.col("cnt") > limit) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        pairs = near.select("a", "b").union(star).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+    nodes = shared_buckets(rows)
+    small = nodes.where(F.col("cnt") <= limit)
+    near = small.select("node", F.col("id").alias("a")).join(small.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
+    wide = nodes.where(F.col("cnt") > limit)
+    star = wide.join(broadcast_if_small(popular(wide)), "node").where("id <> pivot")
+    tested = materialize(near.union(_ordered(star, "pivot", "id")).distinct(), "pairs")
+    if tested.isEmpty():
+        return tested.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
+    found = materialize(verify(tested), "edges")
+    labels = materialize(connected_components(found), "labels")
+    wide = wide.select("node", "id")
+    for level in range(1, depth + 1):
+        told = materialize(_labelled(wide, labels), "labelled")
+        groups = materialize(told.groupBy("node", "label").agg(F.count("*").alias("n")), "groups")
+        main = groups.groupBy("node").agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "label")).alias("main")).where("cnt > main.n")
+        main = materialize(main.select("node", "cnt", F.col("main.label").alias("main"), (F.col("cnt") - F.col("main.n")).alias("out")), "main")
+        if main.isEmpty():
+            break
+        here = told.join(broadcast_if_small(main), "node")
+        last = (F.col("out") <= FEW) | (F.col("cnt") <= limit)
+        outer = here.where("label <> main")
+        left = outer.where(last)
+        if level == depth:
+            lone = outer.where(~last).join(broadcast_if_small(groups.where(F.col("n") <= FEW)), ["node", "label"])
+            left = left.unionByName(lone.select(*left.columns))
+        left = left.select("node", F.col("id").alias("x"), F.col("label").alias("own"))
+        near = here.join(left, "node").where("label <> own")
+        rest = here.where(~last)
+        pivots = popular(outer.where(~last))
+        labelled_pivots = _labelled(pivots.select("node", F.col("pivot").alias("id")), labels).withColumnsRenamed({"id": "pivot", "label": "own"})
+        star = rest.join(broadcast_if_small(materialize(labelled_pivots, "pivots")), "node").where("label <> own")
+        pairs = _ordered(near, "x", "id").union(_ordered(star, "pivot", "id")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            edges = materialize(verify(pairs), "edges")
-            found = edges if found is None else found.union(edges)
+            tested = tested.union(pairs)
+            found = found.union(materialize(verify(pairs), "edges"))
             labels = materialize(connected_components(found), "labels")
-        if labels is None or level >= depth:
+        if level == depth or rest.isEmpty():
             break
-        wide = nodes.where(F.col("cnt") > limit).select("node", "id")
-        if wide.isEmpty():
-            break
-        wide = _labelled(wide, labels)
-        open_ = materialize(wide.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node"), "nodes")
-        if open_.isEmpty():
-            break
-        level += 1
-        rows = materialize(branch(wide.select("node", "id").join(broadcast_if_small(open_), "node"), level), "nodes")
-    return labels if labels is not None else rows.select("id", F.col("id").alias("component_id")).limit(0)
+        wide = shared_buckets(materialize(branch(rest.select("node", "id"), level), "nodes")).select("node", "id")
+    return labels
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
