@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +34,47 @@ TEMPLATES = {
 
 
 def _bigrams(words):
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def _units(text):
     """A text's lines, its paragraphs and itself, lower-cased, of a-z, 0-9, spaces and line feeds."""
-    plain = F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " ")
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9 \n]+", " ")
     return F.array_distinct(F.concat(F.split(plain, "\n"), F.split(plain, "\n *\n"), F.array(plain)))
 
 
+def telling_words(templates: dict[str, list[str]], percent: int) -> list[tuple[str, ...]]:
+    """Groups of words; every text with a unit that can match some template holds all words of a group.
+
+    A match may lack m - percent * m / (200 - percent) of a template's m bigrams at most. For each
+    template words are taken, long ones first, until a text without any of them lacks more than that;
+    where it lacks just so many, it must hold all the words that are left.
+    """
+    out: set[tuple[str, ...]] = set()
+    for t in sorted((t for texts in templates.values() for t in texts), key=len):
+        words = re.findall("[a-z0-9]+", t.lower())
+        left = list(zip(words, words[1:], strict=False))
+        slack = len(left) - -(-percent * len(left) // (200 - percent))
+        while slack >= 0 and left:
+            rest = {word for pair in left for word in pair}
+            word = min(rest, key=lambda x: ((x,) not in out or len(x) < 5, -min(len(x), 8), x))
+            if len(word) < 5 and slack == 0:
+                out.add(tuple(sorted(rest)))
+                break
+            out.add((word,))
+            slack -= sum(word in pair for pair in left)
+            left = [pair for pair in left if word not in pair]
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, *, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(key, license, dice) of the licences that a line, a paragraph or the whole of each text states.
 
-    dice is the greatest Dice coefficient of the sets of word bigrams of a unit and a template of the
+    dice is the greatest Dice coefficient of the bags of word bigrams of a unit and a template of the
     licence; only those of percent hundredths or more count. Words are runs of a-z and 0-9 after
-    lower-casing. Units whose number of bigrams no template can reach at that coefficient are passed over
-    before bigrams are made, and pairs with such sizes before they are counted. Units of fewer than two
+    lower-casing. Texts without any of the words that a match must hold, then units whose number of bigrams
+    no template can reach at that coefficient, are passed over before bigrams are made, and pairs with
+    such sizes before they are counted. Units of fewer than two
     words, null and empty texts match nothing. Rows with the same key are one document; a null key is one
     too. Several licences are several rows. Other columns are not looked at; an empty table or no
     templates give no rows. The templates are sent to the tasks: they are fixed, not grown from the data.
@@ -58,17 +86,19 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, *, text:
     known = known.select("template", "license", _bigrams(F.col("w")).alias("g")).withColumn("m", F.size("g"))
     sizes = [r.m for r in known.select("m").collect()] or [0]
     low, high = min(sizes) * percent / (200 - percent), max(sizes) * (200 - percent) / percent
-    index = known.select("template", "license", "m", F.explode("g").alias("gram"))
+    index = known.select("template", "license", "m", F.explode("g").alias("gram")).groupBy("template", "license", "m", "gram").agg(F.count("*").alias("times"))
 
-    units = docs.select(F.col(key), F.explode(_units(F.col(text))).alias("unit"))
-    words = units.select(key, "unit", F.filter(F.split("unit", "[ \n]+"), lambda x: x != "").alias("w"))
-    sized = words.where((F.size("w") - 1 >= F.lit(low)) & (F.size("w") >= 2))
-    # A set of bigrams may be smaller than their number, so the upper bound is tested on the set.
-    grams = sized.select(key, F.xxhash64("unit").alias("u"), _bigrams(F.col("w")).alias("g")).withColumn("n", F.size("g")).where(F.col("n").between(low, high))
+    words_of = lambda unit: F.filter(F.split(F.translate(unit, "\n", " "), " "), lambda x: x != "")
+    low_text = F.lower(F.col(text))
+    telling = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low_text, F.lit(x)) for x in group]) for group in telling_words(templates, percent)], F.lit(False))
+    words = docs.where(telling).select(F.col(key), F.explode(F.transform(_units(F.col(text)), words_of)).alias("w"))
+    sized = words.where(F.size("w").between(F.lit(max(2.0, low + 1)), F.lit(high + 1)))
+    grams = sized.select(key, F.monotonically_increasing_id().alias("u"), (F.size("w") - 1).alias("n"), _bigrams(F.col("w")).alias("g"))
     hits = grams.select(key, "u", "n", F.explode("g").alias("gram")).join(F.broadcast(index), "gram")
     fits = (percent * F.greatest("n", "m")) <= ((200 - percent) * F.least("n", "m"))
-    # One text may stand in several rows of one key: such rows count each bigram once.
-    both = hits.where(fits).groupBy(key, "u", "template", "license", "n", "m").agg(F.count_distinct("gram").alias("both"))
+    unit = ["u", "template", "license", "n", "m"]
+    both = hits.where(fits).groupBy(key, *unit, "gram", "times").agg(F.count("*").alias("here"))
+    both = both.groupBy(key, *unit).agg(F.sum(F.least("here", "times")).alias("both"))
     matched = both.where(200 * F.col("both") >= percent * (F.col("n") + F.col("m")))
     return matched.groupBy(key, "license").agg(F.max(F.round(2 * F.col("both") / (F.col("n") + F.col("m")), 6)).alias("dice"))
 
@@ -78,7 +108,7 @@ def oracle_sql(templates: dict[str, list[str]] = TEMPLATES, percent: int = PERCE
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     flat = [(name, t) for name, texts in sorted(templates.items()) for t in texts]
     values = ", ".join(f"({i}, {quote(n)}, {quote(t)})" for i, (n, t) in enumerate(flat))
-    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    grams = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
 with templates(template, license, t) as (values {values}),
 known as (select template, license, {grams} g from (select template, license, list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') w from templates)),
@@ -86,6 +116,7 @@ plain as (select doc_id, regexp_replace(lower(text), '[^a-z0-9\\n]+', ' ', 'g')
 units as (select distinct doc_id, unnest(list_concat(list_concat(string_split(p, chr(10)), regexp_split_to_array(p, '\\n *\\n')), [p])) u from plain),
 words as (select doc_id, u, list_filter(regexp_split_to_array(u, '[ \\n]+'), lambda x: x <> '') w from units),
 grams as (select doc_id, u, {grams} g from words where len(w) >= 2),
-hits as (select b.doc_id, b.u, k.template, k.license, b.n, k.m, count(*) c
-  from (select doc_id, u, len(g) n, unnest(g) gram from grams) b join (select template, license, len(g) m, unnest(g) gram from known) k using (gram) group by all)
+here as (select doc_id, u, n, gram, count(*) here from (select doc_id, u, len(g) n, unnest(g) gram from grams) group by all),
+there as (select template, license, m, gram, count(*) times from (select template, license, len(g) m, unnest(g) gram from known) group by all),
+hits as (select doc_id, u, template, license, n, m, sum(least(here, times)) c from here join there using (gram) group by all)
 select doc_id, license, max(round(2 * c / (n + m), 6)) dice from hits where 200 * c >= {percent} * (n + m) group by doc_id, license"""
