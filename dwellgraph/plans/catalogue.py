@@ -1,4 +1,394 @@
-"""The catalogue of registered queries with their SQL."""
+"""The catalogue of registered queries, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dwellgraph.functions import geo, text
+from dwellgraph.operators import duplicates, history, market, matching
+from dwellgraph.sources import listings as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+L = f"with l as ({src.LISTINGS_SQL}), a as (select * from l where is_active and enabled)"
+PROFILE = matching.Profile("NATION_3", 60_000, 180_000, (2, 3), ("1-URGENT", "2-HIGH"), ("5-LOW",), ("brick", "panel"), True, True)
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that are active, of a source that is enabled."""
+    return src.fixture_listings(spark, sf_dir).where("is_active and enabled")
+
+
+# Match
+
+SCORED = L + """, c as (select *,
+  case when price_uah < 60000 then greatest(55, round_even(90 - 100 * (60000 - price_uah) / 60000, 0)) when price_uah > 180000 then greatest(0, round_even(100 - 220 * (price_uah - 180000) / 180000, 0)) else 100 end::bigint s_price,
+  case when city <> 'NATION_3' then 0 when district = '5-LOW' then 0 when district in ('1-URGENT', '2-HIGH') then 100 else 55 end::bigint s_location,
+  case when rooms in (2, 3) then 100 when rooms in (1, 4) then 50 else 10 end::bigint s_rooms,
+  case when building_type in ('brick', 'panel') then 100 else 20 end::bigint s_property,
+  round_even((case when children_allowed then 100 when not children_allowed then 0 else 55 end + case when pets_allowed then 100 when not pets_allowed then 0 else 55 end) / 2, 0)::bigint s_preferences,
+  round_even(45 + 55 * ((total_area is not null)::int + (floor is not null)::int + 1 + (building_type <> '')::int + (heating_type <> '')::int) / 5, 0)::bigint s_quality
+  from a), m as (select *, round_even((s_price * 30 + s_location * 25 + s_rooms * 15 + s_property * 10 + s_preferences * 10 + s_quality * 10) / 100, 0)::bigint score, s_price > 0 and s_location > 0 eligible from c) """
+
+
+@query(SCORED + "select id, score, price_uah from m where eligible order by score desc, published_at desc, id limit 100")
+def match_topk(spark, d):
+    return matching.best(approved(spark, d), PROFILE, 100).select("id", "score", "price_uah")
+
+
+@query(SCORED + "select id, s_price, s_location, s_rooms, s_property, s_preferences, s_quality, score from m")
+def match_components(spark, d):
+    return matching.matched(approved(spark, d), PROFILE).select("id", *[f"s_{n}" for n in matching.WEIGHTS], "score")
+
+
+@query(SCORED + "select eligible, case when score >= 85 then 'excellent' when score >= 70 then 'good' when score >= 50 then 'fair' else 'weak' end band, count(*) n from m group by all")
+def match_eligibility_counts(spark, d):
+    band = F.when(F.col("score") >= 85, "excellent").when(F.col("score") >= 70, "good").when(F.col("score") >= 50, "fair").otherwise("weak")
+    return matching.matched(approved(spark, d), PROFILE).groupBy("eligible", band.alias("band")).agg(F.count("*").alias("n"))
+
+
+# Feeds, filters, joins
+
+
+@query(L + " select id, city, price_uah, rooms from a where lower(city) = 'nation_5' and rooms = 2 and price_uah between 50000 and 150000")
+def feed_filtered(spark, d):
+    return approved(spark, d).where((F.lower("city") == "nation_5") & (F.col("rooms") == 2) & F.col("price_uah").between(50_000, 150_000)).select("id", "city", "price_uah", "rooms")
+
+
+@query(L + " select id from a where (contains(lower(city), 'an') or contains(lower(district), 'an') or contains(lower(building_type), 'an')) and (contains(lower(city), 'high') or contains(lower(district), 'high') or contains(lower(building_type), 'high'))")
+def feed_search_terms(spark, d):
+    return approved(spark, d).where(text.contains_all("an HIGH", [F.col(c) for c in ("city", "district", "building_type")])).select("id")
+
+
+@query(L + " select id, published_at from a order by published_at desc, id limit 20 offset 40")
+def feed_page(spark, d):
+    return approved(spark, d).orderBy(F.desc("published_at"), "id").select("id", "published_at").offset(40).limit(20)
+
+
+@query(L + " select source_code, count(*) n, min(price_uah) low, max(price_uah) high from a group by source_code")
+def approved_by_source(spark, d):
+    return approved(spark, d).groupBy("source_code").agg(F.count("*").alias("n"), F.min("price_uah").alias("low"), F.max("price_uah").alias("high"))
+
+
+STATES = "s as (select distinct user_id % 20 as user_id, 1 + event_id % 15000 as id, event_type from events)"
+
+
+@query(L + f", {STATES} select id from a where not exists (select 1 from s where s.id = a.id and event_type = 'error')")
+def hidden_anti(spark, d):
+    hidden = table(spark, d, "events").where("event_type = 'error'").select((1 + F.col("event_id") % 15000).alias("id"))
+    return approved(spark, d).join(hidden, "id", "left_anti").select("id")
+
+
+@query(L + f", {STATES} select id from a where exists (select 1 from s where s.id = a.id and event_type in ('click', 'purchase'))")
+def favorites_semi(spark, d):
+    liked = table(spark, d, "events").where("event_type in ('click', 'purchase')").select((1 + F.col("event_id") % 15000).alias("id"))
+    return approved(spark, d).join(liked, "id", "left_semi").select("id")
+
+
+@query(L + f", {STATES} select (select count(*) from a) available, count(distinct case when event_type = 'click' then id end) favourites, count(distinct case when event_type = 'error' then id end) hidden, count(distinct case when event_type = 'view' then id end) compared from s")
+def dashboard_stats(spark, d):
+    states = table(spark, d, "events").select((1 + F.col("event_id") % 15000).alias("id"), "event_type")
+    of = lambda kind: F.count_distinct(F.when(F.col("event_type") == kind, F.col("id")))
+    counts = states.agg(of("click").alias("favourites"), of("error").alias("hidden"), of("view").alias("compared"))
+    return approved(spark, d).agg(F.count("*").alias("available")).join(counts, F.lit(True))
+
+
+@query(L + " select id, price_uah from a where id in (7, 3, 33, 5, 1, 2)")
+def fetch_by_ids(spark, d):
+    return approved(spark, d).where(F.col("id").isin(7, 3, 33, 5, 1, 2)).select("id", "price_uah")
+
+
+@query(L + " select id, case when published_at < (select max(published_at) from l) - interval 90 day then 'stale' else 'fresh' end state from l")
+def staleness(spark, d):
+    rows = src.fixture_listings(spark, d)
+    newest = rows.agg(F.max("published_at").alias("as_of"))
+    told = rows.join(F.broadcast(newest), F.lit(True))
+    return told.select("id", F.when(F.col("published_at") < F.expr("as_of - interval 90 days"), "stale").otherwise("fresh").alias("state"))
+
+
+# Ingest
+
+
+@query("""with o as (select o_orderkey id, sha256(o_orderstatus || chr(31) || o_orderpriority) h from orders where o_orderkey % 10 <> 0),
+n as (select o_orderkey id, sha256(case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end || chr(31) || o_orderpriority) h from orders where o_orderkey % 3 <> 0)
+select n.id, case when o.id is null then 'created' when o.h = n.h then 'unchanged' else 'updated' end status from n left join o on n.id = o.id""")
+def ingest_upsert_plan(spark, d):
+    rows = table(spark, d, "orders")
+    hashed = lambda df: df.select(F.col("o_orderkey").alias("id"), src.payload_hash(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("hash"))
+    changed = rows.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return src.ingest_plan(hashed(rows.where("o_orderkey % 10 <> 0")), hashed(changed), "id", "hash").select("id", "status")
+
+
+@query("""select event_id id, 'k' as key, (value is null or value < 0)::int bad_value, (event_type not in ('click', 'view', 'purchase'))::int bad_type from events where value is null or value < 0 or event_type not in ('click', 'view', 'purchase')""")
+def quarantine_split(spark, d):
+    _, bad = src.quarantine(table(spark, d, "events"), {"value": F.col("value") >= 0, "type": F.col("event_type").isin("click", "view", "purchase")})
+    has = lambda n: F.array_contains("failed", n).cast("int")
+    return bad.select(F.col("event_id").alias("id"), F.lit("k").alias("key"), has("value").alias("bad_value"), has("type").alias("bad_type"))
+
+
+@query("select user_id, event_type, min(event_id) event_id from events group by user_id, event_type")
+def snapshot_dedupe(spark, d):
+    return src.latest(table(spark, d, "events"), ["user_id", "event_type"], [F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("select distinct e.user_id, e.event_type from events e where e.event_id >= 100 and not exists (select 1 from events b where b.event_id < 100 and b.user_id = e.user_id and b.event_type = e.event_type)")
+def raw_landing(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return src.land(rows.where("event_id < 100"), rows.where("event_id >= 100"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+# History and risk
+
+CHANGES = """with p as (select user_id, ts, event_id, cast(round(value) as bigint) v, lag(cast(round(value) as bigint)) over (partition by user_id order by ts, event_id) old from events where value is not null),
+e as (select user_id, ts, event_id, old, v "new", v - old change, case when old <> 0 then round(cast((v - old) * 100 as double) / old, 2) end percent, case when v > old then 'increase' else 'decrease' end kind from p where old is not null and old <> v) """
+
+
+def _changes(spark, d):
+    rows = table(spark, d, "events").where("value is not null").select("user_id", "ts", "event_id", F.round("value").cast("bigint").alias("v"))
+    return history.price_events(rows, key="user_id", at="ts", value="v", tie="event_id")
+
+
+@query(CHANGES + "select * from e")
+def price_events(spark, d):
+    return _changes(spark, d)
+
+
+@query(CHANGES + ", r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from e) select user_id, count(*) changes, max(abs(percent)) largest, (case when max(abs(percent)) >= 30 then 14 else 0 end + case when count(*) >= 3 then 8 else 0 end)::int points from r where k <= 10 group by user_id")
+def price_change_risk(spark, d):
+    return history.change_signals(_changes(spark, d), "user_id")
+
+
+@query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from events) where k = 1")
+def latest_per_listing(spark, d):
+    return src.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "ts")
+
+
+@query(L + ", m as (select id, (total_area is null)::int + (floor is null)::int + (building_type = '')::int + (renovation_level = '')::int + (heating_type = '')::int + (commission_percent is null)::int missing from l) select id, missing, (case when missing >= 3 then least(12, 4 + missing) else 0 end)::int points from m")
+def risk_missing_fields(spark, d):
+    return history.missing_fields(src.fixture_listings(spark, d), ["total_area", "floor", "building_type", "renovation_level", "heating_type", "commission_percent"])
+
+
+@query("select doc_id, ((case when length(coalesce(text, '')) < 80 then 8 when length(text) >= 300 then -4 else 0 end) + case when regexp_matches(coalesce(text, ''), 'https?://') then 7 else 0 end)::int points from documents")
+def risk_content_signals(spark, d):
+    return history.content_signals(table(spark, d, "documents"))
+
+
+# Market
+
+COMPARED = L + """, f as (select t.id target, p.id, p.price_uah, p.total_area, p.published_at,
+  (p.district = t.district and (t.total_area is null or coalesce(p.total_area between t.total_area * 0.8 and t.total_area * 1.2, false))) f1,
+  ((t.building_type <> '' and p.building_type = t.building_type) or (t.renovation_level <> '' and p.renovation_level = t.renovation_level)) f2
+  from a t join a p on lower(t.city) = lower(p.city) and t.rooms = p.rooms and t.id <> p.id and p.price_uah > 0 where t.id % 50 = 0),
+s as (select target, case when sum(f1::int) >= 8 then 1 when sum(f2::int) >= 8 then 2 else 3 end s from f group by target),
+k as (select f.*, s, row_number() over (partition by target order by published_at desc, id) r from f join s using (target) where (s = 1 and f1) or (s = 2 and f2) or s = 3),
+c as (select target, id, price_uah, total_area, case s when 1 then 'district_rooms_area' when 2 then 'building_or_renovation' else 'city_rooms' end stage from k where r <= 120) """
+
+
+def _compared(spark, d):
+    rows = approved(spark, d)
+    targets = rows.where("id % 50 = 0")  # a stated set of target listings against all
+    return targets, market.comparables(targets, rows)
+
+
+@query(COMPARED + "select target, stage, count(*) n from c group by all")
+def comparables_stage_choice(spark, d):
+    return _compared(spark, d)[1].groupBy("target", "stage").agg(F.count("*").alias("n"))
+
+
+@query(COMPARED + "select target, id, price_uah from c")
+def comparables_topn(spark, d):
+    return _compared(spark, d)[1].select("target", "id", "price_uah")
+
+
+@query(COMPARED + """, q as (select target, count(*) n, round(median(price_uah), 2) median, round(quantile_cont(price_uah, 0.25), 2) q1, round(quantile_cont(price_uah, 0.75), 2) q3 from c group by target),
+o as (select target, sum((price_uah < q1 - 1.5 * (q3 - q1) or price_uah > q3 + 1.5 * (q3 - q1))::int) outliers from c join q using (target) group by target)
+select t.id target, coalesce(n, 0) n, case when n >= 8 then 'ready' else 'insufficient' end status, case when n >= 8 then median end median, case when n >= 8 then q1 end q1, case when n >= 8 then q3 end q3, case when n >= 8 then outliers::bigint end outliers, case when n >= 8 then round((price_uah - median) / median * 100, 2) end deviation
+from a t left join q on t.id = q.target left join o on t.id = o.target where t.id % 50 = 0""")
+def market_assessment(spark, d):
+    return market.assess(*_compared(spark, d))
+
+
+# Duplicates
+
+PAIRS = L + """, b as (select x.id left_id, y.id right_id from l x join l y on x.street = y.street and x.rooms = y.rooms and x.id < y.id
+  union select x.id, y.id from l x join l y on x.city = y.city and x.total_area = y.total_area and x.price_uah // 1000 = y.price_uah // 1000 and x.id < y.id) """
+
+
+def _blocks():
+    return {"street": [F.col("street"), F.col("rooms")], "bucket": [F.col("city"), F.col("total_area"), F.floor(F.col("price_uah") / 1000)]}
+
+
+
+@query(PAIRS + "select * from b")
+def block_pairs(spark, d):
+    return duplicates.block_pairs(src.fixture_listings(spark, d), _blocks())
+
+
+SCORES = PAIRS + """, g as (select left_id, right_id, x.rooms xr, y.rooms yr, abs(x.rooms - y.rooms) dr, x.city <> y.city oc, abs(x.total_area - y.total_area)::double / greatest(x.total_area, y.total_area) da, x.total_area is null or y.total_area is null na,
+  x.floor xf, y.floor yf, x.building_type xb, y.building_type yb, abs(x.price_uah - y.price_uah)::double / greatest(x.price_uah, y.price_uah) dp,
+  2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) m
+  from b join l x on left_id = x.id join l y on right_id = y.id),
+h as (select *, case when m <= 50 then 100.0 when m <= 150 then 92.0 when m <= 400 then 72.0 when m <= 1000 then 42.0 else 0.0 end::double location,
+  list_avg(list_filter([case when dr = 0 then 100.0 when dr = 1 then 45.0 end, case when na then null when da <= 0.05 then 100.0 when da <= 0.12 then 82.0 when da <= 0.25 then 45.0 else 5.0 end, case when xf = yf then 100.0 when xf <> yf then 35.0 end, case when xb <> '' and yb <> '' then case when xb = yb then 100.0 else 35.0 end end]::double[], lambda v: v is not null)) attributes,
+  case when dp <= 0.03 then 100.0 when dp <= 0.10 then 90.0 when dp <= 0.20 then 70.0 when dp <= 0.35 then 40.0 else 12.0 end::double price, oc or dr > 1 or coalesce(da > 0.45, false) conflict from g),
+z as (select left_id, right_id, location, round(attributes, 6) attributes, price, conflict, case when conflict then 0 else round((location * 25 + coalesce(attributes, 0) * 15 + price * 5) / (30 + case when attributes is null then 0 else 15 end), 2) end::double final from h),
+w as (select *, case when conflict then 'rejected' when final >= 92 then 'auto_merge' when final >= 78 then 'needs_review' else 'rejected' end decision from z) """
+
+
+def _scored(spark, d):
+    rows = src.fixture_listings(spark, d)
+    return duplicates.score(duplicates.block_pairs(rows, _blocks()), rows)
+
+
+@query(SCORES + "select * from w")
+def pair_final(spark, d):
+    return _scored(spark, d)
+
+
+@query(SCORES + "select decision, conflict, count(*) n from w group by all")
+def pair_decision_counts(spark, d):
+    return _scored(spark, d).groupBy("decision", "conflict").agg(F.count("*").alias("n"))
+
+
+@query(SCORES + ", e as (select left_id id, conflict from w union all select right_id, conflict from w) select id, count(*) edges, sum(conflict::int)::bigint conflicts from e group by id")
+def edges_of_listing(spark, d):
+    s = _scored(spark, d)
+    ends = s.select(F.col("left_id").alias("id"), "conflict").union(s.select("right_id", "conflict"))
+    return ends.groupBy("id").agg(F.count("*").alias("edges"), F.sum(F.col("conflict").cast("int")).alias("conflicts"))
+
+
+@query()
+def guarded_clusters(spark, d):
+    s = _scored(spark, d).select("left_id", "right_id", "final", "conflict")
+    return duplicates.guarded_clusters(s.where((F.col("final") >= duplicates.REVIEW) & ~F.col("conflict")).select("left_id", "right_id", "final"), s.where("conflict").select("left_id", "right_id"))
+
+
+RANKED = L + ", r as (select *, case when row_number() over (partition by street, rooms order by is_active desc, coalesce(is_owner, false) desc, coalesce(commission_percent, 1000), published_at desc, id desc) = 1 then 'primary' else 'duplicate' end as role from l) "
+
+
+def _ranked(spark, d):
+    return duplicates.primaries(src.fixture_listings(spark, d).withColumn("cluster", F.concat_ws("|", "street", "rooms")))
+
+
+@query(RANKED + "select id, role from r")
+def primary_election(spark, d):
+    return _ranked(spark, d).select("id", "role")
+
+
+@query(RANKED + "select street || '|' || rooms as cluster, max(case when role = 'primary' then id end) primary_id, count(*) members, count(distinct source_code) sources, coalesce(min(price_uah) filter (is_active), min(price_uah)) price_min, coalesce(max(price_uah) filter (is_active), max(price_uah)) price_max from r group by street, rooms")
+def cluster_price_range(spark, d):
+    return duplicates.cluster_ranges(_ranked(spark, d))
+
+
+@query(RANKED + "select id from r where is_active and enabled and role = 'primary'")
+def collapse_clusters(spark, d):
+    return _ranked(spark, d).where("is_active and enabled and role = 'primary'").select("id")
+
+
+# Text
+
+
+@query("select page_id, case when regexp_matches(url, '^https?://[^/?#]') then u || p || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end url from (select page_id, url, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) u, regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') p, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+') and not (split_part(x, '=', 1) in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref')))) q from pages)")
+def canonical_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
+
+
+@query("select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_²]+', ' ', 'g')) norm from documents")
+def norm_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
+
+
+@query("select doc_id, regexp_extract(text, '[a-z0-9._]+@[a-z0-9.-]+[a-z]', 0) mail from documents where regexp_matches(text, '[a-z0-9._]+@[a-z0-9.-]+[a-z]')")
+def contact_tokens(spark, d):
+    pattern = "[a-z0-9._]+@[a-z0-9.-]+[a-z]"
+    return table(spark, d, "documents").where(F.col("text").rlike(pattern)).select("doc_id", F.regexp_extract("text", pattern, 0).alias("mail"))
+
+
+@query("select min(doc_id) doc_id, count(*) copies from documents where text is not null group by sha256(text) having count(*) > 1")
+def exact_dup_docs(spark, d):
+    return table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
+
+
+@query()
+def simhash_portable(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.portable_simhash(F.col("p_name")).alias("simhash"))
+
+
+# Geography
+
+HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({1} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({1})) * pow(sin(radians({0} - lon) / 2), 2))))"
+
+
+@query(L + " select id, lat, lon from a where lon between 24.05 and 24.35 and lat between 48.2 and 49.1")
+def bbox_filter(spark, d):
+    return approved(spark, d).where(geo.in_box(F.col("lat"), F.col("lon"), "24.05,48.2,24.35,49.1")).select("id", "lat", "lon")
+
+
+PLACES = [("centre", 24.2, 48.6), ("station", 24.35, 49.3)]
+
+
+@query(L + ", p(name, plon, plat) as (values ('centre', 24.2::double, 48.6::double), ('station', 24.35::double, 49.3::double)) select id, name, round(" + HAVERSINE.format("plon", "plat") + ", 3) metres from a cross join p")
+def place_distance_matrix(spark, d):
+    places = spark.createDataFrame(PLACES, "name string, plon double, plat double")
+    far = geo.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    return approved(spark, d).join(F.broadcast(places), F.lit(True)).select("id", "name", F.round(far, 3).alias("metres"))
+
+
+@query(L + ", m as (select id, " + HAVERSINE.format("24.2", "48.6") + " metres from a) select id from m where metres <= 5000")
+def radius_filter(spark, d):
+    near = geo.in_box(F.col("lat"), F.col("lon"), "24.1,48.5,24.3,48.7")
+    return approved(spark, d).where(near & (geo.haversine(F.col("lat"), F.col("lon"), F.lit(48.6), F.lit(24.2)) <= 5000)).select("id")
+
+
+@query(L + " select floor(lat / 0.25)::bigint cy, floor(lon / 0.25)::bigint cx, count(*) n from a group by all")
+def geo_block_counts(spark, d):
+    y, x = geo.cell(F.col("lat"), F.col("lon"), 0.25)
+    return approved(spark, d).groupBy(y.alias("cy"), x.alias("cx")).agg(F.count("*").alias("n"))
+
+
+# Events: windows and audit
+
+
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all")
+def tumbling_hours(spark, d):
+    return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("with g as (select *, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end b from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(b) over (partition by user_id order by ts, event_id) k from g) select user_id, min(ts) as start, count(*) n from s group by user_id, k")
+def user_sessions(spark, d):
+    return table(spark, d, "events").groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("select user_id, round(coalesce(sum(value) filter (event_type = 'purchase'), 0), 4) spent, coalesce(sum(value) filter (event_type = 'purchase'), 0) >= 500 over_budget from events group by user_id")
+def budget_guard(spark, d):
+    spent = F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.lit(0.0))
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(spent, 4).alias("spent"), (spent >= 500).alias("over_budget"))
+
+
+@query("select event_id, (props::json->>'$.k')::bigint k from events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("select conv_id, string_agg(role, '|' order by turn, role) roles, count(*) turns from conversations group by conv_id")
+def conversation_order(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), "|").alias("roles"), F.size("t").cast("bigint").alias("turns"))
