@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,48 +14,37 @@ from dwellgraph.llm.common import prepare
 
 #: Ranks kept in a profile, of a language and of a document alike.
 RANKS = 300
-#: N-grams of these lengths, within words that are framed by a space on either side.
-LENGTHS = (1, 2, 3)
+#: N-grams have one to three characters, within words that are framed by a space on either side.
 UNKNOWN = "und"
+#: Labelled rows of a fit at most.
+FIT_ROWS = 40_000
 _WORD = re.compile(r"[^\W\d_]+")
-_WORD_LIMIT = 200_000
-_GRAMS: dict[str, list[str]] = {}
-
-
-def word_grams(word: str) -> list[str]:
-    found = _GRAMS.get(word)
-    if found is None:
-        framed = f" {word} "
-        found = [framed[i : i + n] for n in LENGTHS for i in range(len(framed) - n + 1) if framed[i : i + n] != " "]
-        if len(word) <= 40:
-            if len(_GRAMS) >= _WORD_LIMIT:
-                _GRAMS.clear()
-            _GRAMS[word] = found
-    return found
-
-
-def gram_counts(texts: list[str]) -> Counter:
-    words: Counter = Counter()
-    for text in texts:
-        words.update(_WORD.findall(text.lower()))
-    out: dict[str, int] = {}
-    get = out.get
-    for word, times in words.items():
-        for gram in word_grams(word):
-            out[gram] = get(gram, 0) + times
-    return Counter(out)
-
-
-def ranked(counts: dict[str, int]) -> list[str]:
+#: A gram is kept as one number: its code points, 21 bits each, first one highest; so numbers sort as grams do.
+_BITS = 21
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams in order, their counts) over the texts' words, all at once: a gram spans no space but at its ends."""
+    words = _WORD.findall("\n".join(texts).lower())
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    space = points == 32
+    one, two = points << (2 * _BITS), points << _BITS
+    pairs = one[:-1] | two[1:]
+    code = np.concatenate([one[~space], pairs, (pairs[:-1] | points[2:])[~space[1:-1]]])
+    code.sort()
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[starts], np.diff(np.append(starts, len(code)))
+
+
+def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The most frequent n-grams, most frequent first; ties in code point order."""
-    if len(counts) > RANKS:
-        least = np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) - RANKS)[len(counts) - RANKS]
-        counts = {g: c for g, c in counts.items() if c >= least}
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:RANKS]]
+    return grams[np.argsort(-counts, kind="stable")[:RANKS]]
 
 
-def profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """Language -> its profile, from all rows with a language and a text.
+def profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> dict[str, list[int]]:
+    """Language -> its profile, from about rows rows with a language and a text at most, by a hash of the text.
 
     Counts are made where the rows are and summed by n-gram; each language's best RANKS come back, which
     bounds the result by the number of languages. Rows with a null language or text are left out.
@@ -64,35 +52,28 @@ def profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang") ->
     prepare(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, Counter] = {}
         for batch in batches:
             by: dict[str, list[str]] = {}
             for language, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(language, []).append(value)
             for language, texts in by.items():
-                sums.setdefault(language, Counter()).update(gram_counts(texts))
-            if sum(map(len, sums.values())) > 200_000:
-                yield rows(sums)
-                sums = {}
-        yield rows(sums)
-
-    def rows(sums: dict[str, Counter]) -> pa.RecordBatch:
-        flat = [(k, g, c) for k, grams in sums.items() for g, c in grams.items()]
-        columns = list(zip(*flat, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
+                grams, counts = gram_counts(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), text)
-    sums = known.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    if (total := known.count()) > rows:
+        known = known.where(F.pmod(F.xxhash64(text), F.lit(total)) < rows)
+    sums = known.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Spark keeps only the best ranks of each task before it brings a language's together.
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= RANKS)
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[int]] = {}
     for row in best.select("lang", "gram", "rank").orderBy("lang", "rank").collect():
         out.setdefault(row.lang, []).append(row.gram)
     return out
 
 
-def predict(docs: DataFrame, known: dict[str, list[str]], *, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, known: dict[str, list[int]], *, text: str = "text") -> DataFrame:
     """docs with lang_pred and score by the least out-of-place distance of the whole text's profile.
 
     For each of the document's ranked n-grams the distance grows by the difference of its ranks in both
@@ -103,14 +84,10 @@ def predict(docs: DataFrame, known: dict[str, list[str]], *, text: str = "text")
     """
     prepare(docs.sparkSession)
     names = sorted(known)
-    grams: dict[str, int] = {}
-    for name in names:
-        for gram in known[name]:
-            grams.setdefault(gram, len(grams))
+    grams = np.unique(np.array([g for name in names for g in known[name]], np.int64))
     place = np.full((len(grams) + 1, max(1, len(names))), -1, np.int32)
     for j, name in enumerate(names):
-        for rank, gram in enumerate(known[name]):
-            place[grams[gram], j] = rank
+        place[np.searchsorted(grams, np.array(known[name], np.int64)), j] = np.arange(len(known[name]))
     sent = docs.sparkSession.sparkContext.broadcast((names, grams, place))
 
     @F.pandas_udf("struct<lang_pred string, score double>")
@@ -118,13 +95,15 @@ def predict(docs: DataFrame, known: dict[str, list[str]], *, text: str = "text")
         import pandas as pd
 
         names, grams, place = sent.value
-        other, out = len(grams), []
+        out = []
         for value in texts:
-            own = ranked(gram_counts([value])) if value and names else []
-            if not own:
+            own = ranked(*gram_counts([value])) if value and names else ()
+            if not len(own):
                 out.append((UNKNOWN, 0.0))
                 continue
-            rows = place[[grams.get(g, other) for g in own]]
+            at = np.searchsorted(grams, own)
+            at[at == len(grams)] = 0
+            rows = place[np.where(grams[at] == own, at, len(grams))]
             apart = np.where(rows < 0, RANKS, np.abs(rows - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0)
             order = np.argsort(apart, kind="stable")
             rest = int(apart[order[1]]) if len(names) > 1 else 0
