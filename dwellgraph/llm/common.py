@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -51,6 +52,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def broadcaster(count: int, rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast hint for narrow tables of at most the counted rows if those are few; else no hint."""
+    return F.broadcast if count <= rows else lambda df: df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

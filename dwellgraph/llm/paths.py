@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import broadcast_if_small, materialize
-from dwellgraph.llm.components import connected_components
+from dwellgraph.llm.common import broadcaster, materialize
+from dwellgraph.llm.components import connected_components, merged
 
 #: Buckets of so many members at most are compared exhaustively.
 LIMIT = 24
@@ -18,21 +18,24 @@ FEW = 4
 DEPTH = 6
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(node, id, cnt) of the buckets that hold two ids at least."""
-    multi = materialize(rows.groupBy("node").agg(F.count("*").alias("cnt")).where("cnt > 1"), "nodes")
-    return materialize(rows.join(broadcast_if_small(multi), "node"), "nodes")
+def shared_buckets(rows: DataFrame, small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, id, cnt) of the buckets that hold two ids at least; small is a hint for tables of no more rows than these."""
+    multi = rows.groupBy("node").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    if small is None:
+        multi = materialize(multi, "nodes")
+        small = broadcaster(multi.count())
+    return materialize(rows.join(small(multi), "node"), "nodes")
 
 
-def popular(rows: DataFrame) -> DataFrame:
+def popular(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, pivot): of each bucket the member that meets most others over all buckets, from (node, id, cnt).
 
     The middle of a group of near copies shares its buckets with most of them, so that one comparison
     with it ties most of the group.
     """
-    met = materialize(rows.groupBy("id").agg(F.sum("cnt").alias("met")), "met")
-    best = rows.join(broadcast_if_small(met), "id").groupBy("node").agg(F.max(F.struct("met", "id")).alias("best"))
-    return materialize(best.select("node", F.col("best.id").alias("pivot")), "pivots")
+    met = rows.groupBy("id").agg(F.sum("cnt").alias("met"))
+    best = rows.join(small(met), "id").groupBy("node").agg(F.max(F.struct("met", "id")).alias("best"))
+    return best.select("node", F.col("best.id").alias("pivot"))
 
 
 def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
@@ -47,45 +50,46 @@ def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify:
     are compared with the whole bucket, those of larger components through pivots.
     """
     nodes = shared_buckets(rows)
-    small = nodes.where(F.col("cnt") <= limit)
-    near = small.select("node", F.col("id").alias("a")).join(small.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
+    near_nodes = nodes.where(F.col("cnt") <= limit)
+    near = near_nodes.select("node", F.col("id").alias("a")).join(near_nodes.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
     wide = nodes.where(F.col("cnt") > limit)
-    star = wide.join(broadcast_if_small(popular(wide)), "node").where("id <> pivot")
+    # Every table below is made of distinct parts of the wide rows, so their count bounds it.
+    small = broadcaster(wide.count())
+    star = wide.join(small(popular(wide, small)), "node").where("id <> pivot")
     tested = materialize(near.union(_ordered(star, "pivot", "id")).distinct(), "pairs")
     if tested.isEmpty():
         return tested.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-    found = materialize(verify(tested), "edges")
-    labels = materialize(connected_components(found), "labels")
+    labels = materialize(connected_components(verify(tested)), "labels")
     wide = wide.select("node", "id")
     for level in range(1, depth + 1):
         told = materialize(_labelled(wide, labels), "labelled")
-        groups = materialize(told.groupBy("node", "label").agg(F.count("*").alias("n")), "groups")
+        groups = told.groupBy("node", "label").agg(F.count("*").alias("n"))
         main = groups.groupBy("node").agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "label")).alias("main")).where("cnt > main.n")
         main = materialize(main.select("node", "cnt", F.col("main.label").alias("main"), (F.col("cnt") - F.col("main.n")).alias("out")), "main")
         if main.isEmpty():
             break
-        here = told.join(broadcast_if_small(main), "node")
+        here = materialize(told.join(small(main), "node"), "here")
         last = (F.col("out") <= FEW) | (F.col("cnt") <= limit)
         outer = here.where("label <> main")
         left = outer.where(last)
         if level == depth:
-            lone = outer.where(~last).join(broadcast_if_small(groups.where(F.col("n") <= FEW)), ["node", "label"])
+            lone = outer.where(~last).join(small(groups.where(F.col("n") <= FEW)), ["node", "label"])
             left = left.unionByName(lone.select(*left.columns))
         left = left.select("node", F.col("id").alias("x"), F.col("label").alias("own"))
         near = here.join(left, "node").where("label <> own")
         rest = here.where(~last)
-        pivots = popular(outer.where(~last))
-        labelled_pivots = _labelled(pivots.select("node", F.col("pivot").alias("id")), labels).withColumnsRenamed({"id": "pivot", "label": "own"})
-        star = rest.join(broadcast_if_small(materialize(labelled_pivots, "pivots")), "node").where("label <> own")
+        # A pivot stands outside its bucket's main component, where its own label is known.
+        pivots = popular(outer.where(~last), small)
+        own = outer.select("node", F.col("id").alias("pivot"), F.col("label").alias("own"))
+        star = rest.join(small(pivots.join(own, ["node", "pivot"])), "node").where("label <> own")
         pairs = _ordered(near, "x", "id").union(_ordered(star, "pivot", "id")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tested = tested.union(pairs)
-            found = found.union(materialize(verify(pairs), "edges"))
-            labels = materialize(connected_components(found), "labels")
+            labels = materialize(merged(labels, verify(pairs)), "labels")
         if level == depth or rest.isEmpty():
             break
-        wide = shared_buckets(materialize(branch(rest.select("node", "id"), level), "nodes")).select("node", "id")
+        wide = shared_buckets(materialize(branch(rest.select("node", "id"), level), "nodes"), small).select("node", "id")
     return labels
 
 
@@ -95,5 +99,5 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with the component of each id so far as label; an id without links is its own."""
-    names = broadcast_if_small(labels.withColumnRenamed("component_id", "label"))
+    names = broadcaster(labels.count())(labels.withColumnRenamed("component_id", "label"))
     return rows.join(names, "id", "left").withColumn("label", F.coalesce("label", "id"))

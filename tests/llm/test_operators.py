@@ -176,3 +176,14 @@ def test_embeddings(spark):
         near = [j for j in range(len(vectors)) if j != i and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
         assert got[i].n_links == len(near) and got[i].component_id == min([i, *near])
     assert all(got[i].n_links == 0 and got[i].kept for i in range(100, 106))
+
+
+def test_merged_labels_equal_components_of_all_edges(spark):
+    from dwellgraph.llm.components import connected_components, merged
+
+    edges = [(1, 2), (2, 3), (5, 6), (8, 9), (3, 5), (10, 11), (9, 10), (12, 12), (6, 1)]
+    t = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    whole = {r.id: r.component_id for r in connected_components(t(edges)).collect()}
+    parts = merged(connected_components(t(edges[:4])), t(edges[4:])).collect()
+    assert {r.id: r.component_id for r in parts} == whole and len(parts) == len(whole)
+    assert merged(connected_components(t([])), t(edges)).count() == len(whole)
