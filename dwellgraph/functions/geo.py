@@ -28,3 +28,18 @@ def in_box(lat: Column, lon: Column, box: str) -> Column:
 
 def cell(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:
     return F.floor(lat / degrees), F.floor(lon / degrees)
+
+
+#: The places that the offline geocoder knows, with their centres.
+CENTRES = {"львів": (49.839683, 24.029717), "рівне": (50.619900, 26.251617), "київ": (50.450100, 30.523400)}
+
+
+def offline_point(query: Column) -> tuple[Column, Column]:
+    """Latitude and longitude near the centre of the first known place in the query; nulls if it names none.
+
+    The offset comes from the first two 16-bit numbers of the lower-cased query's SHA-256.
+    """
+    name = F.lower(query)
+    part = lambda at: F.conv(F.substring(F.sha2(name, 256), at, 4), 16, 10).cast("double") / 65535 - 0.5
+    centre = lambda i: F.coalesce(*[F.when(F.contains(name, F.lit(place)), F.lit(at[i])) for place, at in CENTRES.items()])
+    return F.round(centre(0) + part(1) * 0.035, 6), F.round(centre(1) + part(5) * 0.05, 6)

@@ -56,3 +56,26 @@ def portable_simhash(text: Column, bits: int = 16) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def count_label(count: Column, one: str, few: str, many: str) -> Column:
+    """The count with its word in the Slavic plural: one for 1, 21, ..., few for 2-4, 22-24, ..., else many."""
+    ten, hundred = F.abs(count) % 10, F.abs(count) % 100
+    word = F.when(hundred.between(11, 14), many).when(ten == 1, one).when(ten.between(2, 4), few).otherwise(many)
+    return F.concat(count.cast("string"), F.lit(" "), word)
+
+
+def price_range(low: Column, high: Column) -> Column:
+    """Whole prices with spaces between thousands, as one figure if both are equal."""
+    told = lambda c: F.replace(F.format_number(c, 0), F.lit(","), F.lit(" "))
+    return F.concat(F.when(low == high, told(low)).otherwise(F.concat(told(low), F.lit("–"), told(high))), F.lit(" грн"))
+
+
+def input_digest(text: Column) -> Column:
+    """A short name of a text for logs that must not hold it."""
+    return F.concat(F.lit("sha256:"), F.left(F.sha2(text, 256), F.lit(16)), F.lit(";chars:"), F.char_length(text).cast("string"))
+
+
+def joined_key(*parts: Column) -> Column:
+    """Parts joined by bars, of 320 characters at most; null counts as empty."""
+    return F.left(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), F.lit(320))

@@ -37,3 +37,21 @@ def content_signals(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     t = F.coalesce(F.col(text), F.lit(""))
     points = F.when(F.length(t) < 80, 8).when(F.length(t) >= 300, -4).otherwise(0) + F.when(t.rlike("https?://"), 7).otherwise(0)
     return docs.select(key, points.alias("points"))
+
+
+def sparkline(rows: DataFrame, *, key: str, at: str, value: str, tie: str) -> DataFrame:
+    """(key, tie, x, y) of each value in a box of 100 by 90: x by its place in time, y from 90 (least) to 15 (greatest).
+
+    A single value stands in the middle; null values are left out.
+    """
+    whole = Window.partitionBy(key)
+    v = F.col(value)
+    told = rows.where(v.isNotNull()).withColumns({"_i": F.row_number().over(whole.orderBy(at, tie)) - 1, "_n": F.count("*").over(whole), "_low": F.min(v).over(whole), "_high": F.max(v).over(whole)})
+    x = F.when(F.col("_n") == 1, 50.0).otherwise(F.col("_i") / (F.col("_n") - 1) * 100)
+    return told.select(key, tie, x.alias("x"), (90 - (v - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1)) * 75).alias("y"))
+
+
+def throttled(rows: DataFrame, *, key: str, at: str, tie: str, period: str = "hour", limit: int = 12) -> DataFrame:
+    """The rows with allowed: whether a row is among the first so many of its key in its period of the calendar."""
+    place = F.row_number().over(Window.partitionBy(key, F.date_trunc(period, at)).orderBy(at, tie))
+    return rows.withColumn("allowed", place <= limit)

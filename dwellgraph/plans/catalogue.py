@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgraph.functions import geo, text
-from dwellgraph.operators import duplicates, history, market, matching
+from dwellgraph.operators import duplicates, history, market, matching, workspace
 from dwellgraph.sources import listings as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -392,3 +392,81 @@ def json_props(spark, d):
 def conversation_order(spark, d):
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
     return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), "|").alias("roles"), F.size("t").cast("bigint").alias("turns"))
+
+
+# Workspace
+
+
+@query(SCORED + """, n as (select *, row_number() over (order by published_at desc, id) place from m order by published_at desc, id limit 1000),
+  f as (select * from n where score >= 70 order by place limit 50)
+  select id, place::bigint place, score, (select case when count(*) = 50 then max(place) else (select count(*) from n) end from f)::bigint inspected from f""")
+def map_features(spark, d):
+    found = workspace.map_features(matching.matched(approved(spark, d), PROFILE), least=70, limit=50)
+    return found.select("id", F.col("place").cast("long").alias("place"), "score", "inspected")
+
+
+@query(SCORED + """, r as (select *, row_number() over w pos, score - lead(score) over w gap from m
+  window w as (partition by street order by score desc, (total_area is null)::int + (floor is null)::int + (pets_allowed is null)::int + (children_allowed is null)::int, price_uah, coalesce(total_area, 0) desc, id))
+  select street, id winner, gap, coalesce(gap >= 5, false) decisive from r where pos = 1""")
+def comparison_winner(spark, d):
+    return workspace.compare(matching.matched(approved(spark, d), PROFILE), "street")
+
+
+@query(L + """, p as (select *, case when id % 4 > 0 then (id % 4) * 0.5e0 end deposit from a)
+  select id, trunc(price_uah * (1 + deposit))::bigint + trunc(price_uah * coalesce(commission_percent, 0) / 100)::bigint first_payment from p""")
+def first_payment(spark, d):
+    deposit = F.expr("case when id % 4 > 0 then (id % 4) * 0.5d end")
+    return approved(spark, d).select("id", workspace.first_payment(F.col("price_uah"), deposit, F.col("commission_percent")).alias("first_payment"))
+
+
+@query(L + """, g as (select id // 3 cluster, count(*) member_count, count(distinct lower(city)) c, count(distinct rooms) r,
+    coalesce((max(price_uah) filter (price_uah > 0) - min(price_uah) filter (price_uah > 0)) / min(price_uah) filter (price_uah > 0) * 100, 0) s from a group by 1),
+  t as (select *, concat_ws(',', case when c > 1 then 'city' end, case when r > 1 then 'rooms' end, case when s >= 25 then 'price' end) conflicts from g where member_count > 1)
+  select cluster, member_count, round(s, 2) spread, conflicts from t where conflicts <> ''""")
+def risk_cluster_conflict(spark, d):
+    return workspace.cluster_conflicts(approved(spark, d).withColumn("cluster", F.expr("id div 3")), "cluster")
+
+
+@query(L + """, g as (select street, min(price_uah) low, max(price_uah) high, count(distinct source_code || district) n from a group by street)
+  select street, replace(format('{:,}', low), ',', ' ') || case when low = high then '' else '–' || replace(format('{:,}', high), ',', ' ') end || ' грн' price,
+  n || ' ' || case when n % 100 between 11 and 14 then 'джерел' when n % 10 = 1 then 'джерело' when n % 10 between 2 and 4 then 'джерела' else 'джерел' end sources
+  from g where high >= 60000 and low <= 180000""")
+def cluster_cards(spark, d):
+    ranges = approved(spark, d).groupBy("street").agg(F.min("price_uah").alias("low"), F.max("price_uah").alias("high"), F.countDistinct(F.concat("source_code", "district")).alias("n"))
+    shown = workspace.overlapping(ranges, 60_000, 180_000)
+    return shown.select("street", text.price_range(F.col("low"), F.col("high")).alias("price"), text.count_label(F.col("n"), "джерело", "джерела", "джерел").alias("sources"))
+
+
+@query(L + """ select id, left(concat_ws('|', regexp_replace(lower(city), '[^\\p{L}\\p{N}_²]+', ' ', 'g'), rooms::text, (round_even(coalesce(total_area, 0) / 5, 0) * 5)::bigint::text, coalesce(floor, 0)::text, floors_total::text,
+  building_type, renovation_level, heating_type), 320) attribute_key, greatest(0, price_uah // 1000) price_bucket from a""")
+def listing_keys(spark, d):
+    bucket = F.bround(F.coalesce("total_area", F.lit(0)) / 5) * 5
+    parts = [text.norm_text(F.col("city")), F.col("rooms"), bucket.cast("long"), F.coalesce("floor", F.lit(0)), F.col("floors_total"), *[text.norm_text(F.col(c)) for c in ("building_type", "renovation_level", "heating_type")]]
+    return approved(spark, d).select("id", text.joined_key(*parts).alias("attribute_key"), F.greatest(F.lit(0), F.floor(F.col("price_uah") / 1000)).alias("price_bucket"))
+
+
+@query("""with p as (select o_custkey, o_orderkey, round(o_totalprice)::bigint v, row_number() over w - 1 i, count(*) over (partition by o_custkey) n from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+  b as (select *, min(v) over (partition by o_custkey) low, max(v) over (partition by o_custkey) high from p)
+  select o_custkey, o_orderkey, case when n = 1 then 50e0 else i / (n - 1) * 100 end x, 90 - (v - low) / greatest(high - low, 1) * 75 y from b""")
+def price_sparkline(spark, d):
+    prices = table(spark, d, "orders").withColumn("v", F.round("o_totalprice").cast("long"))
+    return history.sparkline(prices, key="o_custkey", at="o_orderdate", value="v", tie="o_orderkey")
+
+
+@query("select event_id, row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) <= 3 allowed from events")
+def throttle_daily(spark, d):
+    return history.throttled(table(spark, d, "events"), key="user_id", at="ts", tie="event_id", period="day", limit=3).select("event_id", "allowed")
+
+
+@query("""with q as (select c_custkey, lower(c_name || ', ' || case c_nationkey % 4 when 0 then 'Львів' when 1 then 'Рівне' when 2 then 'Київ' else 'Одеса' end) q, c_nationkey % 4 k from customer where c_nationkey % 4 < 3),
+  h as (select *, ('0x' || substr(sha256(q), 1, 4))::int / 65535 - 0.5e0 a, ('0x' || substr(sha256(q), 5, 4))::int / 65535 - 0.5e0 b from q)
+  select c_custkey, round(case k when 0 then 49.839683e0 when 1 then 50.6199e0 else 50.4501e0 end + a * 0.035e0, 6) lat, round(case k when 0 then 24.029717e0 when 1 then 26.251617e0 else 30.5234e0 end + b * 0.05e0, 6) lon from h""")
+def geocode_offline(spark, d):
+    place = F.expr("c_name || ', ' || case c_nationkey % 4 when 0 then 'Львів' when 1 then 'Рівне' when 2 then 'Київ' else 'Одеса' end")
+    lat, lon = geo.offline_point(place)
+    return table(spark, d, "customer").select("c_custkey", lat.alias("lat"), lon.alias("lon")).where("lat is not null")
+
+
+@query("select doc_id, 'sha256:' || left(sha256(text), 16) || ';chars:' || length(text) digest from documents")
+def input_digests(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.input_digest(F.col("text")).alias("digest"))
