@@ -16,6 +16,8 @@ from dwellgraph.llm.paths import link
 COORDINATES = 64
 #: Independent trees, paths chosen at each root, and tokens that a path takes before its buckets are compared.
 TREES, ROOTS, FIRST_DEPTH = 6, 2, 3
+#: Words of 64 parities in the sketch of a set.
+SKETCH = 32
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WORDS = WordHashes()
@@ -96,6 +98,22 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _sketches(packed: DataFrame) -> DataFrame:
+    """(id, n, b0, ...) of (cid, packed) rows: the size of the set and the parities of its elements in SKETCH * 64 cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits = np.empty(batch.num_rows, np.int64), np.empty((batch.num_rows, SKETCH), np.int64)
+            for i in range(batch.num_rows):
+                found = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+                cells = (found & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+                n[i] = len(found)
+                bits[i] = np.packbits((np.bincount(cells, minlength=64 * SKETCH) & 1).astype(bool)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(bits[:, w].copy()) for w in range(SKETCH)]], ["id", "n", *[f"b{w}" for w in range(SKETCH)]])
+
+    return packed.select("cid", "packed").mapInArrow(run, ", ".join(["id bigint", "n bigint", *[f"b{w} bigint" for w in range(SKETCH)]]))
+
+
 def _step(node, seed: int):
     """The node below a node: the minwise token at the coordinate that the node selects."""
     at = F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(COORDINATES)).cast("int")
@@ -114,8 +132,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
 
     Documents with equal sets become one class first, so exact copies cost one comparison at most. Each
     class walks down independent trees: a node selects a coordinate, and the class goes to the child
-    named by its minwise token there. Small nodes are compared exhaustively on whole sets; larger ones
-    go on as paths.link says. Documents with similarity s meet on a path with s ** FIRST_DEPTH, so the
+    named by its minwise token there. Nodes are compared on whole sets, the large ones as paths.link says. Documents with similarity s meet on a path with s ** FIRST_DEPTH, so the
     trees together find a pair at 0.85 with 0.99999 and one at 0.8 with 0.9998; in groups of so many
     near copies that buckets are branched again, pairs at the threshold that no pivot ties are found less
     surely with each level.
@@ -146,7 +163,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
             packed.append(materialize(_packed(docs, wanted, words=words, text=text, key=key), "packed"))
         return _confirmed(pairs, packed[0], percent)
 
-    labels = link(rows.select("node", "id"), branch, verify)
+    def sketch(ids: DataFrame) -> DataFrame:
+        return _sketches(packed[0].join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi"))
+
+    labels = link(rows.select("node", "id"), branch, verify, sketch, percent=percent)
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component_id", "cid"))
     named = materialize(named.select("cid", "rep", "component"), "named")
     least = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")

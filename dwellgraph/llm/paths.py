@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,14 @@ from dwellgraph.llm.components import connected_components, merged
 
 #: Buckets of so many members at most are compared exhaustively.
 LIMIT = 24
-#: So many members outside a bucket's largest component at most are compared with the whole bucket.
+#: Buckets with more members outside their largest component are compared with one more pivot first.
 FEW = 4
-#: Levels of branching.
-DEPTH = 6
+#: So many pairs of a member outside the largest component and any other at most are compared without branching.
+WORK = 4_000_000
+#: Levels of branching; what is still open after the last is compared whatever its size.
+DEPTH = 2
+#: Members of a block; the pairs of two blocks meet in one task.
+BLOCK = 1024
 
 
 def shared_buckets(rows: DataFrame, small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -38,61 +43,94 @@ def popular(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFra
     return best.select("node", F.col("best.id").alias("pivot"))
 
 
-def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame] | None = None, *, percent: int = 0, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """(id, component_id) of all ids with a confirmed link, from (node, id) rows of non-null values.
 
     verify keeps the pairs (a, b) that are links, by an exact test. Small buckets are compared
     exhaustively. In a large one every member is compared with a pivot, which is linear; members tied
     together by then need no comparison among themselves. Where members are left outside the bucket's
-    largest component, they are compared with all others if they are few; else with one more pivot from
-    among them, and the bucket is branched: branch(rows, level) gives (node, id) rows of finer buckets.
-    In buckets still open at the last level, members of components that have FEW members there at most
-    are compared with the whole bucket, those of larger components through pivots.
+    largest component, all are compared with one more pivot from among them; then every pair of members
+    of different components is compared, in blocks. Only buckets with more than WORK such pairs are
+    branched instead: branch(rows, level) gives (node, id) rows of finer buckets, which must hold the
+    links of their bucket together. After depth levels all that are open are compared, whatever their size.
+    sketch(ids) gives (id, n, b0, b1, ...), the size of a set and the parities of its hashed elements, by
+    which pairs that cannot reach percent are passed over before verify; without it all pairs are verified.
     """
     nodes = shared_buckets(rows)
     near_nodes = nodes.where(F.col("cnt") <= limit)
     near = near_nodes.select("node", F.col("id").alias("a")).join(near_nodes.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
     wide = nodes.where(F.col("cnt") > limit)
-    # Every table below is made of distinct parts of the wide rows, so their count bounds it.
     small = broadcaster(wide.count())
     star = wide.join(small(popular(wide, small)), "node").where("id <> pivot")
     tested = materialize(near.union(_ordered(star, "pivot", "id")).distinct(), "pairs")
     if tested.isEmpty():
         return tested.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     labels = materialize(connected_components(verify(tested)), "labels")
-    wide = wide.select("node", "id")
-    for level in range(1, depth + 1):
-        told = materialize(_labelled(wide, labels), "labelled")
-        groups = told.groupBy("node", "label").agg(F.count("*").alias("n"))
-        main = groups.groupBy("node").agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "label")).alias("main")).where("cnt > main.n")
-        main = materialize(main.select("node", "cnt", F.col("main.label").alias("main"), (F.col("cnt") - F.col("main.n")).alias("out")), "main")
-        if main.isEmpty():
-            break
-        here = materialize(told.join(small(main), "node"), "here")
-        last = (F.col("out") <= FEW) | (F.col("cnt") <= limit)
-        outer = here.where("label <> main")
-        left = outer.where(last)
-        if level == depth:
-            lone = outer.where(~last).join(small(groups.where(F.col("n") <= FEW)), ["node", "label"])
-            left = left.unionByName(lone.select(*left.columns))
-        left = left.select("node", F.col("id").alias("x"), F.col("label").alias("own"))
-        near = here.join(left, "node").where("label <> own")
-        rest = here.where(~last)
-        # A pivot stands outside its bucket's main component, where its own label is known.
-        pivots = popular(outer.where(~last), small)
-        own = outer.select("node", F.col("id").alias("pivot"), F.col("label").alias("own"))
-        star = rest.join(small(pivots.join(own, ["node", "pivot"])), "node").where("label <> own")
-        pairs = _ordered(near, "x", "id").union(_ordered(star, "pivot", "id")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal tested, labels
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tested = tested.union(pairs)
             labels = materialize(merged(labels, verify(pairs)), "labels")
-        if level == depth or rest.isEmpty():
+
+    wide = wide.select("node", "id")
+    for level in range(depth + 1):
+        # Tables of a level are made of distinct parts of its wide rows, so their count bounds them.
+        here = _open(wide, labels, small)
+        outer = here.where(F.col("label") != F.col("main"))
+        pivots = popular(outer.where((F.col("out") > FEW) & (F.col("cnt") > limit)), small)
+        # A pivot stands outside its bucket's main component, where its own label is known.
+        own = outer.select("node", F.col("id").alias("pivot"), F.col("label").alias("own"))
+        test(_ordered(here.join(small(pivots.join(own, ["node", "pivot"])), "node").where("label <> own"), "pivot", "id"))
+        here = _open(here.select("node", "id"), labels, small)
+        if here.isEmpty():
+            break
+        direct = F.lit(level == depth) | (F.col("cnt") <= limit) | (F.col("cnt") * F.col("out") <= WORK)
+        test(_across(here.where(direct), sketch, percent))
+        rest = here.where(~direct)
+        if rest.isEmpty():
             break
-        wide = shared_buckets(materialize(branch(rest.select("node", "id"), level), "nodes"), small).select("node", "id")
+        wide = shared_buckets(materialize(branch(rest.select("node", "id"), level + 1), "nodes")).select("node", "id")
+        small = broadcaster(wide.count())
     return labels
 
 
+def _open(rows: DataFrame, labels: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, id, label, cnt, main, out) of the (node, id) buckets with more than one component; out is the number of members outside the largest, main."""
+    told = materialize(_labelled(rows, labels), "labelled")
+    groups = told.groupBy("node", "label").agg(F.count("*").alias("n"))
+    main = groups.groupBy("node").agg(F.sum("n").alias("cnt"), F.max(F.struct("n", "label")).alias("main")).where("cnt > main.n")
+    main = main.select("node", "cnt", F.col("main.label").alias("main"), (F.col("cnt") - F.col("main.n")).alias("out"))
+    return materialize(told.join(small(materialize(main, "main")), "node").select("node", "id", "label", "cnt", "main", "out"), "here")
+
+
+def _across(here: DataFrame, sketch: Callable[[DataFrame], DataFrame] | None, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of different components of a bucket, from the rows of _open.
+
+    A bucket's members are dealt into blocks and each pair of blocks is a key of its own, so that no
+    bucket has to fit in one task. Sets with 100 * intersection >= percent * union differ in at most
+    (100 - percent) / (100 + percent) of the sum of their sizes, and elements that differ account for
+    each parity that does, so no pair that reaches percent is lost.
+    """
+    bits: list[str] = []
+    if sketch is not None:
+        sketches = sketch(here.select("id").distinct())
+        bits = [c for c in sketches.columns if c not in ("id", "n")]
+        here = here.join(sketches, "id")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK)
+    part = lambda c: F.pmod(F.xxhash64("id"), parts(c))
+    all_ = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(c) - 1))
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ["id", "label", *(["n", *bits] if sketch is not None else [])]]
+    x = here.where(F.col("label") != F.col("main")).select("node", "main", *side("x"), part("out").alias("i"), all_("cnt").alias("j"))
+    y = here.select("node", *side("y"), part("cnt").alias("j"), all_("out").alias("i"))
+    met = x.join(y, ["node", "i", "j"]).where((F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x_id") < F.col("y_id"))))
+    if sketch is not None:
+        apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits])
+        met = met.where((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n"))))
+    return _ordered(met, "x_id", "y_id")
+
+
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 

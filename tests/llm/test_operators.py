@@ -187,3 +187,15 @@ def test_merged_labels_equal_components_of_all_edges(spark):
     parts = merged(connected_components(t(edges[:4])), t(edges[4:])).collect()
     assert {r.id: r.component_id for r in parts} == whole and len(parts) == len(whole)
     assert merged(connected_components(t([])), t(edges)).count() == len(whole)
+
+
+def test_wide_buckets_are_compared_across_components(spark):
+    """A single link between two components that do not hold the bucket's pivot is found."""
+    from dwellgraph.llm.paths import link
+
+    parts = [range(20 * k, 20 * k + 20) for k in range(4)]
+    wide = [(7, i) for part in parts for i in part]
+    rows = spark.createDataFrame(wide + [(100 + k, i) for k, part in enumerate(parts) for i in part], "node bigint, id bigint")
+    verify = lambda pairs: pairs.where("a div 20 = b div 20 or (a = 25 and b = 45) or (a = 47 and b = 63)")
+    got = {r.id: r.component_id for r in link(rows, lambda wide, level: wide, verify).collect()}
+    assert got == {i: 0 if i < 20 else 20 for _, i in wide}
