@@ -16,6 +16,8 @@ from dwellgraph.llm.paths import link
 COORDINATES = 64
 #: Independent trees, paths chosen at each root, and tokens that a path takes before its buckets are compared.
 TREES, ROOTS, FIRST_DEPTH = 6, 2, 3
+#: Independent paths that a class takes on below a node that is branched, and tokens that each takes.
+CHILDREN, STEP = 8, 2
 #: Words of 64 parities in the sketch of a set.
 SKETCH = 32
 
@@ -133,9 +135,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
     Documents with equal sets become one class first, so exact copies cost one comparison at most. Each
     class walks down independent trees: a node selects a coordinate, and the class goes to the child
     named by its minwise token there. Nodes are compared on whole sets, the large ones as paths.link says. Documents with similarity s meet on a path with s ** FIRST_DEPTH, so the
-    trees together find a pair at 0.85 with 0.99999 and one at 0.8 with 0.9998; in groups of so many
-    near copies that buckets are branched again, pairs at the threshold that no pivot ties are found less
-    surely with each level.
+    trees together find a pair at 0.85 with 0.99999 and one at 0.8 with 0.9998. Below a node that has to be
+    branched a class takes CHILDREN independent paths of STEP tokens, of which the pair shares one with
+    1 - (1 - s ** STEP) ** CHILDREN: 0.99996 at 0.85 and 0.9997 at 0.8, for each of two levels at most and
+    each node that it shares, so that these figures hold in wide nodes too (0.9999 and 0.9997 at least).
     """
     sets = materialize(document_sets(docs, words=words, text=text, key=key), "sets")
     full = sets.where("cid is not null")
@@ -152,8 +155,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
 
     def branch(wide: DataFrame, level: int) -> DataFrame:
         wide = wide.join(sigs.withColumnRenamed("cid", "id"), "id")
-        for seed in range(FIRST_DEPTH * level, FIRST_DEPTH * (level + 1)):
-            wide = wide.withColumn("node", _step(F.col("node"), seed))
+        wide = wide.withColumn("node", F.explode(F.array(*[F.xxhash64("node", F.lit(f"child {i}")) for i in range(CHILDREN)])))
+        for seed in range(STEP):
+            wide = wide.withColumn("node", _step(F.col("node"), FIRST_DEPTH + STEP * (level - 1) + seed))
         return wide.select("node", "id")
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -199,3 +199,26 @@ def test_wide_buckets_are_compared_across_components(spark):
     verify = lambda pairs: pairs.where("a div 20 = b div 20 or (a = 25 and b = 45) or (a = 47 and b = 63)")
     got = {r.id: r.component_id for r in link(rows, lambda wide, level: wide, verify).collect()}
     assert got == {i: 0 if i < 20 else 20 for _, i in wide}
+
+
+def test_branching_keeps_pairs_at_the_threshold(spark, monkeypatch):
+    """Pairs at the threshold among many documents that are alike, but not linked, survive branching."""
+    from dwellgraph.llm import paths
+    from dwellgraph.llm.near_dedup import near_duplicates, shingle_set
+
+    monkeypatch.setattr(paths, "WORK", 0, raising=False)
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for pair in range(150):
+        places = rng.choice(300, 10, replace=False)
+        for side, own in enumerate((places[3:7], places[7:])):
+            words = list(base)
+            for j in (*places[:3], *own):
+                words[j] = f"x{pair}-{j}"
+            rows.append((2 * pair + side, " ".join(words)))
+    sets = {i: set(shingle_set(t, 3).tolist()) for i, t in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    linked = {2 * p for p in range(150) if share(2 * p, 2 * p + 1) >= 0.85}
+    assert len(linked) > 100
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows), words=3, percent=85).collect()}
+    assert {i for i in linked if got[i] != got[i + 1]} == set()
