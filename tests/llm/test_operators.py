@@ -222,3 +222,15 @@ def test_branching_keeps_pairs_at_the_threshold(spark, monkeypatch):
     assert len(linked) > 100
     got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows), words=3, percent=85).collect()}
     assert {i for i in linked if got[i] != got[i + 1]} == set()
+
+
+def test_lines_that_differ_at_the_start_or_have_no_spaces(spark):
+    """Lines whose first characters differ, or that hold no spaces, are found as the verified sets have it."""
+    from dwellgraph.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(5)
+    rest = ["".join(chr(97 + x) for x in rng.integers(0, 26, 90)) for _ in range(40)]
+    rows = [(2 * i + k, f"{'https' if k else 'http'}://{t}") for i, t in enumerate(rest) for k in (0, 1)]
+    rows += [(100 + 2 * i + k, f"{k + 1},{t[::-1]}") for i, t in enumerate(rest) for k in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
