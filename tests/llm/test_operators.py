@@ -234,3 +234,19 @@ def test_lines_that_differ_at_the_start_or_have_no_spaces(spark):
     rows += [(100 + 2 * i + k, f"{k + 1},{t[::-1]}") for i, t in enumerate(rest) for k in (0, 1)]
     got = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, rows)).collect()}
     assert got == {i: i % 2 for i, _ in rows}
+
+
+def test_lines_fold_case_and_white_space(spark, monkeypatch):
+    """Lines that differ in case or white space only are one; the same where all wide buckets are branched."""
+    from dwellgraph.llm import paths
+    from dwellgraph.llm.line_dedup import dedup_lines
+
+    monkeypatch.setattr(paths, "WORK", 0, raising=False)
+    rows = [(1, "Read the terms below"), (2, "READ THE\tTERMS  BELOW"), (3, " \t"), (4, " \t")]
+    body = "of this long line that many others share, word by word, up to a tail of its own: "
+    rng = np.random.default_rng(6)
+    for i in range(60):
+        tail = "".join(chr(97 + x) for x in rng.integers(0, 26, 40))
+        rows += [(100 + 2 * i, body + tail), (101 + 2 * i, (body + tail[:-8]).upper() + f"{i:08d}")]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: int(i == 2 or i > 100 and i % 2) for i, _ in rows}
