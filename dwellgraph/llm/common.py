@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 #: The folder that holds the package; Python workers need it on their path.
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: A side is broadcast only if it was counted and has at most so many narrow rows.
+#: A side is broadcast only if it was counted and has at most so many rows and bytes.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -28,9 +31,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new temporary one where none is set, as in tests."""
+    """The cluster's shared folder; a new temporary one only where the driver runs the tasks too, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,20 +45,44 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and reread it: lineage ends there, and it outlives executors."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the (materialised, narrow) table is counted small; else the plan shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def discard(*tables: DataFrame) -> None:
+    """Give back the disk of tables that materialize wrote and that nothing reads any more: an empty one replaces each."""
+    for df in tables:
+        if files := df.inputFiles():
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs: it waits until the driver has forgotten their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh_name(wish: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the (materialised) table was measured small, in rows and in bytes; else the plan shuffles."""
+    wide = [F.octet_length(f"`{c}`") for c, t in df.dtypes if t in ("string", "binary")] + [8 * F.greatest(F.size(f"`{c}`"), F.lit(0)) for c, t in df.dtypes if t.startswith("array")]
+    flat = F.lit(8 * (2 + len(df.columns))).cast("bigint")
+    found = df.agg(F.count("*").alias("n"), F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), flat)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= size else df
 
 
 def broadcaster(count: int, rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
-    """A broadcast hint for narrow tables of at most the counted rows if those are few; else no hint."""
+    """A broadcast hint for tables of a few numbers a row and at most the counted rows if those are few; else no hint."""
     return F.broadcast if count <= rows else lambda df: df
 
 

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import WordHashes, ascii_words, broadcast_if_small, materialize, mix, prepare, shingle_hashes
+from dwellgraph.llm.common import WordHashes, ascii_words, broadcast_if_small, fresh_name, materialize, mix, prepare, shingle_hashes
 from dwellgraph.llm.paths import link
 
 #: Minwise values kept for each document.
@@ -170,7 +170,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
     def sketch(ids: DataFrame) -> DataFrame:
         return _sketches(packed[0].join(ids.withColumnRenamed("id", "cid"), "cid", "left_semi"))
 
-    labels = link(rows.select("node", "id"), branch, verify, sketch, percent=percent)
+    def may(x: str, y: str) -> Column:
+        # Such sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes, and the
+        # elements that differ account for each parity that does, so no pair that reaches percent is lost.
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        apart = sum((F.bit_count(F.col(f"{x}b{w}").bitwiseXOR(F.col(f"{y}b{w}"))) for w in range(SKETCH)), F.lit(0))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+    labels = link(rows.select("node", "id"), branch, verify, (sketch, may))
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component_id", "cid"))
     named = materialize(named.select("cid", "rep", "component"), "named")
     least = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
@@ -183,5 +190,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
 def first_of_each(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The documents that are kept, one of each component, all their columns unchanged; rows with a null key stay."""
     found = near_duplicates(docs, key=key, **options)
-    gone = materialize(found.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), docs[key] == F.col("gone"), "left_anti")
+    name = fresh_name("gone", docs)
+    gone = materialize(found.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias(name)).distinct(), "gone")
+    return docs.join(broadcast_if_small(gone), F.col(key) == F.col(name), "left_anti")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import broadcaster, materialize
+from dwellgraph.llm.common import broadcaster, discard, materialize, release
 from dwellgraph.llm.components import connected_components, merged
 
 #: Buckets of so many members at most are compared exhaustively.
@@ -23,13 +22,16 @@ DEPTH = 2
 BLOCK = 1024
 
 
-def shared_buckets(rows: DataFrame, small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, id, cnt) of the buckets that hold two ids at least; small is a hint for tables of no more rows than these."""
-    multi = rows.groupBy("node").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    if small is None:
-        multi = materialize(multi, "nodes")
-        small = broadcaster(multi.count())
-    return materialize(rows.join(small(multi), "node"), "nodes")
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """(node, id, cnt) of the buckets that hold two ids at least.
+
+    The rows of a bucket are counted as they stream by in the order of a sort, so they go through one
+    shuffle and a bucket of any size takes no more memory than another.
+    """
+    counted = rows.withColumn("cnt", F.count("*").over(Window.partitionBy("node")))
+    out = materialize(counted.where("cnt > 1"), "nodes")
+    release(rows.sparkSession)
+    return out
 
 
 def popular(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -43,7 +45,11 @@ def popular(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFra
     return best.select("node", F.col("best.id").alias("pivot"))
 
 
-def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame] | None = None, *, percent: int = 0, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+#: sketches(ids) gives (id, s0, s1, ...); may(x, y), of the prefixes of two sketches' columns, is false for pairs to pass over.
+Sift = tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]]
+
+
+def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sift: Sift | None = None, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """(id, component_id) of all ids with a confirmed link, from (node, id) rows of non-null values.
 
     verify keeps the pairs (a, b) that are links, by an exact test. Small buckets are compared
@@ -53,16 +59,16 @@ def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify:
     of different components is compared, in blocks. Only buckets with more than WORK such pairs are
     branched instead: branch(rows, level) gives (node, id) rows of finer buckets, which must hold the
     links of their bucket together. After depth levels all that are open are compared, whatever their size.
-    sketch(ids) gives (id, n, b0, b1, ...), the size of a set and the parities of its hashed elements, by
-    which pairs that cannot reach percent are passed over before verify; without it all pairs are verified.
+    Of the pairs across components those that sift rules out are not verified; without it all are.
     """
     nodes = shared_buckets(rows)
     near_nodes = nodes.where(F.col("cnt") <= limit)
     near = near_nodes.select("node", F.col("id").alias("a")).join(near_nodes.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
-    wide = nodes.where(F.col("cnt") > limit)
+    wide = materialize(nodes.where(F.col("cnt") > limit), "wide")
     small = broadcaster(wide.count())
     star = wide.join(small(popular(wide, small)), "node").where("id <> pivot")
     tested = materialize(near.union(_ordered(star, "pivot", "id")).distinct(), "pairs")
+    discard(nodes)
     if tested.isEmpty():
         return tested.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     labels = materialize(connected_components(verify(tested)), "labels")
@@ -87,11 +93,11 @@ def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify:
         if here.isEmpty():
             break
         direct = F.lit(level == depth) | (F.col("cnt") <= limit) | (F.col("cnt") * F.col("out") <= WORK)
-        test(_across(here.where(direct), sketch, percent))
+        test(_across(here.where(direct), sift))
         rest = here.where(~direct)
         if rest.isEmpty():
             break
-        wide = shared_buckets(materialize(branch(rest.select("node", "id"), level + 1), "nodes")).select("node", "id")
+        wide = shared_buckets(branch(rest.select("node", "id"), level + 1)).select("node", "id")
         small = broadcaster(wide.count())
     return labels
 
@@ -105,29 +111,26 @@ def _open(rows: DataFrame, labels: DataFrame, small: Callable[[DataFrame], DataF
     return materialize(told.join(small(materialize(main, "main")), "node").select("node", "id", "label", "cnt", "main", "out"), "here")
 
 
-def _across(here: DataFrame, sketch: Callable[[DataFrame], DataFrame] | None, percent: int) -> DataFrame:
+def _across(here: DataFrame, sift: Sift | None) -> DataFrame:
     """The pairs (a, b) of members of different components of a bucket, from the rows of _open.
 
     A bucket's members are dealt into blocks and each pair of blocks is a key of its own, so that no
-    bucket has to fit in one task. Sets with 100 * intersection >= percent * union differ in at most
-    (100 - percent) / (100 + percent) of the sum of their sizes, and elements that differ account for
-    each parity that does, so no pair that reaches percent is lost.
+    bucket has to fit in one task.
     """
-    bits: list[str] = []
-    if sketch is not None:
-        sketches = sketch(here.select("id").distinct())
-        bits = [c for c in sketches.columns if c not in ("id", "n")]
+    cells: list[str] = []
+    if sift:
+        sketches = sift[0](here.select("id").distinct())
+        cells = [c for c in sketches.columns if c != "id"]
         here = here.join(sketches, "id")
     parts = lambda c: F.ceil(F.col(c) / BLOCK)
     part = lambda c: F.pmod(F.xxhash64("id"), parts(c))
     all_ = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(c) - 1))
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ["id", "label", *(["n", *bits] if sketch is not None else [])]]
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ["id", "label", *cells]]
     x = here.where(F.col("label") != F.col("main")).select("node", "main", *side("x"), part("out").alias("i"), all_("cnt").alias("j"))
     y = here.select("node", *side("y"), part("cnt").alias("j"), all_("out").alias("i"))
     met = x.join(y, ["node", "i", "j"]).where((F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x_id") < F.col("y_id"))))
-    if sketch is not None:
-        apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits])
-        met = met.where((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("x_n") + F.col("y_n"))))
+    if sift:
+        met = met.where(sift[1]("x_", "y_"))
     return _ordered(met, "x_id", "y_id")
 
 
