@@ -97,6 +97,21 @@ class Transducer:
         self.opened: dict[tuple[int, int], tuple[int, int] | None] = {}
         self.start = self.state(((0, -1),))
 
+    def renew(self, at: int) -> int:
+        """Forget all states but one, which may lie within a piece; its number from now on."""
+        config, allowed = self.configs[at], self.allowed
+        self.reset()
+        kept = []
+        for node, last in config:
+            if last < -1:
+                may = allowed[-2 - last]
+                kind = self.kinds.setdefault(may, len(self.kinds))
+                if kind == len(self.allowed):
+                    self.allowed.append(may)
+                last = -2 - kind
+            kept.append((node, last))
+        return self.state(tuple(kept))
+
     def state(self, config: tuple) -> int:
         if config not in self.ids:
             self.ids[config] = len(self.configs)
@@ -185,13 +200,17 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.configs) > STATE_LIMIT:
-            self.reset()
         out: list[int] = []
         ends: list[int] = []  # the last token of each prefix since the last emitted token
         at, arcs, depth = self.start, self.arcs, self.longest
         for byte in piece:
-            token, at = arcs[at].get(byte) or self.arc(at, byte)
+            got = arcs[at].get(byte)
+            if got is None:
+                if len(self.configs) > STATE_LIMIT:
+                    at = self.renew(at)
+                    arcs = self.arcs
+                got = self.arc(at, byte)
+            token, at = got
             ends.append(token)
             if len(ends) >= 4 * depth:
                 self.emit(ends, depth, out)
@@ -272,7 +291,8 @@ UTF8 = _utf8_machine()
 class StreamDecoder:
     """Ids in, text out: bytes of a character that is not complete wait for the next call.
 
-    Between calls only the machine's state and at most three bytes are kept. Bytes that cannot begin or
+    The machine says where the last complete character ends; what lies before that is decoded in one go by
+    Python's decoder. Between calls only its state and at most three bytes are kept. Bytes that cannot begin or
     go on with a character come out as U+FFFD, as Python's decoder with errors="replace" puts them.
     """
 

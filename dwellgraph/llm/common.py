@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -60,9 +61,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs: it waits until the driver has forgotten their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of finished jobs: it waits until the driver has forgotten their plans.
+
+    The plans of the last job are let go a moment after it has ended, hence the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def fresh_name(wish: str, *frames: DataFrame) -> str:

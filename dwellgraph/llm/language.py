@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ RANKS = 300
 UNKNOWN = "und"
 #: Labelled rows of a fit at most.
 FIT_ROWS = 40_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are numerals (such as a superscript or a fraction), not letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 #: A gram is kept as one number: its code points, 21 bits each, first one highest; so numbers sort as grams do.
 _BITS = 21
 
@@ -43,8 +46,8 @@ def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:RANKS]]
 
 
-def profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> dict[str, list[int]]:
-    """Language -> its profile, from about rows rows with a language and a text at most, by a hash of the text.
+def profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> dict[str, list[int]]:
+    """Language -> its profile, from about rows rows with a language and a text at most, by a hash of key and text.
 
     Counts are made where the rows are and summed by n-gram; each language's best RANKS come back, which
     bounds the result by the number of languages. Rows with a null language or text are left out.
@@ -60,10 +63,10 @@ def profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang", row
                 grams, counts = gram_counts(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), text)
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if (total := known.count()) > rows:
-        known = known.where(F.pmod(F.xxhash64(text), F.lit(total)) < rows)
-    sums = known.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        known = known.where(F.pmod(F.xxhash64(key, text), F.lit(total)) < rows)
+    sums = known.select(F.col(lang).cast("string"), text).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Spark keeps only the best ranks of each task before it brings a language's together.
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= RANKS)

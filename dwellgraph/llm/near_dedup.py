@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text:
         apart = sum((F.bit_count(F.col(f"{x}b{w}").bitwiseXOR(F.col(f"{y}b{w}"))) for w in range(SKETCH)), F.lit(0))
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
-    labels = link(rows.select("node", "id"), branch, verify, (sketch, may))
+    labels = link([rows.select("node", "id")], branch, verify, (sketch, may))
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component_id", "cid"))
     named = materialize(named.select("cid", "rep", "component"), "named")
     least = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +23,19 @@ DEPTH = 2
 BLOCK = 1024
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(node, id, cnt) of the buckets that hold two ids at least.
+def shared_buckets(*parts: DataFrame) -> DataFrame:
+    """(node, id, cnt) of the buckets that hold two ids at least; parts of the rows share no bucket and are taken one by one.
 
     The rows of a bucket are counted as they stream by in the order of a sort, so they go through one
     shuffle and a bucket of any size takes no more memory than another.
     """
-    counted = rows.withColumn("cnt", F.count("*").over(Window.partitionBy("node")))
-    out = materialize(counted.where("cnt > 1"), "nodes")
-    release(rows.sparkSession)
-    return out
+    out = []
+    for rows in parts:
+        counted = rows.withColumn("cnt", F.count("*").over(Window.partitionBy("node")))
+        out.append(materialize(counted.where("cnt > 1"), "nodes"))
+        del counted
+        release(rows.sparkSession)
+    return reduce(DataFrame.union, out)
 
 
 def popular(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -49,8 +53,9 @@ def popular(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFra
 Sift = tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]]
 
 
-def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sift: Sift | None = None, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """(id, component_id) of all ids with a confirmed link, from (node, id) rows of non-null values.
+def link(parts: list[DataFrame], branch: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], sift: Sift | None = None, *, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+    """(id, component_id) of all ids with a confirmed link, from (node, id) rows of non-null values,
+    in parts that share no node.
 
     verify keeps the pairs (a, b) that are links, by an exact test. Small buckets are compared
     exhaustively. In a large one every member is compared with a pivot, which is linear; members tied
@@ -61,7 +66,7 @@ def link(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame], verify:
     links of their bucket together. After depth levels all that are open are compared, whatever their size.
     Of the pairs across components those that sift rules out are not verified; without it all are.
     """
-    nodes = shared_buckets(rows)
+    nodes = shared_buckets(*parts)
     near_nodes = nodes.where(F.col("cnt") <= limit)
     near = near_nodes.select("node", F.col("id").alias("a")).join(near_nodes.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
     wide = materialize(nodes.where(F.col("cnt") > limit), "wide")

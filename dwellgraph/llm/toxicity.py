@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from dwellgraph.llm.common import WordHashes, broadcast_if_small, mix, plain_words, prepare
 
 BITS = 20
-#: The fit takes so many labelled rows at most, chosen by a hash of their key.
-FIT_ROWS = 32_000
+#: The fit takes about so many labelled rows and bytes of their text at most, chosen by a hash of key and text.
+FIT_ROWS, FIT_BYTES = 32_000, 128 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.7
@@ -69,19 +69,20 @@ def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS) -> Weights
     return Weights(index, w[index], float(w[-1]))
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS) -> Weights:
+def fit(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Weights:
     """Learn from (key, text, label 0/1); rows with a null label or key are left out.
 
-    At most about rows labelled rows are used, those with the smallest hashes of their keys; the features
-    are made where the rows are, and one task, which holds no more than that, runs the learner. Without
-    rows all weights are zero and every score is a half.
+    At most about rows labelled rows with size bytes of text are used, by a hash of key and text; the
+    features are made where the rows are, and one task, which holds no more than that, runs the learner.
+    Without rows all weights are zero and every score is a half.
     """
     prepare(labelled.sparkSession)
     labelled = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, text, label)
-    total = labelled.select(key).count()
-    chosen = labelled.withColumn("order", F.xxhash64(key))
-    if total > rows:
-        chosen = chosen.where(F.pmod("order", F.lit(total)) < rows)
+    there = labelled.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    share = min(1.0, rows / max(1, there["n"]), size / max(1, there["bytes"] or 0))
+    chosen = labelled.withColumn("order", F.xxhash64(key, text))
+    if share < 1:
+        chosen = chosen.where(F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

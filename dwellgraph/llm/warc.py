@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,10 +16,18 @@ from pyspark.sql import functions as F
 from dwellgraph.llm.common import broadcast_if_small, fresh_path, materialize, prepare
 
 VERSION = b"WARC/1.1"
-#: An archive file holds about so many bytes of payload.
-FILE_BYTES = 16 << 20
+#: An archive file holds about so many bytes, and no more than the bound unless it is a single record.
+FILE_BYTES, FILE_BOUND = 16 << 20, 1 << 30
+#: Records up to each size are written together, those above the last one by one.
+SIZE_CLASSES = (64 << 10, 1 << 20, 16 << 20)
+#: A gzip member that unpacks to more than this is quarantined; bytes that are unpacked at once.
+MEMBER_BOUND, SLICE = 1 << 30, 1 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: The end of a header, or a version line that stands where none may.
+_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
+_LOG = logging.getLogger(__name__)
 
 
 def base32_sha1(value: Column) -> Column:
@@ -32,7 +41,7 @@ def base32_sha1(value: Column) -> Column:
 
 
 def records(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(record): the WARC record of each page as text, without the line feed that ends it.
+    """(record, size_class): the WARC record of each page as text, without the line feed that ends it.
 
     Of pages with equal payloads of at least least_bytes the one with the smallest key is a response and
     the others are revisits that refer to it; other pages are responses. A null payload is empty. Rows
@@ -54,15 +63,26 @@ def records(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
         F.when(revisit, F.concat(F.lit(f"{end}WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit(f"{end}Content-Type: text/html{end}Content-Length: "), F.octet_length(body).cast("string"), F.lit(end + end),
     )
-    return told.select(F.concat(head, body, F.lit(end)).alias("record"))
+    size = F.col("bytes") + F.octet_length(F.coalesce("url", F.lit(""))) + 1000
+    number = sum(((size > bound).cast("int") for bound in SIZE_CLASSES), F.lit(0))
+    return told.select(F.concat(head, body, F.lit(end)).alias("record"), number.alias("size_class"))
 
 
 def write(pages: DataFrame, path: str, **names) -> None:
-    """Write the pages' records as files of about FILE_BYTES each; the text writer works on any store."""
-    html = names.get("html", "html")
-    size = pages.agg(F.avg(F.octet_length(html)).alias("m")).first()["m"] or 1.0
+    """Write the pages' records below path, in files that no reader of whole files has to fear.
+
+    Records are written by classes of their size, so that the largest possible file is known; the text
+    writer works on any store. Files hold about FILE_BYTES, FILE_BOUND at most, or one record. An empty
+    table leaves one folder without records.
+    """
+    html, url = names.get("html", "html"), names.get("url", "url")
+    size = F.coalesce(F.octet_length(html), F.lit(0)) + F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)) + 1000
+    number = sum(((size > bound).cast("int") for bound in SIZE_CLASSES), F.lit(0))
+    found = {r["k"]: r["m"] for r in pages.groupBy(number.alias("k")).agg(F.avg(size).alias("m")).collect()}
     made = records(pages, **names)
-    made.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (size + 400)))).text(path)
+    for k, mean in sorted(found.items()) or [(0, 1000.0)]:
+        most = 1 if k == len(SIZE_CLASSES) else max(1, int(min(FILE_BYTES / mean, FILE_BOUND / SIZE_CLASSES[k])))
+        made.where(F.col("size_class") == k).select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(f"{path}/size-{k}")
 
 
 def parse(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
@@ -94,28 +114,40 @@ def parse(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[i
 
 
 def _member(data: bytes, at: int) -> tuple[list, int, str]:
-    unzip = zlib.decompressobj(31)
+    unzip, view, i, parts, size = zlib.decompressobj(31), memoryview(data), at, [], 0
     try:
-        text = unzip.decompress(data[at:])
+        while not unzip.eof and i < len(data):
+            part = unzip.decompress(view[i : i + SLICE], SLICE)
+            i += min(SLICE, len(data) - i)
+            while True:
+                parts.append(part)
+                size += len(part)
+                if size > MEMBER_BOUND:
+                    return [], at, "gzip: unpacks to too much"
+                if unzip.eof or not unzip.unconsumed_tail:
+                    break
+                part = unzip.decompress(unzip.unconsumed_tail, SLICE)
     except zlib.error as e:
         return [], at, f"gzip: {e}"
     if not unzip.eof:
         return [], at, "gzip: cut short"
-    out, i = [], 0
-    while i < len(text):
-        got, i, reason = _plain(text, i)
+    text, out, k = b"".join(parts), [], 0
+    while k < len(text):
+        got, k, reason = _plain(text, k)
         if reason:
             return [], at, reason
         out += got
-    return out, len(data) - len(unzip.unused_data), ""
+    return out, i - len(unzip.unused_data), ""
 
 
 def _plain(data: bytes, at: int) -> tuple[list, int, str]:
-    if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
+    if not _VERSION.match(data, at):
         return [], at, "no version line"
-    head = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if head < 0:
+    # A header has any length; what is searched for it ends at the next version line, where reading would go on.
+    end_of_header = _END.search(data, at)
+    if not end_of_header or end_of_header.end() - end_of_header.start() > 4:
         return [], at, "header without end"
+    head = end_of_header.start()
     headers: dict[str, str] = {}
     for line in data[at:head].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -160,18 +192,27 @@ def read(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def round_trip(pages: DataFrame, **names) -> DataFrame:
-    """Write the pages' archives, read them back, and tell of each record page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages' archives, read them back, and tell of each record page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    One row per page, as records says for null keys, null payloads and repeated rows; an empty table gives
+    no rows. Size and digest of a response are of the payload that was read, those of a revisit stand in its
+    header, for it has none. Gaps that the reader had to leave out are written beside the archives, and a
+    warning tells of them.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path, **names)
-    found, _ = read(spark, path)
+    found, gaps = read(spark, f"{path}/*")
+    lost = materialize(gaps, "gaps")
+    if left_out := lost.count():
+        _LOG.warning("%d gaps in %s", left_out, path)
     kind = pages.schema[names.get("key", "page_id")].dataType
-    name = lambda header: F.regexp_extract(F.col("headers")[header], "^<urn:page:(.*)>$", 1)
-    refers = F.col("headers")["warc-refers-to"]
+    name = lambda header: F.expr(f"nullif(regexp_extract(headers['{header}'], '^<urn:page:(.*)>$', 1), '')").cast(kind)
+    own = F.col("headers")["warc-type"] == "response"
     return found.select(
-        F.expr("nullif(regexp_extract(headers['warc-record-id'], '^<urn:page:(.*)>$', 1), '')").cast(kind).alias("page_id"),
-        F.col("headers")["x-payload-length"].cast("bigint").alias("payload_bytes"),
-        F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "").alias("payload_digest"),
+        name("warc-record-id").alias("page_id"),
+        F.when(own, F.octet_length("body").cast("bigint")).otherwise(F.col("headers")["x-payload-length"].cast("bigint")).alias("payload_bytes"),
+        F.when(own, base32_sha1(F.col("body"))).otherwise(F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "")).alias("payload_digest"),
         F.col("headers")["warc-type"].alias("record_type"),
-        F.when(refers.isNotNull(), name("warc-refers-to").cast(kind)).alias("refers_to"),
+        name("warc-refers-to").alias("refers_to"),
     )

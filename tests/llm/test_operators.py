@@ -197,7 +197,7 @@ def test_wide_buckets_are_compared_across_components(spark):
     wide = [(7, i) for part in parts for i in part]
     rows = spark.createDataFrame(wide + [(100 + k, i) for k, part in enumerate(parts) for i in part], "node bigint, id bigint")
     verify = lambda pairs: pairs.where("a div 20 = b div 20 or (a = 25 and b = 45) or (a = 47 and b = 63)")
-    got = {r.id: r.component_id for r in link(rows, lambda wide, level: wide, verify).collect()}
+    got = {r.id: r.component_id for r in link([rows], lambda wide, level: wide, verify).collect()}
     assert got == {i: 0 if i < 20 else 20 for _, i in wide}
 
 
