@@ -273,3 +273,48 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     assert 61 in kept["line_dedup"] and 63 in kept["near_dedup"] and 64 not in kept["near_dedup"]
     assert 62 in kept["near_dedup"] and 62 not in kept["decontamination"] and set(range(60)) <= set(kept["decontamination"])
     assert sorted(x or -1 for x in kept["byte_bpe"]) == sorted(x or -1 for x in kept["decontamination"])
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_vectors_of_several_blocks_and_a_dense_group(spark, monkeypatch, block):
+    """All links of an exact comparison, where a label has one block or many and a group of near copies is dense."""
+    from dwellgraph.llm import embedding_dedup as e
+
+    monkeypatch.setattr(e, "BLOCK", block)
+    monkeypatch.setattr(e, "PRODUCTS", 500)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24))
+    noise = rng.normal(size=(260, 24)) * rng.choice([0.01, 0.2, 0.35], (260, 1))
+    x = np.concatenate([centres, centres[rng.integers(0, 60, 200)] + noise[:200], centres[0] + noise[200:] * 0.1]).astype(np.float32)
+    label = (np.arange(len(x)) % 7 == 0).astype(int)
+    label[260:] = 0
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))] + [(900, x[0].tolist(), 0), (901, [1.0, 2.0], 0), (902, None, 0)]
+    got = {r.vec_id: r for r in e.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").selectExpr("*", "1 block", "2 point")).collect()}
+    ids = [r[0] for r in rows[:-2]]
+    every, k = np.array([r[1] for r in rows[:-2]], np.float32).astype(float), np.array([r[2] for r in rows[:-2]])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    near = (unit @ unit.T >= e.COSINE) & (k[:, None] == k[None, :])
+    np.fill_diagonal(near, False)
+    want = components([(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True)], ids)
+    assert {i: (got[i].n_links, got[i].component_id) for i in ids} == {i: (int(near[n].sum()), want[i]) for n, i in enumerate(ids)}
+    assert got[901].n_links == got[902].n_links == 0 and len(got) == len(rows)
+
+
+def test_cover_tree_keeps_its_radii():
+    from dwellgraph.llm.embedding_dedup import CoverTree
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = CoverTree(x, 0.05)
+    depth, stack = {0: 0}, [0]
+    while stack:
+        p = stack.pop()
+        assert tree.radius[p] <= 2.0 / 2 ** depth[p] + 1e-9 and tree.centre[p] in tree.members[p]
+        if tree.children[p]:
+            assert sorted(np.concatenate([tree.members[c] for c in tree.children[p]])) == sorted(tree.members[p])
+            assert tree.centre[tree.children[p][0]] == tree.centre[p]
+        for c in tree.children[p]:
+            depth[c] = depth[p] + 1
+            stack.append(c)
+    assert max(depth.values()) >= 4
