@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_METRES = 6_371_000.0
@@ -43,3 +43,52 @@ def offline_point(query: Column) -> tuple[Column, Column]:
     part = lambda at: F.conv(F.substring(F.sha2(name, 256), at, 4), 16, 10).cast("double") / 65535 - 0.5
     centre = lambda i: F.coalesce(*[F.when(F.contains(name, F.lit(place)), F.lit(at[i])) for place, at in CENTRES.items()])
     return F.round(centre(0) + part(1) * 0.035, 6), F.round(centre(1) + part(5) * 0.05, 6)
+
+
+def kilometres(metres: Column) -> Column:
+    """Kilometres to two places, half up."""
+    return F.round(metres / 1000, 2)
+
+
+def valid_point(lat: Column, lon: Column) -> Column:
+    """Whether both coordinates are given and on the globe."""
+    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+
+
+def quantised(lat: Column, lon: Column, places: int = 6) -> tuple[Column, Column]:
+    """Coordinates to so many places, half even; null if they are no valid point."""
+    return tuple(F.when(valid_point(lat, lon), F.bround(x, places)) for x in (lat, lon))
+
+
+def bounds(rows: DataFrame, *groups: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(groups, west, south, east, north) of the valid points; no row for a group without any."""
+    inside = rows.where(valid_point(F.col(lat), F.col(lon)))
+    return inside.groupBy(*groups).agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"))
+
+
+def features(rows: DataFrame, properties: list[str], *, key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(key, feature): each row as a GeoJSON feature; rows without a valid point are left out."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
+    told = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(key).alias("id"), point.alias("geometry"), F.struct(*properties).alias("properties")))
+    return rows.where(valid_point(F.col(lat), F.col(lon))).select(key, told.alias("feature"))
+
+
+def write_features(rows: DataFrame, path: str, properties: list[str], **names) -> None:
+    """Write the rows' features as GeoJSON text sequences, one feature a line."""
+    features(rows, properties, **names).select("feature").write.mode("overwrite").text(path)
+
+
+def within(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """(place, id, km) of the points within km kilometres of each place, by cells of that size.
+
+    Both tables have lat and lon; places has place, points id. A place looks into the cells around its own,
+    so no place meets all points.
+    """
+    size = km / 111.0
+    reach = F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians("plat")), F.lit(0.05))).cast("int")
+    around = places.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon")).where(valid_point(F.col("plat"), F.col("plon")))
+    around = around.withColumn("cy", F.explode(F.sequence(F.floor(F.col("plat") / size) - 1, F.floor(F.col("plat") / size) + 1)))
+    around = around.withColumn("cx", F.explode(F.sequence(F.floor(F.col("plon") / size) - reach, F.floor(F.col("plon") / size) + reach)))
+    placed = points.where(valid_point(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lon") / size).alias("cx"))
+    metres = haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+    return placed.join(around, ["cy", "cx"]).where(metres <= km * 1000).select("place", "id", kilometres(metres).alias("km"))

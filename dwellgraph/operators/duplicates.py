@@ -2,66 +2,166 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellgraph.functions.geo import haversine
+from dwellgraph.functions.text import hamming64, text_similarity
+from dwellgraph.operators.graph import components
+from dwellgraph.operators.lineage import cut
 
-#: Weights of the components and the thresholds of a decision.
-WEIGHTS = {"location": 25, "attributes": 15, "price": 5}
+#: Weights of the components, the thresholds of a decision, and the decisions that count as accepted.
+WEIGHTS = {"exact": 25, "location": 25, "attributes": 15, "text": 15, "image": 15, "price": 5}
 AUTO, REVIEW = 92, 78
+ACCEPTED = ("auto_merge", "confirmed")
+#: Of each city so many listings, by id, are compared with all others of the city; bits and price steps of a block.
+BLOCK_CAP, BLOCK_BITS, BLOCK_STEPS = 500, 12, 3
+#: Clusters of so many members must have every pair compatible; larger ones this share of them.
+SMALL_CLUSTER, SHARE = 5, 0.7
 
 
-def block_pairs(listings: DataFrame, blocks: dict[str, list[Column]]) -> DataFrame:
-    """(left_id, right_id), left below right, of listings that share all columns of some block, none of them null.
+def block_pairs(prints: DataFrame, *, cap: int = BLOCK_CAP, text: bool = True) -> DataFrame:
+    """(left_id, right_id), left below right, of fingerprints of one city that share a block.
 
-    One join on equality for each block and their distinct union: a join on a disjunction would compare
-    all pairs.
+    Blocks are the same url, contact, address, place or exact image, the same attributes at prices at most
+    BLOCK_STEPS steps apart, and the same beginning of SimHashes at most BLOCK_BITS bits apart. Only pairs
+    count of which one is among the first cap listings of the city by id, as the rule of the reference has it;
+    so a block's pairs grow with the listings, not with their square. Each block is a join on equality.
     """
-    found = []
-    for columns in blocks.values():
-        keyed = listings.select("id", *[c.alias(f"k{i}") for i, c in enumerate(columns)]).dropna()
-        keys = [f"k{i}" for i in range(len(columns))]
-        found.append(keyed.withColumnRenamed("id", "left_id").join(keyed.withColumnRenamed("id", "right_id"), keys).where("left_id < right_id").select("left_id", "right_id"))
-    return reduce(DataFrame.union, found).distinct()
-
-
-def weighted(parts: dict[str, Column]) -> Column:
-    """The mean of the components that are known, by their weights, half up to two places."""
-    known = lambda n: F.when(parts[n].isNotNull(), F.lit(WEIGHTS[n])).otherwise(0)
-    total = reduce(lambda a, b: a + b, [F.coalesce(parts[n], F.lit(0.0)) * WEIGHTS[n] for n in parts])
-    weight = reduce(lambda a, b: a + b, [known(n) for n in parts])
+    place = F.row_number().over(Window.partitionBy("city_key").orderBy("id"))
+    first = prints.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+    def side(rows: DataFrame, name: str, key: Column, *more: Column) -> DataFrame:
+        keyed = rows.select(F.col("id").alias(f"{name}_id"), F.col("city_key"), key.alias("k"), *[c.alias(f"{name}_{i}") for i, c in enumerate(more)])
+        return keyed.where("k is not null and k <> ''")
+
+    def met(key: Column, *more: Column, other: Column | None = None) -> DataFrame:
+        return side(first, "left", key, *more).join(side(prints, "right", key if other is None else other, *more), ["city_key", "k"]).where("left_id < right_id")
+
+    found = [met(F.col(c)) for c in ("url_key", "address_key", "geo_key")] + [met(F.explode(c)) for c in ("contacts", "exact")]
+    # A band of prices: equal step groups or neighbouring ones, then the exact difference.
+    step = F.floor(F.col("price_bucket") / (BLOCK_STEPS + 1))
+    named = lambda s: F.concat_ws("|", "attribute_key", s.cast("string"))
+    near = F.explode(F.array(*[named(step + d) for d in (-1, 0, 1)]))
+    found.append(met(near, F.col("price_bucket"), other=named(step)).where(F.abs(F.col("left_0") - F.col("right_0")) <= BLOCK_STEPS))
+    if text:
+        found.append(met(F.col("text_block"), F.col("simhash")).where(hamming64(F.col("left_0"), F.col("right_0")) <= BLOCK_BITS))
+    return reduce(DataFrame.union, [f.select("left_id", "right_id") for f in found]).distinct()
+
+
+def weighted(parts: dict[str, Column], weights: dict[str, int]) -> Column:
+    """The mean of the parts that are known, by their weights, half up to two places; null if none is."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(parts[n], F.lit(0.0)) * weights[n] for n in parts])
+    weight = reduce(lambda a, b: a + b, [F.when(parts[n].isNotNull(), weights[n]).otherwise(0) for n in parts])
     return F.when(weight > 0, F.round(total / weight, 2))
 
 
-def score(pairs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Pairs with location, attributes, price, final and decision; a hard conflict makes final 0."""
-    side = lambda s: listings.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "city", "rooms", "total_area", "floor", "building_type", "price_uah", "lat", "lon")])
+def mean(*parts: Column) -> Column:
+    """The mean of the parts that are not null."""
+    known = F.array_compact(F.array(*parts))
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+
+def steps(x: Column, bounds: Iterable[tuple[float, float]], rest: float) -> Column:
+    """The value of the first bound that x does not exceed, else rest; null for null."""
+    out = F.when(x.isNull(), F.lit(None).cast("double"))
+    for bound, value in bounds:
+        out = out.when(x <= bound, float(value))
+    return out.otherwise(float(rest))
+
+
+def score(pairs: DataFrame, listings: DataFrame, prints: DataFrame, *, text: bool = True) -> DataFrame:
+    """Pairs with their components, reasons, hard conflicts, final score and decision.
+
+    Components are null where nothing is known and then have no weight. A hard conflict rejects the pair
+    with a final score of 0. An exact rule accepts unless attributes speak against it.
+    """
+    wanted = ["id", "source_code", "external_id", "deal_type", "property_type", "city", "district", "street", "rooms", "total_area", "floor", "floors_total", "building_type", "renovation_level", "heating_type", "price_uah", "lat", "lon", "location_accuracy"]
+    whole = listings.select(*wanted).join(prints.select("id", "url_key", "contacts", "address_key", "exact", "perceptual", "body", "simhash"), "id")
+    side = lambda s: whole.select(*[F.col(c).alias(f"{s}_{c}") for c in whole.columns])
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     left, right = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))
-    metres = haversine(left("lat"), left("lon"), right("lat"), right("lon"))
-    location = F.when(metres <= 50, 100.0).when(metres <= 150, 92.0).when(metres <= 400, 72.0).when(metres <= 1000, 42.0).otherwise(0.0)
+    same = lambda c: left(c) == right(c)
     apart = lambda c: F.try_divide(F.abs(left(c) - right(c)).cast("double"), F.greatest(left(c), right(c)).cast("double"))
-    area = F.when(left("total_area").isNull() | right("total_area").isNull(), None).when(apart("total_area") <= 0.05, 100.0).when(apart("total_area") <= 0.12, 82.0).when(apart("total_area") <= 0.25, 45.0).otherwise(5.0)
-    rooms = F.when(left("rooms") == right("rooms"), 100.0).when(F.abs(left("rooms") - right("rooms")) == 1, 45.0)
-    floor = F.when(left("floor").isNotNull() & right("floor").isNotNull(), F.when(left("floor") == right("floor"), 100.0).otherwise(35.0))
-    building = F.when((left("building_type") != "") & (right("building_type") != ""), F.when(left("building_type") == right("building_type"), 100.0).otherwise(35.0))
-    known = F.array_compact(F.array(rooms, area, floor, building))
-    attributes = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
-    price = F.when(apart("price_uah") <= 0.03, 100.0).when(apart("price_uah") <= 0.10, 90.0).when(apart("price_uah") <= 0.20, 70.0).when(apart("price_uah") <= 0.35, 40.0).otherwise(12.0)
-    conflict = (left("city") != right("city")) | (F.abs(left("rooms") - right("rooms")) > 1) | F.coalesce(apart("total_area") > 0.45, F.lit(False))
-    final = F.when(conflict, 0.0).otherwise(weighted({"location": location, "attributes": attributes, "price": price}))
-    told = both.select("left_id", "right_id", location.alias("location"), F.round(attributes, 6).alias("attributes"), price.alias("price"), conflict.alias("conflict"), final.alias("final"))
-    return told.withColumn("decision", F.when(F.col("conflict"), "rejected").when(F.col("final") >= AUTO, "auto_merge").when(F.col("final") >= REVIEW, "needs_review").otherwise("rejected"))
+    shared_images = F.size(F.array_intersect(left("exact"), right("exact")))
+
+    rules = {
+        "same_url": (same("url_key") & (left("url_key") != ""), 100.0),
+        "same_source_id": (same("source_code") & same("external_id") & (left("external_id") != ""), 100.0),
+        "same_images": (shared_images >= 2, 100.0),
+        "same_contact": (F.arrays_overlap(left("contacts"), right("contacts")), 100.0),
+        "same_image": (shared_images == 1, 88.0),
+    }
+    hits = {n: F.coalesce(c, F.lit(False)) for n, (c, _) in rules.items()}
+    exact = F.coalesce(*[F.when(hits[n], value) for n, (_, value) in rules.items()])
+    ruled = hits["same_url"] | hits["same_source_id"] | hits["same_images"]
+
+    address = F.when(same("address_key") & (left("address_key") != ""), 100.0).when((F.lower(left("street")) == F.lower(right("street"))) & (left("street") != ""), 82.0)
+    address = address.when((F.lower(left("district")) == F.lower(right("district"))) & (left("district") != ""), 55.0)
+    metres = haversine(left("lat"), left("lon"), right("lat"), right("lon"))
+    location = mean(address, steps(metres, [(50, 100), (150, 92), (400, 72), (1000, 42)], 0))
+
+    equal = lambda c: F.when((F.coalesce(left(c).cast("string"), F.lit("")) != "") & (F.coalesce(right(c).cast("string"), F.lit("")) != ""), F.when(same(c), 100.0).otherwise(35.0))
+    rooms = F.when(same("rooms"), 100.0).when(F.abs(left("rooms") - right("rooms")) == 1, 45.0)
+    area = steps(apart("total_area"), [(0.05, 100), (0.12, 82), (0.25, 45)], 5)
+    attributes = F.round(mean(rooms, area, *[equal(c) for c in ("floor", "floors_total", "building_type", "renovation_level", "heating_type")]), 2)
+
+    alike = text_similarity(left("body"), right("body"), left("simhash"), right("simhash"))
+    written = F.when((left("body") != "") & (right("body") != ""), alike) if text else F.lit(None).cast("double")
+    # Sets of visual hashes are small, so the least distance of any two is a nested minimum.
+    bits = F.array_min(F.transform(left("perceptual"), lambda x: F.array_min(F.transform(right("perceptual"), lambda y: hamming64(x, y)))))
+    seen = F.when((F.size(left("perceptual")) == 0) | (F.size(right("perceptual")) == 0), 0.0).otherwise(steps(bits, [(4, 94), (8, 78), (14, 52)], 8))
+    pictured = (F.size(left("exact")) + F.size(left("perceptual")) > 0) & (F.size(right("exact")) + F.size(right("perceptual")) > 0)
+    image = F.when(pictured, F.when(shared_images >= 2, 100.0).when(shared_images == 1, 92.0).otherwise(seen))
+    price = F.when((left("price_uah") > 0) & (right("price_uah") > 0), steps(apart("price_uah"), [(0.03, 100), (0.10, 90), (0.20, 70), (0.35, 40)], 12))
+
+    built = (left("location_accuracy") == "building") & (right("location_accuracy") == "building")
+    against = {"deal_type": ~same("deal_type"), "property_type": ~same("property_type"), "city": F.lower(left("city")) != F.lower(right("city")), "rooms": F.abs(left("rooms") - right("rooms")) > 1, "area": apart("total_area") > 0.45, "location": built & (metres > 750)}
+    conflicts = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in against.items()]))
+
+    told = both.select("left_id", "right_id", exact.alias("exact"), F.round(location, 6).alias("location"), attributes.alias("attributes"), written.alias("text"), image.alias("image"), price.alias("price"), F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in hits.items()])).alias("reasons"), conflicts.alias("conflicts"), ruled.alias("ruled"))
+    told = told.withColumn("conflict", F.size("conflicts") > 0)
+    told = told.withColumn("final", F.when(F.col("conflict"), 0.0).otherwise(F.coalesce(weighted({n: F.col(n) for n in WEIGHTS}, WEIGHTS), F.lit(0.0))))
+    merges = (F.col("ruled") & F.coalesce(F.col("attributes") >= 60, F.lit(True))) | (F.col("final") >= AUTO)
+    return told.withColumn("decision", F.when(F.col("conflict"), "rejected").when(merges, "auto_merge").when(F.col("final") >= REVIEW, "needs_review").otherwise("rejected"))
+
+
+def with_manual(scored: DataFrame, log: DataFrame) -> DataFrame:
+    """The scored pairs with decision replaced by the last manual one (confirmed, split) of the log, which scoring never overrides.
+
+    log has left_id, right_id in either order, decision, decided_at and an id that parts ties. Pairs that
+    only the log has are not added.
+    """
+    manual = log.where(F.col("decision").isin("confirmed", "split")).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.col("decision").alias("manual"), "decided_at", F.col("id").alias("log_id"))
+    last = manual.groupBy("left_id", "right_id").agg(F.max_by("manual", F.struct("decided_at", "log_id")).alias("manual"))
+    return scored.join(last, ["left_id", "right_id"], "left").withColumn("decision", F.coalesce("manual", "decision")).drop("manual")
+
+
+def with_quality(listings: DataFrame) -> DataFrame:
+    """The listings with quality: what a cluster's primary is elected by, the greatest first.
+
+    Activity, approved source, healthy source, accuracy of the place, images, known fields, owner, least
+    commission, publication, last sight, id.
+    """
+    filled = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0) for c in ("district", "street", "total_area", "floor", "floors_total", "building_type", "renovation_level", "heating_type", "pets_allowed", "children_allowed")]
+    seen = F.col("last_seen_at") if "last_seen_at" in listings.columns else F.col("published_at")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return listings.withColumn("quality", F.struct(
+        flag(F.col("is_active")).alias("active"), flag(F.col("legal_status").isin("approved", "approved_demo")).alias("approved"), flag(F.col("enabled") & F.col("health_status").isin("healthy", "unknown")).alias("healthy"),
+        F.when(F.col("location_accuracy") == "building", 3).when(F.col("location_accuracy") == "street", 2).when(F.col("location_accuracy") == "district", 1).otherwise(0).alias("accuracy"),
+        sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("image_one", "image_two")), F.lit(0)).alias("images"), sum(filled, F.lit(0)).alias("known"), flag(F.col("is_owner")).alias("owner"),
+        (-F.coalesce(F.col("commission_percent").cast("double"), F.lit(1000.0))).alias("commission"), F.col("published_at").alias("published"), seen.alias("seen"), F.col("id").alias("id"),
+    ))
 
 
 def primaries(members: DataFrame) -> DataFrame:
-    """Each cluster's primary by activity, owner, least commission, recency and id, and its members' counts and prices."""
-    order = Window.partitionBy("cluster").orderBy(F.desc("is_active"), F.desc(F.coalesce("is_owner", F.lit(False))), F.coalesce("commission_percent", F.lit(1000)), F.desc("published_at"), F.desc("id"))
-    ranked = members.withColumn("role", F.when(F.row_number().over(order) == 1, "primary").otherwise("duplicate"))
-    return ranked
+    """The members of clusters with role, primary for the one with the greatest quality, else duplicate."""
+    order = Window.partitionBy("cluster").orderBy(F.desc("quality"))
+    rows = members if "quality" in members.columns else with_quality(members)
+    return rows.withColumn("role", F.when(F.row_number().over(order) == 1, "primary").otherwise("duplicate")).drop("quality")
 
 
 def cluster_ranges(ranked: DataFrame) -> DataFrame:
@@ -73,38 +173,119 @@ def cluster_ranges(ranked: DataFrame) -> DataFrame:
     )
 
 
-def guarded_clusters(edges: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(id, cluster) by merging edges in the order of their score, never across a conflict or a missing edge.
+def compatible(scored: DataFrame) -> Column:
+    """Whether a pair may stand in one cluster: not split, without conflict, accepted or at the review threshold."""
+    return (F.col("decision") != "split") & (F.size("conflicts") == 0) & (F.col("decision").isin(*ACCEPTED) | (F.col("final") >= REVIEW))
 
-    The rule is sequential, so it runs by component of accepted edges, each a group of listings that are
-    alike; the components come from repeated minima over the edges. edges has left_id, right_id, final.
+
+def guarded_clusters(scored: DataFrame, listings: DataFrame) -> DataFrame:
+    """(id, cluster) of listings in clusters of two or more, named by their smallest id.
+
+    Accepted pairs are taken by falling score, then by the qualities of their ends and their ids, and merge
+    two clusters if may_merge allows it. The rule is sequential, but pairs of different components of
+    accepted pairs have no effect on each other: so it runs by component, each in one task with the pairs of
+    its members. Components are groups of publications of one flat, small by nature. Members are one cluster
+    if none of their pairs is split and, of SMALL_CLUSTER or fewer, all pairs are compatible; of more, SHARE
+    of the pairs and all with the member of the best quality.
     """
-    both = edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).union(edges.select("right_id", "left_id"))
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
-    while True:
-        least = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(least.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("new")).checkpoint()
-        changed = new.where("new < label").isEmpty()
-        labels = new.select("id", F.col("new").alias("label"))
-        if changed:
-            break
+    small, tenths = SMALL_CLUSTER, round(10 * SHARE)
+    scored = cut(scored)
+    labels = cut(components(scored.where(F.col("decision").isin(*ACCEPTED)).select("left_id", "right_id")))
+    of = lambda side: labels.select(F.col("id").alias(f"{side}_id"), F.col("component").alias(f"{side}_component"))
+    inside = scored.join(of("left"), "left_id").join(of("right"), "right_id").where("left_component = right_component")
+    quality = with_quality(listings).select("id", "quality").join(labels, "id")
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("quality")))
+    ranks = quality.select("id", "component", place.alias("place"))
+    ends = inside.join(ranks.select(F.col("id").alias("left_id"), F.col("place").alias("left_place")), "left_id").join(ranks.select(F.col("id").alias("right_id"), F.col("place").alias("right_place")), "right_id")
+    rows = ends.select(F.col("left_component").alias("component"), "left_id", "right_id", "final", "left_place", "right_place", compatible(scored).alias("fits"), (F.col("decision") == "split").alias("split"), F.col("decision").isin(*ACCEPTED).alias("accepted"))
+
+    def may_merge(members: set, fits: set, split: set, rank: dict) -> bool:
+        ids = sorted(members)
+        pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]]
+        if any(p in split for p in pairs):
+            return False
+        good = sum(p in fits for p in pairs)
+        if len(ids) <= small:
+            return good == len(pairs)
+        best = min(ids, key=rank.__getitem__)
+        return good >= -(-len(pairs) * tenths // 10) and all((min(best, m), max(best, m)) in fits for m in ids if m != best)
 
     def merge(group):
         import pandas as pd
 
-        of, members = {}, {}
-        pairs = {(r.left_id, r.right_id) for r in group.itertuples()}
-        for r in group.sort_values(["final", "left_id", "right_id"], ascending=[False, True, True]).itertuples():
-            x, y = of.setdefault(r.left_id, r.left_id), of.setdefault(r.right_id, r.right_id)
+        rank, of_id, members = {}, {}, {}
+        for r in group.itertuples():
+            rank[r.left_id], rank[r.right_id] = r.left_place, r.right_place
+        pair = lambda r: (r.left_id, r.right_id)
+        fits = {pair(r) for r in group.itertuples() if r.fits}
+        split = {pair(r) for r in group.itertuples() if r.split}
+        taken = [r for r in group.itertuples() if r.accepted]
+        # Sorting is stable: by ids falling, then by the worse and the better end, then by score falling.
+        taken.sort(key=pair, reverse=True)
+        taken.sort(key=lambda r: (-r.final, min(r.left_place, r.right_place), max(r.left_place, r.right_place)))
+        for r in taken:
+            x, y = of_id.setdefault(r.left_id, r.left_id), of_id.setdefault(r.right_id, r.right_id)
             mx, my = members.setdefault(x, {x}), members.setdefault(y, {y})
-            if x != y and all((min(i, j), max(i, j)) in pairs for i in mx for j in my):
+            if x != y and may_merge(mx | my, fits, split, rank):
                 for i in my:
-                    of[i] = x
+                    of_id[i] = x
                 mx |= my
                 del members[y]
-        name = {x: min(m) for x, m in members.items()}
-        return pd.DataFrame({"id": list(of), "cluster": [name[x] for x in of.values()]}, dtype="int64")
+        found = [(i, min(m)) for m in members.values() if len(m) > 1 for i in m]
+        return pd.DataFrame({"id": [i for i, _ in found], "cluster": [c for _, c in found]}, dtype="int64")
+
+    return rows.groupBy("component").applyInPandas(merge, "id bigint, cluster bigint")
+
+
+def joined_members(clusters: DataFrame, listings: DataFrame, scored: DataFrame) -> DataFrame:
+    """The members of clusters with role, confidence and method of joining.
+
+    The primary has confidence 100; others the final score of their pair with it, or null without one.
+    The method is manual for a confirmed pair, exact for a ruled one, else score.
+    """
+    ranked = primaries(listings.join(clusters, "id")).select("id", "cluster", "role", "source_code", "price_uah", "is_active", "published_at")
+    tops = ranked.where("role = 'primary'").select("cluster", F.col("id").alias("primary_id"))
+    pair = scored.select("left_id", "right_id", F.col("final").alias("pair_final"), F.col("decision").alias("pair_decision"), "ruled")
+    told = ranked.join(tops, "cluster").withColumns({"left_id": F.least("id", "primary_id"), "right_id": F.greatest("id", "primary_id")}).join(pair, ["left_id", "right_id"], "left")
+    confidence = F.when(F.col("role") == "primary", 100.0).otherwise(F.col("pair_final"))
+    method = F.when(F.col("role") == "primary", "primary").when(F.col("pair_decision") == "confirmed", "manual").when(F.col("ruled"), "exact").otherwise("score")
+    return told.select("cluster", "id", "role", "source_code", "price_uah", "is_active", "published_at", confidence.alias("confidence"), method.alias("method"))
+
 
-    accepted = edges.join(conflicts, ["left_id", "right_id"], "left_anti")
-    grouped = accepted.join(labels.withColumnRenamed("id", "left_id"), "left_id")
-    return grouped.groupBy("label").applyInPandas(merge, "id bigint, cluster bigint")
+def nested(members: DataFrame) -> DataFrame:
+    """Each cluster with its members as an ordered array, the primary first, then by confidence and id; and its counts and confidences."""
+    item = F.struct((F.col("role") != "primary").alias("after"), (-F.coalesce("confidence", F.lit(-1.0))).alias("low"), "id", "role", "source_code", "price_uah", "confidence", "method")
+    return members.groupBy("cluster").agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda m: m.dropFields("after", "low")).alias("members"), F.count("*").alias("member_count"), F.count_distinct("source_code").alias("source_count"),
+        F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"),
+    )
+
+
+def reused_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(cluster, kept) of each new cluster: the old cluster that shares most members with it goes on under its old name.
+
+    Both tables have cluster and id. Of equal overlaps the smaller old name wins, and an old name goes on in
+    the new cluster that shares most with it; others keep their own name.
+    """
+    shared = old.select(F.col("cluster").alias("was"), "id").join(new, "id").groupBy("cluster", "was").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "was"))
+    first = F.row_number().over(Window.partitionBy("was").orderBy(F.desc("n"), "cluster"))
+    kept = shared.withColumn("b", best).where("b = 1").withColumn("f", first).where("f = 1").select("cluster", "was")
+    return new.select("cluster").distinct().join(kept, "cluster", "left").select("cluster", F.coalesce("was", "cluster").alias("kept"))
+
+
+def archived(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The names of old clusters of which no new one shares a member."""
+    going_on = old.join(new.select("id"), "id", "left_semi").select("cluster").distinct()
+    return old.select("cluster").distinct().join(going_on, "cluster", "left_anti")
+
+
+def migrated_states(states: DataFrame, members: DataFrame) -> DataFrame:
+    """User states of listings moved to their clusters: a flag is set if it was for any member; the last note stays.
+
+    states has user_id, id, is_favorite, is_hidden, is_compared, note, updated_at; states of listings in no
+    cluster are left out.
+    """
+    told = states.join(members.select("id", "cluster"), "id")
+    flags = [F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("is_favorite", "is_hidden", "is_compared")]
+    return told.groupBy("user_id", "cluster").agg(*flags, F.max_by("note", F.struct("updated_at", "id")).alias("note"), F.max("updated_at").alias("updated_at"))

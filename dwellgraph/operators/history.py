@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,36 @@ def throttled(rows: DataFrame, *, key: str, at: str, tie: str, period: str = "ho
     """The rows with allowed: whether a row is among the first so many of its key in its period of the calendar."""
     place = F.row_number().over(Window.partitionBy(key, F.date_trunc(period, at)).orderBy(at, tie))
     return rows.withColumn("allowed", place <= limit)
+
+
+#: Attributes that a snapshot may hold.
+ALLOWED = ("backup_power", "balcony", "building_number", "demo", "demo_duplicate_group", "demo_image_hashes", "demo_revision", "elevator", "furniture", "parking", "relisted_count")
+
+
+def allowed(attributes: Column, names: tuple[str, ...] = ALLOWED) -> Column:
+    """The entries of a map whose keys are on the list, by key; an empty map for null."""
+    kept = F.map_filter(F.coalesce(attributes, F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*names))
+    return F.map_from_entries(F.array_sort(F.map_entries(kept)))
+
+
+def stable_json(*columns: str) -> Column:
+    """The columns as JSON without spaces, names in order and nulls told."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def snapshots(listings: DataFrame, columns: list[str], *, texts: tuple[str, ...] = ("title", "description")) -> DataFrame:
+    """(id, price_uah, captured_at, content_hash) of each state of a listing that differs from all its earlier ones.
+
+    Texts enter the hash as hashes of their own, trimmed. The first of equal states is kept, by time; when a
+    listing was last seen does not count, so a mere touch makes no snapshot.
+    """
+    named = {f"{c}_hash": F.sha2(F.trim(F.coalesce(c, F.lit(""))), 256) for c in texts}
+    hashed = listings.withColumns(named).withColumn("content_hash", F.sha2(stable_json(*columns, *named), 256))
+    first = F.row_number().over(Window.partitionBy("id", "content_hash").orderBy("captured_at"))
+    return hashed.withColumn("place", first).where("place = 1").select("id", "price_uah", "captured_at", "content_hash")
+
+
+def swept(listings: DataFrame, as_of, *, days: int) -> DataFrame:
+    """The listings, those not seen for so many days no longer active; age_days tells how long ago each was seen."""
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("last_seen_at").cast("date"))
+    return listings.withColumn("age_days", age).withColumn("is_active", F.col("is_active") & F.coalesce(F.col("age_days") <= days, F.lit(True)))

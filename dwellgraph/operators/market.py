@@ -2,57 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_SAMPLE, MAX_SAMPLE = 8, 120
-STAGES = ("district_rooms_area", "building_or_renovation", "city_rooms")
+from dwellgraph.functions.geo import haversine
+from dwellgraph.operators.lineage import cut
 
+#: Comparables of a sample, days of freshness, kilometres, and tolerances of area in percent.
+MIN_SAMPLE, MAX_SAMPLE, FRESH_DAYS, RADIUS_KM, AREA, AREA_DISTRICT = 8, 120, 90, 5.0, 25, 20
+STAGES = ("district_rooms_area", "radius_rooms_area", "city_rooms_attributes", "city_rooms")
+_DEGREE_KM = 111.0
 
-def comparables(targets: DataFrame, pool: DataFrame, *, least: int = MIN_SAMPLE, most: int = MAX_SAMPLE) -> DataFrame:
-    """(target, id, price_uah, total_area, stage) of each target's comparables, newest first and most at most.
 
-    Comparables share the city and the number of rooms and are another listing. The stage is the first of
-    STAGES with least listings for the target, otherwise the last. Without area, or building and
-    renovation, a stage does not apply. The join's key is (city, rooms); a hot city is split by adaptive
-    execution, since the join stands directly over its shuffles.
+def price_per_area(price: Column, area: Column) -> Column:
+    """Price for a square metre, half up to two places; null without a positive area."""
+    return F.when(area > 0, F.round(price / area, 2))
+
+
+def _fits_area(percent: int) -> Column:
+    low, high = F.col("ta") * (1 - percent / 100), F.col("ta") * (1 + percent / 100)
+    return F.when(F.coalesce(F.col("ta") > 0, F.lit(False)), F.coalesce(F.col("total_area").between(low, high), F.lit(False))).otherwise(True)
+
+
+def comparables(targets: DataFrame, pool: DataFrame, as_of, *, least: int = MIN_SAMPLE, most: int = MAX_SAMPLE, fresh_days: int = FRESH_DAYS, radius_km: float = RADIUS_KM) -> DataFrame:
+    """(target, id, price_uah, total_area, district, published_at, stage, candidates) of each target's comparables.
+
+    Comparables share the city and the rooms, have a price, were published within fresh_days of as_of, are
+    another listing, primary in their cluster or in none, and not of the target's own cluster (columns
+    cluster and role, both null outside clusters). The stage is the first of STAGES with least listings for
+    the target, otherwise the last; the newest of it are taken, then the cheapest, then by id, most at most.
+    candidates tells how many there were, most + 1 standing for all greater numbers.
+
+    The stages run one after the other, each for the targets that the ones before left open. The first two
+    join on a district or a cell of the map; the last two meet only the newest most + 3 of a city's listings
+    (of a building type or renovation level), of which two at most are the target and its cluster's primary,
+    so that no target meets a whole city.
     """
-    t = targets.select(F.col("id").alias("target"), F.lower("city").alias("k"), "rooms", F.col("district").alias("td"), F.col("total_area").alias("ta"), F.col("building_type").alias("tb"), F.col("renovation_level").alias("tr"))
-    p = pool.where("price_uah > 0").select("id", F.lower("city").alias("k"), "rooms", "district", "price_uah", "total_area", "building_type", "renovation_level", "published_at")
-    met = t.join(p, ["k", "rooms"]).where("id <> target")
-    near_area = F.when(F.col("ta").isNull(), True).otherwise(F.coalesce(F.col("total_area").between(F.col("ta") * 0.8, F.col("ta") * 1.2), F.lit(False)))
-    first = (F.col("district") == F.col("td")) & near_area
-    second = ((F.col("tb") != "") & (F.col("building_type") == F.col("tb"))) | ((F.col("tr") != "") & (F.col("renovation_level") == F.col("tr")))
-    flagged = met.withColumns({"f1": first.cast("int"), "f2": second.cast("int")})
-    chosen = flagged.groupBy("target").agg(F.sum("f1").alias("n1"), F.sum("f2").alias("n2"))
-    chosen = chosen.select("target", F.when(F.col("n1") >= least, 1).when(F.col("n2") >= least, 2).otherwise(3).alias("s"))
-    fits = ((F.col("s") == 1) & (F.col("f1") == 1)) | ((F.col("s") == 2) & (F.col("f2") == 1)) | (F.col("s") == 3)
-    order = Window.partitionBy("target").orderBy(F.desc("published_at"), "id")
-    kept = flagged.join(chosen, "target").where(fits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    names = F.array(*[F.lit(s) for s in STAGES])
-    return kept.select("target", "id", "price_uah", "total_area", names[F.col("s") - 1].alias("stage"))
-
-
-def assess(targets: DataFrame, compared: DataFrame, *, least: int = MIN_SAMPLE) -> DataFrame:
-    """One row per target: sample size, median, quartiles, outliers outside the fences, deviation, status.
-
-    Targets with fewer than least comparables are insufficient and have no estimates.
+    stop = F.lit(as_of) if not isinstance(as_of, Column) else as_of
+    fresh = pool.where((F.col("price_uah") > 0) & (F.col("published_at") >= stop - F.expr(f"interval {fresh_days} days")) & (F.col("role").isNull() | (F.col("role") == "primary")))
+    p = fresh.select("id", F.lower("city").alias("k"), "rooms", "district", F.lower("district").alias("dk"), "price_uah", "total_area", "building_type", "renovation_level", "published_at", "lat", "lon", F.col("cluster").alias("pc"))
+    p = cut(p)
+    t = targets.select(F.col("id").alias("target"), F.lower("city").alias("k"), "rooms", F.lower("district").alias("td"), F.col("total_area").alias("ta"), F.col("building_type").alias("tb"), F.col("renovation_level").alias("tr"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), F.col("cluster").alias("tc"))
+    other = (F.col("id") != F.col("target")) & ~F.coalesce(F.col("pc") == F.col("tc"), F.lit(False))
+    order = [F.desc("published_at"), F.col("price_uah"), F.col("id")]
+    by_target = Window.partitionBy("target")
+    names = ["target", "id", "price_uah", "total_area", "district", "published_at"]
+
+    def taken(met: DataFrame, stage: int) -> DataFrame:
+        told = met.withColumns({"candidates": F.least(F.count("*").over(by_target), F.lit(most + 1)), "place": F.row_number().over(by_target.orderBy(*order))})
+        if stage < len(STAGES) - 1:
+            told = told.where(F.col("candidates") >= least)
+        return cut(told.where(F.col("place") <= most).select(*names, F.lit(STAGES[stage]).alias("stage"), "candidates"))
+
+    def without(rows: DataFrame, done: DataFrame) -> DataFrame:
+        return rows.join(done.select("target").distinct(), "target", "left_anti")
+
+    first = taken(t.where("td <> ''").join(p, ["k", "rooms"]).where((F.col("td") == F.col("dk")) & other & _fits_area(AREA_DISTRICT)), 0)
+    left = cut(without(t, first))
+    # By radius: a target looks into the cells around its own.
+    size = radius_km / _DEGREE_KM
+    wide = F.greatest(F.cos(F.radians("tlat")), F.lit(0.05))
+    reach = F.ceil(F.lit(1.0) / wide).cast("int")
+    cells = left.where("tlat is not null and tlon is not null").withColumn("cy", F.explode(F.sequence(F.floor(F.col("tlat") / size) - 1, F.floor(F.col("tlat") / size) + 1)))
+    cells = cells.withColumn("cx", F.explode(F.sequence(F.floor(F.col("tlon") / size) - reach, F.floor(F.col("tlon") / size) + reach)))
+    placed = p.where("lat is not null and lon is not null").withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(F.col("lon") / size)})
+    near = haversine(F.col("tlat"), F.col("tlon"), F.col("lat"), F.col("lon")) <= radius_km * 1000
+    second = taken(cells.join(placed, ["k", "rooms", "cy", "cx"]).where(other & near & _fits_area(AREA)), 1)
+    left = cut(without(left, second))
+
+    def newest(*keys: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return p.withColumn("at", at).where(F.col("at") <= most + 3)
+
+    # By building type or renovation level: a listing can have both, so the two lists are put together.
+    columns = [*names, "pc", "tc"]
+    lists = [left.where(F.col(own) != "").withColumnRenamed(own, kind).join(newest("k", "rooms", kind), ["k", "rooms", kind]).select(*columns) for own, kind in (("tb", "building_type"), ("tr", "renovation_level"))]
+    third = taken(lists[0].union(lists[1]).where(other).dropDuplicates(["target", "id"]), 2)
+    fourth = taken(without(left, third).join(newest("k", "rooms"), ["k", "rooms"]).where(other), 3)
+    return first.union(second).union(third).union(fourth)
+
+
+def assess(targets: DataFrame, compared: DataFrame, as_of, *, least: int = MIN_SAMPLE, fresh_days: int = FRESH_DAYS) -> DataFrame:
+    """One row per target: sample, median, quartiles, outliers, prices per metre, deviation, confidence and status.
+
+    Prices are whole, half up; outliers lie outside 1.5 times the rounded quartiles' distance. Confidence adds
+    up to 100: 35 for a sample of twice least, 20 for the same district, 15 for known areas, 15 for age and 15
+    for narrow quartiles. Targets with fewer than least comparables are insufficient and have no estimates but
+    their confidence; those without any have none.
     """
-    stats = compared.groupBy("target").agg(
-        F.count("*").alias("n"),
-        F.round(F.median("price_uah"), 2).alias("median"),
-        F.round(F.percentile("price_uah", F.lit(0.25)), 2).alias("q1"),
-        F.round(F.percentile("price_uah", F.lit(0.75)), 2).alias("q3"),
-    )
-    spread = F.col("q3") - F.col("q1")
-    outside = (F.col("price_uah") < F.col("q1") - 1.5 * spread) | (F.col("price_uah") > F.col("q3") + 1.5 * spread)
-    outliers = compared.join(stats, "target").groupBy("target").agg(F.sum(outside.cast("int")).alias("outliers"))
-    told = targets.select(F.col("id").alias("target"), F.col("price_uah").alias("own")).join(stats, "target", "left").join(outliers, "target", "left")
-    ready = F.coalesce(F.col("n") >= least, F.lit(False))
+    stop = F.lit(as_of) if not isinstance(as_of, Column) else as_of
+    own = targets.select(F.col("id").alias("target"), F.col("price_uah").alias("own"), F.col("total_area").alias("own_area"), F.lower("district").alias("own_district"))
+    joined = compared.join(own.select("target", "own_district"), "target")
+    age = F.greatest(F.lit(0.0), (F.unix_timestamp(stop.cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))) / 86400)
+    prices = F.array_sort(F.collect_list("price_uah"))
+    # A sample has MAX_SAMPLE prices at most, so they may stand in an array and outliers need no second join.
+    stats = joined.groupBy("target").agg(
+        F.count("*").alias("n"), F.median("price_uah").alias("m"), F.percentile("price_uah", F.lit(0.25)).alias("a"), F.percentile("price_uah", F.lit(0.75)).alias("b"), prices.alias("prices"),
+        F.median(F.when(F.col("total_area") > 0, F.col("price_uah") / F.col("total_area"))).alias("per_area"), F.avg(age).alias("age"), F.first("stage").alias("stage"), F.first("candidates").alias("candidates"),
+        F.sum(((F.col("own_district") != "") & (F.lower("district") == F.col("own_district"))).cast("int")).alias("same_district"), F.sum(F.coalesce(F.col("total_area") > 0, F.lit(False)).cast("int")).alias("areas"),
+    )
+    whole = lambda c: F.round(F.col(c)).cast("bigint")
+    told = own.join(stats.withColumns({"median": whole("m"), "q1": whole("a"), "q3": whole("b")}), "target", "left")
+    n = F.coalesce("n", F.lit(0))
+    share = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
+    spread = F.when(F.col("median") != 0, (F.col("q3") - F.col("q1")) / F.col("median")).otherwise(1.0)
+    parts = 35 * F.least(n / max(2 * least, 1), F.lit(1.0)) + 20 * share("same_district") + 15 * share("areas") + 15 * F.greatest(F.lit(0.0), 1 - F.col("age") / fresh_days) + 15 * F.greatest(F.lit(0.0), 1 - F.least(spread, F.lit(1.0)))
+    confidence = F.when(n == 0, 0.0).otherwise(F.round(F.least(parts, F.lit(100.0)), 2))
+    ready = n >= least
     only = lambda c: F.when(ready, c)
-    deviation = F.round((F.col("own") - F.col("median")) / F.col("median") * 100, 2)
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    outside = F.size(F.filter("prices", lambda x: (x < F.col("q1") - fence) | (x > F.col("q3") + fence)))
+    label = F.when(n == 0, "none").when(~ready, "low").when(confidence >= 75, "high").when(confidence >= 50, "medium").otherwise("low")
     return told.select(
-        "target", F.coalesce("n", F.lit(0)).alias("n"), F.when(ready, "ready").otherwise("insufficient").alias("status"),
-        only(F.col("median")).alias("median"), only(F.col("q1")).alias("q1"), only(F.col("q3")).alias("q3"),
-        only(F.col("outliers")).alias("outliers"), only(deviation).alias("deviation"),
+        "target", n.alias("n"), "stage", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(ready, "ready").otherwise("insufficient").alias("status"),
+        only(F.col("median")).alias("median"), only(F.col("q1")).alias("q1"), only(F.col("q3")).alias("q3"), only(outside).alias("outliers"),
+        only(F.round(F.col("per_area"), 2)).alias("median_per_area"), only(price_per_area(F.col("own"), F.col("own_area"))).alias("own_per_area"),
+        only(F.round((F.col("own") - F.col("median")) / F.col("median") * 100, 2)).alias("deviation"), confidence.alias("confidence"), label.alias("confidence_label"),
     )

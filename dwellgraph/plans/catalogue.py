@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgraph.functions import geo, text
-from dwellgraph.operators import duplicates, history, market, matching, workspace
+from dwellgraph.operators import duplicates, fingerprints, history, market, matching, risk, rules, state, workspace
+from dwellgraph.operators.lineage import cut
 from dwellgraph.sources import listings as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,95 +194,199 @@ def risk_content_signals(spark, d):
 
 # Market
 
-COMPARED = L + """, f as (select t.id target, p.id, p.price_uah, p.total_area, p.published_at,
-  (p.district = t.district and (t.total_area is null or coalesce(p.total_area between t.total_area * 0.8 and t.total_area * 1.2, false))) f1,
-  ((t.building_type <> '' and p.building_type = t.building_type) or (t.renovation_level <> '' and p.renovation_level = t.renovation_level)) f2
-  from a t join a p on lower(t.city) = lower(p.city) and t.rooms = p.rooms and t.id <> p.id and p.price_uah > 0 where t.id % 50 = 0),
-s as (select target, case when sum(f1::int) >= 8 then 1 when sum(f2::int) >= 8 then 2 else 3 end s from f group by target),
-k as (select f.*, s, row_number() over (partition by target order by published_at desc, id) r from f join s using (target) where (s = 1 and f1) or (s = 2 and f2) or s = 3),
-c as (select target, id, price_uah, total_area, case s when 1 then 'district_rooms_area' when 2 then 'building_or_renovation' else 'city_rooms' end stage from k where r <= 120) """
+HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({1} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({1})) * pow(sin(radians({0} - lon) / 2), 2))))"
+METRES = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - t.lon) / 2), 2))))"
+#: The tables' orders span years, so the queries take comparables from a longer time than a market of today would.
+FRESH = 1000
+COMPARED = L + f""", g as (select *, case when id % 5 = 0 then id // 20 end as cluster, case when id % 20 = 0 then 'primary' when id % 5 = 0 then 'duplicate' end as role from a), o as (select max(published_at) as_of from a),
+pool as (select * from g, o where price_uah > 0 and published_at >= as_of - interval {FRESH} day and (role is null or role = 'primary')),
+f as (select t.id target, t.district own_district, p.id, p.price_uah, p.total_area, p.published_at, p.district,
+  (t.district <> '' and lower(p.district) = lower(t.district) and (coalesce(t.total_area, 0) <= 0 or coalesce(p.total_area between t.total_area * 0.8 and t.total_area * 1.2, false))) f1,
+  ({METRES} <= 5000 and (coalesce(t.total_area, 0) <= 0 or coalesce(p.total_area between t.total_area * 0.75 and t.total_area * 1.25, false))) f2,
+  ((t.building_type <> '' and p.building_type = t.building_type) or (t.renovation_level <> '' and p.renovation_level = t.renovation_level)) f3
+  from g t join pool p on lower(t.city) = lower(p.city) and t.rooms = p.rooms and t.id <> p.id and not coalesce(t.cluster = p.cluster, false)),
+s as (select target, case when sum(f1::int) >= 8 then 1 when sum(f2::int) >= 8 then 2 when sum(f3::int) >= 8 then 3 else 4 end s from f group by target),
+k as (select f.*, s, row_number() over (partition by target order by published_at desc, price_uah, id) r, least(count(*) over (partition by target), 121) candidates from f join s using (target) where (s = 1 and f1) or (s = 2 and f2) or (s = 3 and f3) or s = 4),
+c as (select *, case s when 1 then 'district_rooms_area' when 2 then 'radius_rooms_area' when 3 then 'city_rooms_attributes' else 'city_rooms' end stage from k where r <= 120) """
+ASSESSED = COMPARED + f""", e as (select target, count(*) n, any_value(stage) stage, any_value(candidates) candidates, median(price_uah) m0, quantile_cont(price_uah, 0.25) a0, quantile_cont(price_uah, 0.75) b0, median(case when total_area > 0 then price_uah::double / total_area end) per0,
+    avg(greatest(0.0, epoch(as_of - published_at) / 86400)) age, sum((own_district <> '' and lower(district) = lower(own_district))::int) near, sum(coalesce(total_area > 0, false)::int) areas from c, o group by target),
+  q as (select *, round(m0)::bigint median, round(a0)::bigint q1, round(b0)::bigint q3 from e),
+  w as (select target, sum((price_uah < q1 - 1.5 * (q3 - q1) or price_uah > q3 + 1.5 * (q3 - q1))::int) outliers from c join q using (target) group by target),
+  z as (select g.id target, coalesce(n, 0) n, stage, coalesce(candidates, 0) candidates, coalesce(n, 0) >= 8 ok, median, q1, q3, outliers, per0, price_uah, total_area,
+    case when n is null then 0 else round(least(100.0, 35 * least(n / 16, 1.0) + 20 * near / n + 15 * areas / n + 15 * greatest(0.0, 1 - age / {FRESH}) + 15 * greatest(0.0, 1 - least(case when median <> 0 then (q3 - q1) / median else 1.0 end, 1.0))), 2) end::double confidence
+    from g left join q on g.id = q.target left join w on g.id = w.target),
+  ma as (select target, n, stage, candidates, case when ok then 'ready' else 'insufficient' end status, case when ok then median end median, case when ok then q1 end q1, case when ok then q3 end q3, case when ok then outliers end::bigint outliers,
+    case when ok then round(per0, 2) end median_per_area, case when ok and total_area > 0 then ((200 * price_uah + total_area) // (2 * total_area)) / 100 end own_per_area, case when ok then round((price_uah - median)::double / median * 100, 2) end deviation, confidence,
+    case when n = 0 then 'none' when not ok then 'low' when confidence >= 75 then 'high' when confidence >= 50 then 'medium' else 'low' end confidence_label from z) """
+
+
+def _grouped(spark, d):
+    cluster, role = F.expr("case when id % 5 = 0 then id div 20 end"), F.expr("case when id % 20 = 0 then 'primary' when id % 5 = 0 then 'duplicate' end")
+    return approved(spark, d).withColumns({"cluster": cluster, "role": role})
+
+
+def _as_of(rows):
+    return rows.agg(F.max("published_at")).first()[0]
 
 
 def _compared(spark, d):
-    rows = approved(spark, d)
-    targets = rows.where("id % 50 = 0")  # a stated set of target listings against all
-    return targets, market.comparables(targets, rows)
+    rows = _grouped(spark, d)
+    as_of = _as_of(rows)
+    return rows, as_of, market.comparables(rows, rows, as_of, fresh_days=FRESH)
+
 
+def _assessed(spark, d):
+    rows, as_of, compared = _compared(spark, d)
+    return market.assess(rows, compared, as_of, fresh_days=FRESH)
 
-@query(COMPARED + "select target, stage, count(*) n from c group by all")
+
+@query(COMPARED + "select target, stage, candidates, count(*) n from c group by all")
 def comparables_stage_choice(spark, d):
-    return _compared(spark, d)[1].groupBy("target", "stage").agg(F.count("*").alias("n"))
+    return _compared(spark, d)[2].groupBy("target", "stage", "candidates").agg(F.count("*").alias("n"))
 
 
 @query(COMPARED + "select target, id, price_uah from c")
 def comparables_topn(spark, d):
-    return _compared(spark, d)[1].select("target", "id", "price_uah")
+    return _compared(spark, d)[2].select("target", "id", "price_uah")
 
 
-@query(COMPARED + """, q as (select target, count(*) n, round(median(price_uah), 2) median, round(quantile_cont(price_uah, 0.25), 2) q1, round(quantile_cont(price_uah, 0.75), 2) q3 from c group by target),
-o as (select target, sum((price_uah < q1 - 1.5 * (q3 - q1) or price_uah > q3 + 1.5 * (q3 - q1))::int) outliers from c join q using (target) group by target)
-select t.id target, coalesce(n, 0) n, case when n >= 8 then 'ready' else 'insufficient' end status, case when n >= 8 then median end median, case when n >= 8 then q1 end q1, case when n >= 8 then q3 end q3, case when n >= 8 then outliers::bigint end outliers, case when n >= 8 then round((price_uah - median) / median * 100, 2) end deviation
-from a t left join q on t.id = q.target left join o on t.id = o.target where t.id % 50 = 0""")
+@query(ASSESSED + "select target, n, stage, candidates, status, median, q1, q3, outliers, median_per_area, own_per_area, deviation from ma")
 def market_assessment(spark, d):
-    return market.assess(*_compared(spark, d))
+    return _assessed(spark, d).drop("confidence", "confidence_label").withColumn("outliers", F.col("outliers").cast("bigint"))
+
+
+@query(ASSESSED + "select target, round(confidence, 1) confidence, confidence_label from ma where abs(confidence - 75) > 0.02 and abs(confidence - 50) > 0.02")
+def market_confidence(spark, d):
+    found = _assessed(spark, d).where((F.abs(F.col("confidence") - 75) > 0.02) & (F.abs(F.col("confidence") - 50) > 0.02))
+    return found.select("target", F.round("confidence", 1).alias("confidence"), "confidence_label")
 
 
 # Duplicates
 
-PAIRS = L + """, b as (select x.id left_id, y.id right_id from l x join l y on x.street = y.street and x.rooms = y.rooms and x.id < y.id
-  union select x.id, y.id from l x join l y on x.city = y.city and x.total_area = y.total_area and x.price_uah // 1000 = y.price_uah // 1000 and x.id < y.id) """
+_norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_²]+', ' ', 'g'))"
+PRINTS = L + f""", fp as (select *, {_norm("city")} city_key,
+    list_sort(list_filter([sha256('phone:380' || right(street, 9)), case when id % 6 = 0 then sha256('phone:380671234567') end, case when id % 6 = 4 then sha256('email:owner' || (right(street, 9)::bigint % 50)::varchar || '@example.org') end, case when id % 6 = 4 then sha256('handle:owner_' || (right(street, 9)::bigint % 9)::varchar) end], lambda x: x is not null)) contacts,
+    left({_norm("city")} || '|' || {_norm("district")} || '|' || {_norm("street")} || '|' || rooms::varchar, 320) address_key, format('{{:.3f}}:{{:.3f}}:{{}}', lat, lon, rooms) geo_key, rooms::varchar building,
+    left(concat_ws('|', deal_type, property_type, rooms::varchar, (round_even(coalesce(total_area, 0) / 5, 0) * 5)::bigint::varchar, coalesce(floor, 0)::varchar, floors_total::varchar, building_type, renovation_level, heating_type), 320) attribute_key,
+    greatest(0, price_uah // 1000) price_bucket, list_sort(list_distinct(list_filter([case when image_one is not null then sha256('url:' || image_one) end, case when image_two is not null then sha256('url:' || image_two) end], lambda x: x is not null))) exact from l) """
+
 
+def _prints(spark, d):
+    return fingerprints.fingerprints(src.fixture_listings(spark, d))
 
-def _blocks():
-    return {"street": [F.col("street"), F.col("rooms")], "bucket": [F.col("city"), F.col("total_area"), F.floor(F.col("price_uah") / 1000)]}
 
+@query(PRINTS + "select id, city_key, array_to_string(contacts, ',') contacts, address_key, geo_key, building, attribute_key, price_bucket, array_to_string(exact, ',') exact, '' url_key from fp")
+def fingerprint_keys(spark, d):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return _prints(spark, d).select("id", "city_key", joined("contacts"), "address_key", "geo_key", "building", "attribute_key", "price_bucket", joined("exact"), "url_key")
+
+
+@query()
+def fingerprint_texts(spark, d):
+    return _prints(spark, d).select("id", "body", "simhash", "text_block")
+
+
+PAIRS = PRINTS + """, fs as (select * from (select *, row_number() over (partition by city_key order by id) place from fp) where place <= 500),
+b as (select x.id left_id, y.id right_id from fs x join fp y on x.city_key = y.city_key and x.address_key = y.address_key and x.id < y.id
+  union select x.id, y.id from fs x join fp y on x.city_key = y.city_key and x.geo_key = y.geo_key and x.id < y.id
+  union select x.id, y.id from fs x join fp y on x.city_key = y.city_key and x.attribute_key = y.attribute_key and x.id < y.id and abs(x.price_bucket - y.price_bucket) <= 3
+  union select x.id, y.id from (select id, city_key, unnest(contacts) k from fs) x join (select id, city_key, unnest(contacts) k from fp) y using (city_key, k) where x.id < y.id
+  union select x.id, y.id from (select id, city_key, unnest(exact) k from fs) x join (select id, city_key, unnest(exact) k from fp) y using (city_key, k) where x.id < y.id) """
+
+
+def _pairs(spark, d, text=False):
+    rows = src.fixture_listings(spark, d)
+    prints = fingerprints.fingerprints(rows)
+    return rows, prints, duplicates.block_pairs(prints, text=text)
 
 
 @query(PAIRS + "select * from b")
 def block_pairs(spark, d):
-    return duplicates.block_pairs(src.fixture_listings(spark, d), _blocks())
+    return _pairs(spark, d)[2]
 
 
-SCORES = PAIRS + """, g as (select left_id, right_id, x.rooms xr, y.rooms yr, abs(x.rooms - y.rooms) dr, x.city <> y.city oc, abs(x.total_area - y.total_area)::double / greatest(x.total_area, y.total_area) da, x.total_area is null or y.total_area is null na,
-  x.floor xf, y.floor yf, x.building_type xb, y.building_type yb, abs(x.price_uah - y.price_uah)::double / greatest(x.price_uah, y.price_uah) dp,
-  2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) m
-  from b join l x on left_id = x.id join l y on right_id = y.id),
-h as (select *, case when m <= 50 then 100.0 when m <= 150 then 92.0 when m <= 400 then 72.0 when m <= 1000 then 42.0 else 0.0 end::double location,
-  list_avg(list_filter([case when dr = 0 then 100.0 when dr = 1 then 45.0 end, case when na then null when da <= 0.05 then 100.0 when da <= 0.12 then 82.0 when da <= 0.25 then 45.0 else 5.0 end, case when xf = yf then 100.0 when xf <> yf then 35.0 end, case when xb <> '' and yb <> '' then case when xb = yb then 100.0 else 35.0 end end]::double[], lambda v: v is not null)) attributes,
-  case when dp <= 0.03 then 100.0 when dp <= 0.10 then 90.0 when dp <= 0.20 then 70.0 when dp <= 0.35 then 40.0 else 12.0 end::double price, oc or dr > 1 or coalesce(da > 0.45, false) conflict from g),
-z as (select left_id, right_id, location, round(attributes, 6) attributes, price, conflict, case when conflict then 0 else round((location * 25 + coalesce(attributes, 0) * 15 + price * 5) / (30 + case when attributes is null then 0 else 15 end), 2) end::double final from h),
-w as (select *, case when conflict then 'rejected' when final >= 92 then 'auto_merge' when final >= 78 then 'needs_review' else 'rejected' end decision from z) """
+@query()
+def block_pairs_by_text(spark, d):
+    return _pairs(spark, d, text=True)[2]
+
+
+_bits = "(bit_count(xor(('0x' || substr(x.perceptual, 1, 8))::bigint, ('0x' || substr(y.perceptual, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(x.perceptual, 9, 8))::bigint, ('0x' || substr(y.perceptual, 9, 8))::bigint)))"
+_pair = lambda c: f"case when coalesce(x.{c}::varchar, '') <> '' and coalesce(y.{c}::varchar, '') <> '' then case when x.{c} = y.{c} then 100.0 else 35.0 end end"
+SCORES = PAIRS + f""", g as (select left_id, right_id, x.rooms xr, y.rooms yr, len(list_intersect(x.exact, y.exact)) shared, list_has_any(x.contacts, y.contacts) contact, x.source_code = y.source_code and x.external_id = y.external_id same_id, x.property_type <> y.property_type other_kind,
+    x.address_key = y.address_key same_address, x.street = y.street same_street, x.district = y.district same_district, x.location_accuracy = 'building' and y.location_accuracy = 'building' built,
+    2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) m,
+    abs(x.total_area - y.total_area)::double / greatest(x.total_area, y.total_area) da, x.total_area is null or y.total_area is null na, abs(x.price_uah - y.price_uah)::double / greatest(x.price_uah, y.price_uah) dp,
+    {_pair("floor")} a1, {_pair("floors_total")} a2, {_pair("building_type")} a3, {_pair("renovation_level")} a4, {_pair("heating_type")} a5, case when x.perceptual is null or y.perceptual is null then 65 else {_bits} end bits, len(x.exact) > 0 and len(y.exact) > 0 pictured
+    from b join fp x on left_id = x.id join fp y on right_id = y.id),
+  h as (select *, case when same_id then 100 when shared >= 2 then 100 when contact then 100 when shared = 1 then 88 end::double exact, same_id or shared >= 2 ruled,
+    list_avg(list_filter([case when same_address then 100 when same_street then 82 when same_district then 55 end, case when m <= 50 then 100 when m <= 150 then 92 when m <= 400 then 72 when m <= 1000 then 42 else 0 end]::double[], lambda v: v is not null)) location,
+    round(list_avg(list_filter([case when xr = yr then 100 when abs(xr - yr) = 1 then 45 end, case when na then null when da <= 0.05 then 100 when da <= 0.12 then 82 when da <= 0.25 then 45 else 5 end, a1, a2, a3, a4, a5]::double[], lambda v: v is not null)), 2) attributes,
+    case when pictured then case when shared >= 2 then 100 when shared = 1 then 92 when bits > 64 then 0 when bits <= 4 then 94 when bits <= 8 then 78 when bits <= 14 then 52 else 8 end end::double image,
+    case when dp <= 0.03 then 100 when dp <= 0.10 then 90 when dp <= 0.20 then 70 when dp <= 0.35 then 40 else 12 end::double price,
+    concat_ws(',', case when other_kind then 'property_type' end, case when abs(xr - yr) > 1 then 'rooms' end, case when da > 0.45 then 'area' end, case when built and m > 750 then 'location' end) conflicts,
+    concat_ws(',', case when same_id then 'same_source_id' end, case when shared >= 2 then 'same_images' end, case when contact then 'same_contact' end, case when shared = 1 then 'same_image' end) reasons from g),
+  u as (select *, case when conflicts <> '' then 0 else round((coalesce(exact, 0) * 25 + location * 25 + coalesce(attributes, 0) * 15 + coalesce(image, 0) * 15 + price * 5) / (30 + case when exact is null then 0 else 25 end + case when attributes is null then 0 else 15 end + case when image is null then 0 else 15 end), 2) end::double final from h),
+  w as (select left_id, right_id, exact, round(location, 6) location, attributes, image, price, conflicts, reasons, final, case when conflicts <> '' then 'rejected' when (ruled and coalesce(attributes >= 60, true)) or final >= 92 then 'auto_merge' when final >= 78 then 'needs_review' else 'rejected' end decision from u) """
 
 
 def _scored(spark, d):
-    rows = src.fixture_listings(spark, d)
-    return duplicates.score(duplicates.block_pairs(rows, _blocks()), rows)
+    rows, prints, pairs = _pairs(spark, d)
+    return duplicates.score(pairs, rows, prints, text=False)
 
 
 @query(SCORES + "select * from w")
 def pair_final(spark, d):
-    return _scored(spark, d)
+    joined = {c: F.array_join(c, ",") for c in ("conflicts", "reasons")}
+    return _scored(spark, d).drop("text", "ruled", "conflict").withColumns(joined)
 
 
-@query(SCORES + "select decision, conflict, count(*) n from w group by all")
+@query(SCORES + "select decision, conflicts, count(*) n from w group by all")
 def pair_decision_counts(spark, d):
-    return _scored(spark, d).groupBy("decision", "conflict").agg(F.count("*").alias("n"))
+    return _scored(spark, d).groupBy("decision", F.array_join("conflicts", ",").alias("conflicts")).agg(F.count("*").alias("n"))
 
 
-@query(SCORES + ", e as (select left_id id, conflict from w union all select right_id, conflict from w) select id, count(*) edges, sum(conflict::int)::bigint conflicts from e group by id")
+@query(SCORES + ", e as (select left_id id, conflicts <> '' conflict from w union all select right_id, conflicts <> '' from w) select id, count(*) edges, sum(conflict::int)::bigint conflicts from e group by id")
 def edges_of_listing(spark, d):
     s = _scored(spark, d)
     ends = s.select(F.col("left_id").alias("id"), "conflict").union(s.select("right_id", "conflict"))
     return ends.groupBy("id").agg(F.count("*").alias("edges"), F.sum(F.col("conflict").cast("int")).alias("conflicts"))
 
 
+@query(SCORES + ", e as (select left_id id, right_id other, final, conflicts from w where conflicts <> '' union all select right_id, left_id, final, conflicts from w where conflicts <> '') select id, arg_max(conflicts, [final, -other]) conflicts from e group by id")
+def worst_conflicts(spark, d):
+    return risk.worst_conflict(_scored(spark, d)).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+@query()
+def pair_scores_with_text(spark, d):
+    rows, prints, pairs = _pairs(spark, d, text=True)
+    joined = {c: F.array_join(c, ",") for c in ("conflicts", "reasons")}
+    return duplicates.score(pairs, rows, prints).withColumns(joined)
+
+
+@query()
+def accepted_components(spark, d):
+    from dwellgraph.operators import graph
+
+    return graph.components(_scored(spark, d).where("decision = 'auto_merge'"))
+
+
 @query()
 def guarded_clusters(spark, d):
-    s = _scored(spark, d).select("left_id", "right_id", "final", "conflict")
-    return duplicates.guarded_clusters(s.where((F.col("final") >= duplicates.REVIEW) & ~F.col("conflict")).select("left_id", "right_id", "final"), s.where("conflict").select("left_id", "right_id"))
+    return duplicates.guarded_clusters(_scored(spark, d), src.fixture_listings(spark, d))
 
 
-RANKED = L + ", r as (select *, case when row_number() over (partition by street, rooms order by is_active desc, coalesce(is_owner, false) desc, coalesce(commission_percent, 1000), published_at desc, id desc) = 1 then 'primary' else 'duplicate' end as role from l) "
+@query()
+def cluster_members(spark, d):
+    rows, scored = src.fixture_listings(spark, d), cut(_scored(spark, d))
+    members = duplicates.joined_members(duplicates.guarded_clusters(scored, rows), rows, scored)
+    told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"], m["role"], m["method"])), ",")
+    return duplicates.nested(members).withColumn("members", told)
+
+
+_filled = " + ".join(f"(coalesce({c}::varchar, '') <> '')::int" for c in ("district", "street", "total_area", "floor", "floors_total", "building_type", "renovation_level", "heating_type", "pets_allowed", "children_allowed"))
+RANKED = L + f""", r as (select *, case when row_number() over (partition by street, rooms order by is_active desc, (legal_status in ('approved', 'approved_demo')) desc, (enabled and health_status = 'healthy') desc, case location_accuracy when 'building' then 3 when 'street' then 2 when 'district' then 1 else 0 end desc,
+  (image_one is not null)::int + (image_two is not null)::int desc, {_filled} desc, coalesce(is_owner, false) desc, coalesce(commission_percent, 1000), published_at desc, id desc) = 1 then 'primary' else 'duplicate' end as role from l) """
 
 
 def _ranked(spark, d):
@@ -303,15 +408,111 @@ def collapse_clusters(spark, d):
     return _ranked(spark, d).where("is_active and enabled and role = 'primary'").select("id")
 
 
+# Risk
+
+REUSED = PRINTS + """, hs as (select distinct id, city_key, city, is_active, h from (select id, city_key, city, is_active, unnest(list_concat(exact, case when perceptual is null then [] else [perceptual] end)) h from fp)),
+  im as (select x.id, count(*) matches, array_to_string(list_sort(list_distinct(list(y.city))), '|') other_cities from hs x join hs y on x.h = y.h and x.city_key <> y.city_key and y.is_active group by x.id) """
+
+
+@query(REUSED + "select * from im")
+def risk_image_reuse(spark, d):
+    rows = src.fixture_listings(spark, d)
+    return risk.image_reuse(fingerprints.fingerprints(rows), rows).withColumn("other_cities", F.array_join("other_cities", "|"))
+
+
+LINE_CHANGES = """lp as (select l_orderkey id, l_shipdate ts, l_linenumber * 1000000 + l_partkey tie, round(l_extendedprice)::bigint v, lag(round(l_extendedprice)::bigint) over (partition by l_orderkey order by l_shipdate, l_linenumber * 1000000 + l_partkey) was from (select distinct l_orderkey, l_shipdate, l_linenumber, l_partkey, l_extendedprice from lineitem)),
+  le as (select id, abs(round((v - was) * 100::double / was, 2)) change, row_number() over (partition by id order by ts desc, tie desc) k from lp where was is not null and was <> v),
+  lc as (select id, max(change) largest_change, count(*) change_count from le where k <= 10 group by id)"""
+_says = lambda p: f"contains(x, '{p}')"
+RISKS = ASSESSED + f""", {LINE_CHANGES},
+  cc as (select id // 3 cluster, concat_ws(',', case when count(distinct lower(city)) > 1 then 'city' end, case when count(distinct rooms) > 1 then 'rooms' end, case when coalesce((max(price_uah) - min(price_uah)) / min(price_uah) * 100, 0) >= 25 then 'price' end) conflicts from a group by 1 having count(*) > 1),
+  rt as (select a.*, lower(trim(title || ' ' || description)) x, ma.deviation, ma.confidence_label, ma.status market_status, lc.largest_change, lc.change_count, cc.conflicts cluster_conflicts,
+    (district = '')::int + (street = '')::int + (total_area is null)::int + (floor is null)::int + (commission_percent is null)::int + (is_owner is null)::int missing
+    from a left join ma on a.id = ma.target left join lc on a.id = lc.id left join cc on a.id // 3 = cc.cluster),
+  rs as (select *, market_status = 'ready' and confidence_label in ('medium', 'high') trusted, {" or ".join(map(_says, risk.PREPAYMENT))} prepay, {" + ".join(f"{_says(p)}::int" for p in risk.PRESSURE)} pressure, {" or ".join(f"({_says(p)} and lower(city) <> '{p}')" for p in risk.CITIES)} elsewhere from rt),
+  rc as (select *, [case when trusted and deviation <= -35 then 30 end, case when trusted and deviation > -35 and deviation <= -20 then 18 end, case when cluster_conflicts <> '' then 16 end, case when missing >= 3 then least(4 + missing, 12) end, case when hidden_commission then 12 end, case when largest_change >= 30 then 14 end, case when change_count >= 3 then 8 end,
+    case when length(trim(description)) < 80 then 8 end, case when prepay then 30 end, case when pressure >= 2 then 7 end, case when regexp_matches(x, 'https?://|www\\.|t\\.me/') then 7 end, case when elsewhere then 12 end, case when is_owner then -5 end, case when length(trim(description)) >= 300 then -4 end] points from rs) """
+
+
+def _risky(spark, d):
+    rows, as_of, compared = _compared(spark, d)
+    assessed = market.assess(rows, compared, as_of, fresh_days=FRESH).select(F.col("target").alias("id"), "deviation", "confidence_label", F.col("status").alias("market_status"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice").distinct()
+    prices = lines.select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("tie"), F.round("l_extendedprice").cast("bigint").alias("v"))
+    changes = risk.last_changes(history.price_events(prices, key="id", at="at", value="v", tie="tie"), "id", "at", "tie")
+    grouped = workspace.cluster_conflicts(rows.drop("cluster").withColumn("cluster", F.expr("id div 3")), "cluster").select("cluster", F.col("conflicts").alias("cluster_conflicts"))
+    told = rows.drop("cluster").withColumn("cluster", F.expr("id div 3")).join(assessed, "id", "left").join(changes, "id", "left").join(grouped, "cluster", "left")
+    return told.withColumns({"conflicts": F.lit(None).cast("array<string>"), "matches": F.lit(None).cast("bigint")})
+
+
+@query(RISKS + "select id, greatest(0, least(100, list_sum(list_filter(points, lambda p: p is not null)))) score from rc where len(list_filter(points, lambda p: p is not null)) > 0")
+def risk_total(spark, d):
+    return risk.assess(_risky(spark, d)).where("codes <> '' or protective <> ''").select("id", "score")
+
+
+@query(RISKS + "select level, count(*) n from (select case when s >= 50 then 'elevated' when s >= 25 then 'review' else 'low' end as level from (select coalesce(list_sum(list_filter(points, lambda p: p is not null)), 0) s from rc)) group by level")
+def risk_levels(spark, d):
+    return risk.assess(_risky(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
+
+
+# Rules
+
+NL_TEXTS = [
+    "Шукаю однокімнатну квартиру у Львові до 18 тисяч, новобудова, не перший поверх, з котом і без комісії", "Шукаю двокімнатну квартиру у Києві до 25000 грн.", "Шукаю однокімнатну квартиру у Львові до 18 тисяч, до 25 хвилин від політехніки.",
+    "3 кімнатна у Рівному, собака, не останній поверх, біля університету", "", "max 30 тис  2-кімнатну квартиру, комісію платити не хочу, робота до 300 хв",
+]
+_flag = lambda n: " or ".join(f"contains(t, '{p}')" for p in rules.FLAGS[n])
+_first = lambda pairs: "case " + " ".join(f"when contains(t, '{k}') then {v}" for k, v in pairs) + " end"
+
+
+@query(f"""with s(id, text) as (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(NL_TEXTS))}), n as (select id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) t from s),
+  r as (select id, {_first((k, f"'{v}'") for k, v in rules.CITY_NAMES.items())} city, coalesce(nullif(regexp_extract(t, '{rules.ROOMS}', 1), '')::bigint, case when contains(t, 'однокімнат') then 1 when contains(t, 'двокімнат') then 2 end) rooms,
+    coalesce(nullif(regexp_extract(t, '{rules.THOUSANDS}', 1), '')::bigint * 1000, nullif(regexp_extract(t, '{rules.AMOUNT}', 1), '')::bigint) price_max, {", ".join(f"({_flag(n)}) {n}" for n in rules.FLAGS)}, {_first((k, f"'{n}'") for k, (n, _) in rules.PLACES.items())} place,
+    coalesce(greatest(1, least(240, nullif(regexp_extract(t, '{rules.MINUTES}', 1), '')::bigint)), 30) mins from n)
+  select id, city, rooms, price_max, {", ".join(rules.FLAGS)}, place, case when place is not null then mins end as minutes, concat_ws(',', case when city is null then 'city' end, case when price_max is null then 'price_max' end, case when rooms is null then 'rooms' end) missing from r""")
+def parse_nl_search(spark, d):
+    texts = spark.createDataFrame(list(enumerate(NL_TEXTS)), "id int, text string")
+    return rules.parse_search(texts).select("id", "city", "rooms", "price_max", *rules.FLAGS, "place", "minutes", "missing")
+
+
+_money = "replace(format('{:,}', price_uah), ',', ' ') || ' грн'"
+
+
+@query(L + f""" select id, rooms::varchar || '-кімнатний варіант у місті ' || city || ', ' || district || ', за ' || {_money} || case when total_area is not null then ', ' || total_area::varchar || ' м²' else '' end || '. Поверх: ' || case when floor is not null then floor::varchar || '/' || floors_total::varchar else 'потрібно уточнити' end || '. Перевірте невідомі умови перед домовленістю про перегляд.' summary,
+  concat_ws('|', case when pets_allowed then 'Можна з домашніми тваринами.' end, case when commission_percent = 0 then 'Комісія не заявлена.' end, case when is_owner then 'Оголошення позначене як від власника.' end, case when building_type <> '' then 'Тип будинку: ' || building_type || '.' end, case when backup_power then 'Заявлене резервне живлення.' end) advantages,
+  concat_ws('|', case when not pets_allowed then 'Тварини вказані як небажані або заборонені.' end, case when not children_allowed then 'Проживання з дітьми вказане як небажане або заборонене.' end, case when commission_percent <> 0 then 'Комісія заявлена: ' || commission_percent::varchar || '%.' end) caveats,
+  concat_ws('|', case when pets_allowed is null then 'Умови проживання з тваринами не вказані.' end, case when children_allowed is null then 'Умови проживання з дітьми не вказані.' end, case when commission_percent is null then 'Комісія не вказана.' end, case when is_owner is null then 'Не підтверджено, власник це чи представник.' end, case when building_type = '' then 'Тип будинку не вказано.' end, case when backup_power is null then 'Немає інформації про резервне живлення.' end) unknowns from a""")
+def listing_summary_rules(spark, d):
+    return rules.summaries(approved(spark, d)).withColumns({c: F.array_join(c, "|") for c in ("advantages", "caveats", "unknowns")})
+
+
+@query(L + f""" select id, concat_ws('|', {", ".join(f"'{q}'" for q in rules.ALWAYS)}, case when not coalesce(pets_allowed, false) then 'Чи можна проживати з домашніми тваринами (кіт)?' end, case when not coalesce(children_allowed, false) then 'Чи можна проживати з дитиною або дітьми?' end, case when heating_type = '' then 'Який тип опалення?' end,
+  case when not coalesce(backup_power, false) then 'Чи є резервне живлення або інвертор?' end, case when floor > 4 then 'Чи працює ліфт під час відключень?' end) questions from a""")
+def owner_questions(spark, d):
+    return rules.owner_questions(approved(spark, d), pets=("cat",), children=True).select("id", F.array_join("questions", "|").alias("questions"))
+
+
+@query(SCORED + """, q as (select *, list_sort(list_filter([case when commission_percent is null then 'commission' end, case when pets_allowed is null then 'pets' end, case when children_allowed is null then 'children' end, case when heating_type = '' then 'heating' end, case when total_area is null then 'area' end, case when renovation_level = '' then 'renovation' end,
+    case when backup_power is null then 'backup_power' end, 'parking', case when deposit_months is null then 'deposit' end, 'risk_score', 'travel_time'], lambda v: v is not null)) u from m),
+  r as (select *, row_number() over w pos, lead(score) over w runner from q window w as (partition by street order by score desc, len(u), price_uah, coalesce(total_area, 0) desc, id)),
+  t as (select street, array_to_string(list_sort(list_distinct(flatten(list(u)))), ',') unknowns from q group by street)
+  select street, case when runner is null or score - runner >= 5 then id end recommended, runner is null or score - runner >= 5 decisive, unknowns from r join t using (street) where pos = 1""")
+def listing_comparison(spark, d):
+    return rules.comparisons(matching.matched(approved(spark, d), PROFILE), "street").drop("recommendation")
+
+
 # Text
 
 
-@query("select page_id, case when regexp_matches(url, '^https?://[^/?#]') then u || p || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end url from (select page_id, url, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) u, regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') p, list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+') and not (split_part(x, '=', 1) in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref')))) q from pages)")
+@query("""with p as (select page_id, regexp_replace(url, '#.*$', '') u from pages),
+  q as (select page_id, lower(regexp_extract(u, '^(https?://[^/?]*)', 1)) host, regexp_replace(regexp_extract(u, '^https?://[^/?]*([^?]*)', 1), '/{2,}', '/', 'g') path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.+') and not (lower(split_part(x, '=', 1)) in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'yclid')))) kept from p)
+  select page_id, case when host = '' then '' else host || case when path in ('', '/') then '/' else regexp_replace(path, '/+$', '') end || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end url from q""")
 def canonical_urls(spark, d):
     return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
 
 
-@query("select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_²]+', ' ', 'g')) norm from documents")
+@query("select doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\\p{L}\\p{N}_²]+', ' ', 'g')) norm from documents")
 def norm_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
 
@@ -334,9 +535,6 @@ def simhash_portable(spark, d):
 
 # Geography
 
-HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({1} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({1})) * pow(sin(radians({0} - lon) / 2), 2))))"
-
-
 @query(L + " select id, lat, lon from a where lon between 24.05 and 24.35 and lat between 48.2 and 49.1")
 def bbox_filter(spark, d):
     return approved(spark, d).where(geo.in_box(F.col("lat"), F.col("lon"), "24.05,48.2,24.35,49.1")).select("id", "lat", "lon")

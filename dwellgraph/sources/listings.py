@@ -29,6 +29,21 @@ COLUMNS = {
     "lon": "24.0e0 + (n_nationkey % 5) * 1.0e-1 + (o_orderkey % 50) * 1.0e-3",
     "published_at": "o_orderdate",
     "is_active": "o_orderstatus <> 'P'",
+    "external_id": "'x' || cast(o_orderkey % 7000 as string)",
+    "legal_status": "case c_mktsegment when 'MACHINERY' then 'approved_demo' when 'FURNITURE' then 'under_review' else 'approved' end",
+    "health_status": "case c_mktsegment when 'BUILDING' then 'degraded' else 'healthy' end",
+    "deal_type": "'rent'",
+    "property_type": "case o_orderkey % 11 when 0 then 'house' else 'apartment' end",
+    "location_accuracy": "case o_orderkey % 4 when 0 then 'building' when 1 then 'street' when 2 then 'district' else '' end",
+    "title": "cast(1 + o_custkey % 4 as string) || '-кімнатна квартира, ' || c_name",
+    "description": """case o_orderkey % 6 when 0 then 'Терміново! Без зайвих питань, передоплата. Дзвоніть 0671234567' when 1 then 'Деталі на https://example.org/a, поруч Київ'
+      when 2 then '' when 3 then repeat('Світла простора квартира з ремонтом. ', 10) when 4 then 'Пошта Owner' || cast(o_custkey % 50 as string) || '@example.org або @owner_' || cast(o_custkey % 9 as string) else 'Квартира з меблями, телефонуйте' end""",
+    "image_one": "case when o_orderkey % 3 > 0 then 'https://img.example.org/' || cast(o_custkey % 97 as string) || '.jpg' end",
+    "image_two": "case when o_orderkey % 3 = 2 then 'https://img.example.org/b' || cast(o_custkey % 89 as string) || '.jpg' end",
+    "perceptual": "case when o_orderkey % 3 > 0 then substr(md5(cast(o_custkey % 61 as string)), 1, 16) end",
+    "backup_power": "case o_orderkey % 4 when 0 then true when 1 then false end",
+    "hidden_commission": "o_orderkey % 13 = 0",
+    "deposit_months": "case when o_orderkey % 4 > 0 then (o_orderkey % 4) * 5.0e-1 end",
 }
 LISTINGS_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in COLUMNS.items()) + " from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 

@@ -24,3 +24,11 @@ def sessions(stream: DataFrame, key: str, gap: str, *, at: str = "ts", late: str
 def run_once(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> None:
     """Write all that is there now as Parquet and stop."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(path).awaitTermination()
+
+def refresh_on_change(stream: DataFrame, refresh, checkpoint: str) -> None:
+    """Hand each micro-batch's changed keys, once each, to refresh(keys, batch_id), and stop when all that is there is done.
+
+    The batch id makes a repeated hand-over after a failure known to refresh. The stream has a column id.
+    """
+    hand_over = lambda batch, number: refresh(batch.select("id").distinct(), number)
+    stream.writeStream.foreachBatch(hand_over).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
