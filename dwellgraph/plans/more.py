@@ -34,7 +34,7 @@ def geojson_features(spark, d):
 # State
 
 
-@query("select event_id id, user_id::varchar as "key", ts as "at", exists (select 1 from events r where r.event_type = 'view' and r.user_id = q.user_id and r.ts <= q.ts and r.ts > q.ts - interval 3600 second) hit from events q where event_type = 'click'")
+@query("""select event_id id, user_id::varchar as "key", ts as "at", exists (select 1 from events r where r.event_type = 'view' and r.user_id = q.user_id and r.ts <= q.ts and r.ts > q.ts - interval 3600 second) hit from events q where event_type = 'click'""")
 def cache_hits(spark, d):
     events = table(spark, d, "events").withColumn("key", F.col("user_id").cast("string"))
     asked = events.where("event_type = 'click'").select(F.col("event_id").alias("id"), "key", F.col("ts").alias("at"))
