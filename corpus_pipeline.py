@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline: each stage reads what the one before it wrote.
+
+All stages but the last return the columns of documents, extra ones too, whatever their names. A document with a
+null key passes every stage that needs one as it is; a null or empty text is neither toxic, nor repeated, nor a
+near copy, nor a leak, and has no tokens. Rows that repeat a key stay as many rows, unless a stage drops their
+key. An empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ def values(rows):
 
 
 def catalogue():
-    from dwellgraph.plans import catalogue
+    from dwellgraph.plans import catalogue, more  # noqa: F401
 
     return catalogue
 
@@ -36,18 +36,36 @@ def test_query_equals_sql(spark, name):
     assert values(ours) == values(theirs)
 
 
+def market_rows(spark, prices, **more):
+    rows = [(0, "A", "d", 1, 16000, 40), *[(i + 1, "a", "d", 1, p, 40) for i, p in enumerate(prices)]]
+    t = spark.createDataFrame(rows, "id bigint, city string, district string, rooms bigint, price_uah bigint, total_area bigint")
+    return t.withColumns({"building_type": F.lit(""), "renovation_level": F.lit(""), "published_at": F.lit("2024-01-10").cast("timestamp"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "cluster": F.lit(None).cast("bigint"), "role": F.lit(None).cast("string")} | more)
+
+
+NOW = datetime.datetime(2024, 1, 11)
+
+
 def test_market_golden(spark):
     from dwellgraph.operators import market
 
-    prices = [14000, 15000, 16000, 17000, 18000, 60000]
-    rows = [(0, "A", "d", 1, 16000, 40), *[(i + 1, "a", "d", 1, p, 40) for i, p in enumerate(prices)]]
-    t = spark.createDataFrame(rows, "id bigint, city string, district string, rooms bigint, price_uah bigint, total_area bigint")
-    t = t.withColumns({"building_type": F.lit(""), "renovation_level": F.lit(""), "published_at": F.current_timestamp()})
+    t = market_rows(spark, [14000, 15000, 16000, 17000, 18000, 60000])
     target = t.where("id = 0")
-    got = market.assess(target, market.comparables(target, t, least=4), least=4).first()
-    assert (got.status, got.n, float(got.median), float(got.q1), float(got.q3), got.outliers, float(got.deviation)) == ("ready", 6, 16500, 15250, 17750, 1, -3.03)
-    few = market.assess(target, market.comparables(target, t, least=8), least=8).first()
-    assert (few.status, few.n, few.median) == ("insufficient", 6, None)
+    got = market.assess(target, market.comparables(target, t, NOW, least=4), NOW, least=4).first()
+    assert (got.status, got.n, got.median, got.q1, got.q3, got.outliers, float(got.deviation)) == ("ready", 6, 16500, 15250, 17750, 1, -3.03)
+    assert (got.stage, got.candidates, got.own_per_area, got.median_per_area) == ("district_rooms_area", 6, 400.0, 412.5)
+    few = market.assess(target, market.comparables(target, t, NOW, least=8), NOW, least=8).first()
+    assert (few.status, few.n, few.median, few.confidence_label, few.stage) == ("insufficient", 6, None, "low", "city_rooms")
+
+
+def test_market_leaves_out_the_stale_the_inactive_and_the_own_cluster(spark):
+    from dwellgraph.operators import market
+
+    t = market_rows(spark, [15000 + 500 * i for i in range(8)], published_at=F.when(F.col("id") == 8, F.lit("2023-01-10")).otherwise("2024-01-10").cast("timestamp"), cluster=F.when(F.col("id").isin(0, 1, 2), 7).when(F.col("id") == 3, 8).cast("bigint"), role=F.when(F.col("id").isin(1, 3), "primary").when(F.col("id") < 3, "duplicate"))
+    target = t.where("id = 0")
+    got = market.comparables(target, t, NOW, least=2).collect()
+    assert sorted(r.id for r in got) == [3, 4, 5, 6, 7] and {r.candidates for r in got} == {5}
+    few = sorted(r.id for r in market.comparables(target, t, NOW, least=2, most=3).collect())
+    assert few == [3, 4, 5] and market.comparables(target.limit(0), t, NOW).count() == 0
 
 
 def test_price_change_golden(spark):
@@ -65,12 +83,53 @@ def test_text_golden(spark):
     assert spark.range(1).select(text.phone(F.lit("067 123 45 67"))).first()[0] == "380671234567"
 
 
-def test_guarded_clusters_need_every_edge(spark):
+def listings_of(spark, ids):
+    """Listings with the columns of a quality, the higher the id the better."""
+    rows = [(i, i) for i in ids]
+    t = spark.createDataFrame(rows, "id bigint, floor bigint")
+    text = {c: F.lit("") for c in ("district", "street", "building_type", "renovation_level", "heating_type", "location_accuracy", "source_code", "image_one", "image_two")}
+    none = {"total_area": F.lit(None).cast("double"), "floors_total": F.lit(None).cast("bigint"), "pets_allowed": F.lit(None).cast("boolean"), "children_allowed": F.lit(None).cast("boolean"), "is_owner": F.lit(None).cast("boolean"), "commission_percent": F.lit(None).cast("bigint")}
+    rest = {"is_active": F.lit(True), "enabled": F.lit(True), "legal_status": F.lit("approved"), "health_status": F.lit("healthy"), "price_uah": F.lit(1), "published_at": F.lit("2024-01-01").cast("timestamp")}
+    return t.withColumns(text | none | rest)
+
+
+def test_guarded_clusters_equal_brute_force(spark):
+    """Random graphs, decisions and conflicts, against a plain reading of the rule."""
+    import random
+
     from dwellgraph.operators import duplicates
 
-    edges = spark.createDataFrame([(1, 2, 96.0), (2, 3, 95.0)], "left_id bigint, right_id bigint, final double")
-    got = {r.id: r.cluster for r in duplicates.guarded_clusters(edges, edges.limit(0).select("left_id", "right_id")).collect()}
-    assert got[1] == got[2] == 1 and got[3] == 3
+    rng = random.Random(3)
+    edges = {}
+    for group in range(6):
+        ids = range(100 * group, 100 * group + (3, 4, 6, 8, 9, 12)[group])
+        for a in ids:
+            for b in ids:
+                if a < b and rng.random() < (0.95 if group % 2 else 0.8):
+                    score = rng.choice([70.0, 80.0, 93.0, 95.0, 96.0, 99.0])
+                    edges[a, b] = (score, "split" if rng.random() < 0.01 else "auto_merge" if score >= 92 else "needs_review" if score >= 78 else "rejected", ["rooms"] if rng.random() < 0.02 else [])
+
+    def fits(a, b):
+        e = edges.get((min(a, b), max(a, b)))
+        return e is not None and e[1] != "split" and not e[2] and (e[1] == "auto_merge" or e[0] >= 78)
+
+    def allowed(m):
+        pairs = [(a, b) for a in m for b in m if a < b]
+        if any(edges.get(p, (0, ""))[1] == "split" for p in pairs):
+            return False
+        good = sum(fits(*p) for p in pairs)
+        return good == len(pairs) if len(m) <= 5 else good >= 0.7 * len(pairs) and all(fits(max(m), x) for x in m if x != max(m))
+
+    cluster = {i: {i} for e in edges for i in e}
+    for a, b in sorted((e for e in edges if edges[e][1] == "auto_merge"), key=lambda e: (edges[e][0], max(e), min(e)), reverse=True):
+        if cluster[a] is not cluster[b] and allowed(cluster[a] | cluster[b]):
+            both = cluster[a] | cluster[b]
+            for i in both:
+                cluster[i] = both
+    want = {i: min(c) for i, c in cluster.items() if len(c) > 1}
+    scored = spark.createDataFrame([(a, b, s, d, c) for (a, b), (s, d, c) in edges.items()], "left_id bigint, right_id bigint, final double, decision string, conflicts array<string>")
+    got = {r.id: r.cluster for r in duplicates.guarded_clusters(scored, listings_of(spark, cluster)).collect()}
+    assert got == want and len(set(want.values())) > 5
 
 
 def test_stream_first_seen(spark):
