@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: A side is broadcast only if it was counted and has at most so many rows and bytes.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -318,3 +318,21 @@ def test_cover_tree_keeps_its_radii():
             depth[c] = depth[p] + 1
             stack.append(c)
     assert max(depth.values()) >= 4
+
+
+def test_licence_versions_are_told_apart(spark):
+    """Each template states its own licence and no other, also among prose, in capitals, twice, and as paragraphs."""
+    from dwellgraph.llm.licenses import TEMPLATES, scan
+
+    want, rows = {}, []
+    for name, texts in TEMPLATES.items():
+        for k, t in enumerate(texts):
+            i = len(rows)
+            rows.append((i, [t, f"some prose of the work\n{t.upper()}\nmore of it\n{t}", f"first\n\n{t}\n\nlast words of a paragraph"][k % 3]))
+            want[i] = {name}
+    rows += [(900, "licensed under nothing in particular, " * 3000), (901, None), (902, ""), (903, "word")]
+    got = {}
+    for r in scan(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == want
+    assert scan(docs(spark, [])).count() == 0
