@@ -56,7 +56,8 @@ def weighted(parts: dict[str, Column], weights: dict[str, int]) -> Column:
     """The mean of the parts that are known, by their weights, half up to two places; null if none is."""
     total = reduce(lambda a, b: a + b, [F.coalesce(parts[n], F.lit(0.0)) * weights[n] for n in parts])
     weight = reduce(lambda a, b: a + b, [F.when(parts[n].isNotNull(), weights[n]).otherwise(0) for n in parts])
-    return F.when(weight > 0, F.round(total / weight, 2))
+    # Rounded twice, so that the noise of sums does not decide where a figure lies just half way.
+    return F.when(weight > 0, F.round(F.round(total / weight, 8), 2))
 
 
 def mean(*parts: Column) -> Column:

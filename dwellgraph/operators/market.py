@@ -116,6 +116,6 @@ def assess(targets: DataFrame, compared: DataFrame, as_of, *, least: int = MIN_S
     return told.select(
         "target", n.alias("n"), "stage", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(ready, "ready").otherwise("insufficient").alias("status"),
         only(F.col("median")).alias("median"), only(F.col("q1")).alias("q1"), only(F.col("q3")).alias("q3"), only(outside).alias("outliers"),
-        only(F.round(F.col("per_area"), 2)).alias("median_per_area"), only(price_per_area(F.col("own"), F.col("own_area"))).alias("own_per_area"),
-        only(F.round((F.col("own") - F.col("median")) / F.col("median") * 100, 2)).alias("deviation"), confidence.alias("confidence"), label.alias("confidence_label"),
+        only(F.round(F.round(F.col("per_area"), 8), 2)).alias("median_per_area"), only(price_per_area(F.col("own"), F.col("own_area"))).alias("own_per_area"),
+        only(F.round(F.round((F.col("own") - F.col("median")) / F.col("median") * 100, 8), 2)).alias("deviation"), confidence.alias("confidence"), label.alias("confidence_label"),
     )

@@ -216,7 +216,7 @@ ASSESSED = COMPARED + f""", e as (select target, count(*) n, any_value(stage) st
     case when n is null then 0 else round(least(100.0, 35 * least(n / 16, 1.0) + 20 * near / n + 15 * areas / n + 15 * greatest(0.0, 1 - age / {FRESH}) + 15 * greatest(0.0, 1 - least(case when median <> 0 then (q3 - q1) / median else 1.0 end, 1.0))), 2) end::double confidence
     from g left join q on g.id = q.target left join w on g.id = w.target),
   ma as (select target, n, stage, candidates, case when ok then 'ready' else 'insufficient' end status, case when ok then median end median, case when ok then q1 end q1, case when ok then q3 end q3, case when ok then outliers end::bigint outliers,
-    case when ok then round(per0, 2) end median_per_area, case when ok and total_area > 0 then ((200 * price_uah + total_area) // (2 * total_area)) / 100 end own_per_area, case when ok then round((price_uah - median)::double / median * 100, 2) end deviation, confidence,
+    case when ok then round(round(per0, 8) + 1e-9, 2) end median_per_area, case when ok and total_area > 0 then ((200 * price_uah + total_area) // (2 * total_area)) / 100 end own_per_area, case when ok then round(round((price_uah - median)::double / median * 100, 8) + sign(price_uah - median) * 1e-9, 2) + 0.0 end deviation, confidence,
     case when n = 0 then 'none' when not ok then 'low' when confidence >= 75 then 'high' when confidence >= 50 then 'medium' else 'low' end confidence_label from z) """
 
 
@@ -255,10 +255,11 @@ def market_assessment(spark, d):
     return _assessed(spark, d).drop("confidence", "confidence_label").withColumn("outliers", F.col("outliers").cast("bigint"))
 
 
-@query(ASSESSED + "select target, round(confidence, 1) confidence, confidence_label from ma where abs(confidence - 75) > 0.02 and abs(confidence - 50) > 0.02")
+@query(ASSESSED + "select target, floor(confidence)::bigint confidence, confidence_label from ma where n = 0 or abs(confidence - round(confidence)) > 0.02")
 def market_confidence(spark, d):
-    found = _assessed(spark, d).where((F.abs(F.col("confidence") - 75) > 0.02) & (F.abs(F.col("confidence") - 50) > 0.02))
-    return found.select("target", F.round("confidence", 1).alias("confidence"), "confidence_label")
+    # Whole points, and none next to a whole number: two engines may add up the parts in another order.
+    found = _assessed(spark, d).where((F.col("n") == 0) | (F.abs(F.col("confidence") - F.round("confidence")) > 0.02))
+    return found.select("target", F.floor("confidence").alias("confidence"), "confidence_label")
 
 
 # Duplicates
@@ -325,7 +326,7 @@ SCORES = PAIRS + f""", g as (select left_id, right_id, x.rooms xr, y.rooms yr, l
     case when dp <= 0.03 then 100 when dp <= 0.10 then 90 when dp <= 0.20 then 70 when dp <= 0.35 then 40 else 12 end::double price,
     concat_ws(',', case when other_kind then 'property_type' end, case when abs(xr - yr) > 1 then 'rooms' end, case when da > 0.45 then 'area' end, case when built and m > 750 then 'location' end) conflicts,
     concat_ws(',', case when same_id then 'same_source_id' end, case when shared >= 2 then 'same_images' end, case when contact then 'same_contact' end, case when shared = 1 then 'same_image' end) reasons from g),
-  u as (select *, case when conflicts <> '' then 0 else round((coalesce(exact, 0) * 25 + location * 25 + coalesce(attributes, 0) * 15 + coalesce(image, 0) * 15 + price * 5) / (30 + case when exact is null then 0 else 25 end + case when attributes is null then 0 else 15 end + case when image is null then 0 else 15 end), 2) end::double final from h),
+  u as (select *, case when conflicts <> '' then 0 else round(round((coalesce(exact, 0) * 25 + location * 25 + coalesce(attributes, 0) * 15 + coalesce(image, 0) * 15 + price * 5) / (30 + case when exact is null then 0 else 25 end + case when attributes is null then 0 else 15 end + case when image is null then 0 else 15 end), 8) + 1e-9, 2) end::double final from h),
   w as (select left_id, right_id, exact, round(location, 6) location, attributes, image, price, conflicts, reasons, final, case when conflicts <> '' then 'rejected' when (ruled and coalesce(attributes >= 60, true)) or final >= 92 then 'auto_merge' when final >= 78 then 'needs_review' else 'rejected' end decision from u) """
 
 
