@@ -14,10 +14,12 @@ def cut(df: DataFrame) -> DataFrame:
     Where no folder is set and the driver runs the tasks itself, as in tests, a temporary one is taken.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
