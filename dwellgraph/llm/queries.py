@@ -75,6 +75,24 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.whitening import whitened_rows
+
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dwellgraph.llm.alignment import alignment_digests, public_pair
+
+    return alignment_digests(table(spark, sf_dir, "documents"), *public_pair())
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,6 +104,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 #: DuckDB SQL where SQL can express the operator at the cost of whole tables.
