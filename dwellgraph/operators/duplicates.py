@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from dwellgraph.functions.geo import haversine
 from dwellgraph.functions.text import hamming64, text_similarity
-from dwellgraph.operators.graph import components
-from dwellgraph.operators.lineage import cut
 
 #: Weights of the components, the thresholds of a decision, and the decisions that count as accepted.
 WEIGHTS = {"exact": 25, "location": 25, "attributes": 15, "text": 15, "image": 15, "price": 5}
@@ -23,23 +21,37 @@ BLOCK_CAP, BLOCK_BITS, BLOCK_STEPS = 500, 12, 3
 SMALL_CLUSTER, SHARE = 5, 0.7
 
 
-def block_pairs(prints: DataFrame, *, cap: int = BLOCK_CAP, text: bool = True) -> DataFrame:
+def block_leaders(prints: DataFrame, cap: int | None = BLOCK_CAP) -> DataFrame:
+    """The first cap fingerprints of each city by id, which all others of the city are compared with; all of them without a cap."""
+    if cap is None:
+        return prints
+    place = F.row_number().over(Window.partitionBy("city_key").orderBy("id"))
+    return prints.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+
+def block_pairs(prints: DataFrame, *, cap: int | None = BLOCK_CAP, text: bool = True, only: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id), left below right, of fingerprints of one city that share a block.
 
     Blocks are the same url, contact, address, place or exact image, the same attributes at prices at most
     BLOCK_STEPS steps apart, and the same beginning of SimHashes at most BLOCK_BITS bits apart. Only pairs
     count of which one is among the first cap listings of the city by id, as the rule of the reference has it;
-    so a block's pairs grow with the listings, not with their square. Each block is a join on equality.
+    so a block's pairs grow with the listings, not with their square; without a cap every pair of a block counts.
+    Each block is a join on equality. With only (a column id), pairs of these listings alone are made.
     """
-    place = F.row_number().over(Window.partitionBy("city_key").orderBy("id"))
-    first = prints.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+    first = block_leaders(prints, cap)
+    # A pair's left listing is the smaller one, and so the one among the first of the city.
+    sides = [(first, prints)]
+    if only is not None:
+        ids = F.broadcast(only.select("id").distinct()) if only.count() <= 100_000 else only.select("id").distinct()
+        sides = [(first.join(ids, "id", "left_semi"), prints), (first.join(ids, "id", "left_anti"), prints.join(ids, "id", "left_semi"))]
 
     def side(rows: DataFrame, name: str, key: Column, *more: Column) -> DataFrame:
         keyed = rows.select(F.col("id").alias(f"{name}_id"), F.col("city_key"), key.alias("k"), *[c.alias(f"{name}_{i}") for i, c in enumerate(more)])
         return keyed.where("k is not null and k <> ''")
 
     def met(key: Column, *more: Column, other: Column | None = None) -> DataFrame:
-        return side(first, "left", key, *more).join(side(prints, "right", key if other is None else other, *more), ["city_key", "k"]).where("left_id < right_id")
+        joined = [side(a, "left", key, *more).join(side(b, "right", key if other is None else other, *more), ["city_key", "k"]).where("left_id < right_id") for a, b in sides]
+        return reduce(DataFrame.union, joined)
 
     found = [met(F.col(c)) for c in ("url_key", "address_key", "geo_key")] + [met(F.explode(c)) for c in ("contacts", "exact")]
     # A band of prices: equal step groups or neighbouring ones, then the exact difference.
@@ -133,12 +145,28 @@ def score(pairs: DataFrame, listings: DataFrame, prints: DataFrame, *, text: boo
 def with_manual(scored: DataFrame, log: DataFrame) -> DataFrame:
     """The scored pairs with decision replaced by the last manual one (confirmed, split) of the log, which scoring never overrides.
 
-    log has left_id, right_id in either order, decision, decided_at and an id that parts ties. Pairs that
-    only the log has are not added.
+    log has left_id, right_id in either order, decision, decided_at and an id that parts ties. A last decision
+    `restored` gives the pair back to scoring. Pairs that only the log has are not added.
+    """
+    manual = log.where(F.col("decision").isin("confirmed", "split", "restored")).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.nullif("decision", F.lit("restored")).alias("manual"), "decided_at", F.col("id").alias("log_id"))
+    # A struct, for max_by passes over null values.
+    last = manual.groupBy("left_id", "right_id").agg(F.max(F.struct("decided_at", "log_id", "manual")).alias("last"))
+    return scored.join(last, ["left_id", "right_id"], "left").withColumn("decision", F.coalesce("last.manual", "decision")).drop("last")
+
+
+#: What a reviewer may do with a pair, and what it then is.
+ACTIONS = {"confirm": "confirmed", "block_pair": "split", "restore_auto": "restored"}
+NOTE_LENGTH = 1000
+
+
+def reviews(asked: DataFrame) -> DataFrame:
+    """Log rows of reviews (id, left_id, right_id, action, actor, note, decided_at): ends in order, the decision, notes cut to NOTE_LENGTH.
+
+    A pair of a listing with itself, or an unknown action, is an error.
     """
-    manual = log.where(F.col("decision").isin("confirmed", "split")).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.col("decision").alias("manual"), "decided_at", F.col("id").alias("log_id"))
-    last = manual.groupBy("left_id", "right_id").agg(F.max_by("manual", F.struct("decided_at", "log_id")).alias("manual"))
-    return scored.join(last, ["left_id", "right_id"], "left").withColumn("decision", F.coalesce("manual", "decision")).drop("manual")
+    decision = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])[F.col("action")]
+    checked = F.when(F.col("left_id") == F.col("right_id"), F.raise_error(F.lit("a listing has no pair with itself"))).when(decision.isNull(), F.raise_error(F.concat(F.lit("no such action: "), "action"))).otherwise(decision)
+    return asked.select("id", F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "action", checked.alias("decision"), "actor", F.left(F.coalesce("note", F.lit("")), F.lit(NOTE_LENGTH)).alias("note"), "decided_at")
 
 
 def with_quality(listings: DataFrame) -> DataFrame:
@@ -179,65 +207,6 @@ def compatible(scored: DataFrame) -> Column:
     return (F.col("decision") != "split") & (F.size("conflicts") == 0) & (F.col("decision").isin(*ACCEPTED) | (F.col("final") >= REVIEW))
 
 
-def guarded_clusters(scored: DataFrame, listings: DataFrame) -> DataFrame:
-    """(id, cluster) of listings in clusters of two or more, named by their smallest id.
-
-    Accepted pairs are taken by falling score, then by the qualities of their ends and their ids, and merge
-    two clusters if may_merge allows it. The rule is sequential, but pairs of different components of
-    accepted pairs have no effect on each other: so it runs by component, each in one task with the pairs of
-    its members. Components are groups of publications of one flat, small by nature. Members are one cluster
-    if none of their pairs is split and, of SMALL_CLUSTER or fewer, all pairs are compatible; of more, SHARE
-    of the pairs and all with the member of the best quality.
-    """
-    small, tenths = SMALL_CLUSTER, round(10 * SHARE)
-    scored = cut(scored)
-    labels = cut(components(scored.where(F.col("decision").isin(*ACCEPTED)).select("left_id", "right_id")))
-    of = lambda side: labels.select(F.col("id").alias(f"{side}_id"), F.col("component").alias(f"{side}_component"))
-    inside = scored.join(of("left"), "left_id").join(of("right"), "right_id").where("left_component = right_component")
-    quality = with_quality(listings).select("id", "quality").join(labels, "id")
-    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("quality")))
-    ranks = quality.select("id", "component", place.alias("place"))
-    ends = inside.join(ranks.select(F.col("id").alias("left_id"), F.col("place").alias("left_place")), "left_id").join(ranks.select(F.col("id").alias("right_id"), F.col("place").alias("right_place")), "right_id")
-    rows = ends.select(F.col("left_component").alias("component"), "left_id", "right_id", "final", "left_place", "right_place", compatible(scored).alias("fits"), (F.col("decision") == "split").alias("split"), F.col("decision").isin(*ACCEPTED).alias("accepted"))
-
-    def may_merge(members: set, fits: set, split: set, rank: dict) -> bool:
-        ids = sorted(members)
-        pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]]
-        if any(p in split for p in pairs):
-            return False
-        good = sum(p in fits for p in pairs)
-        if len(ids) <= small:
-            return good == len(pairs)
-        best = min(ids, key=rank.__getitem__)
-        return good >= -(-len(pairs) * tenths // 10) and all((min(best, m), max(best, m)) in fits for m in ids if m != best)
-
-    def merge(group):
-        import pandas as pd
-
-        rank, of_id, members = {}, {}, {}
-        for r in group.itertuples():
-            rank[r.left_id], rank[r.right_id] = r.left_place, r.right_place
-        pair = lambda r: (r.left_id, r.right_id)
-        fits = {pair(r) for r in group.itertuples() if r.fits}
-        split = {pair(r) for r in group.itertuples() if r.split}
-        taken = [r for r in group.itertuples() if r.accepted]
-        # Sorting is stable: by ids falling, then by the worse and the better end, then by score falling.
-        taken.sort(key=pair, reverse=True)
-        taken.sort(key=lambda r: (-r.final, min(r.left_place, r.right_place), max(r.left_place, r.right_place)))
-        for r in taken:
-            x, y = of_id.setdefault(r.left_id, r.left_id), of_id.setdefault(r.right_id, r.right_id)
-            mx, my = members.setdefault(x, {x}), members.setdefault(y, {y})
-            if x != y and may_merge(mx | my, fits, split, rank):
-                for i in my:
-                    of_id[i] = x
-                mx |= my
-                del members[y]
-        found = [(i, min(m)) for m in members.values() if len(m) > 1 for i in m]
-        return pd.DataFrame({"id": [i for i, _ in found], "cluster": [c for _, c in found]}, dtype="int64")
-
-    return rows.groupBy("component").applyInPandas(merge, "id bigint, cluster bigint")
-
-
 def joined_members(clusters: DataFrame, listings: DataFrame, scored: DataFrame) -> DataFrame:
     """The members of clusters with role, confidence and method of joining.
 

@@ -4,22 +4,37 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); where none is set and the driver runs the tasks itself, as in tests, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table, written once to the cluster's shared folder (spark.checkpoint.dir) and read from there.
+    """The table, written once to the shared folder and read from there.
 
-    Where no folder is set and the driver runs the tasks itself, as in tests, a temporary one is taken.
+    It outlives executors, and unlike a checkpoint its statistics are those of its files: the planner of a loop
+    would otherwise multiply sizes from round to round.
     """
-    spark = df.sparkSession
-    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables that cut wrote and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/cut-" in path:
+                folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(folder, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgraph.functions import geo, text
-from dwellgraph.operators import duplicates, fingerprints, history, market, matching, risk, rules, state, workspace
+from dwellgraph.operators import duplicates, fingerprints, guarded, history, market, matching, risk, rules, state, workspace
 from dwellgraph.operators.lineage import cut
 from dwellgraph.sources import listings as src
 
@@ -374,13 +374,13 @@ def accepted_components(spark, d):
 
 @query()
 def guarded_clusters(spark, d):
-    return duplicates.guarded_clusters(_scored(spark, d), src.fixture_listings(spark, d))
+    return guarded.guarded_clusters(_scored(spark, d), src.fixture_listings(spark, d))
 
 
 @query()
 def cluster_members(spark, d):
     rows, scored = src.fixture_listings(spark, d), cut(_scored(spark, d))
-    members = duplicates.joined_members(duplicates.guarded_clusters(scored, rows), rows, scored)
+    members = duplicates.joined_members(guarded.guarded_clusters(scored, rows), rows, scored)
     told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"], m["role"], m["method"])), ",")
     return duplicates.nested(members).withColumn("members", told)
 

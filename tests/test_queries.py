@@ -93,11 +93,12 @@ def listings_of(spark, ids):
     return t.withColumns(text | none | rest)
 
 
-def test_guarded_clusters_equal_brute_force(spark):
-    """Random graphs, decisions and conflicts, against a plain reading of the rule."""
+@pytest.mark.parametrize("one_task", [200_000, 12])
+def test_guarded_clusters_equal_brute_force(spark, one_task):
+    """Random graphs, decisions and conflicts, against a plain reading of the rule; settled by tasks and by rounds."""
     import random
 
-    from dwellgraph.operators import duplicates
+    from dwellgraph.operators import guarded
 
     rng = random.Random(3)
     edges = {}
@@ -128,7 +129,7 @@ def test_guarded_clusters_equal_brute_force(spark):
                 cluster[i] = both
     want = {i: min(c) for i, c in cluster.items() if len(c) > 1}
     scored = spark.createDataFrame([(a, b, s, d, c) for (a, b), (s, d, c) in edges.items()], "left_id bigint, right_id bigint, final double, decision string, conflicts array<string>")
-    got = {r.id: r.cluster for r in duplicates.guarded_clusters(scored, listings_of(spark, cluster)).collect()}
+    got = {r.id: r.cluster for r in guarded.guarded_clusters(scored, listings_of(spark, cluster), one_task=one_task).collect()}
     assert got == want and len(set(want.values())) > 5
 
 
