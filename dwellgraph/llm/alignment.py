@@ -18,7 +18,7 @@ from dwellgraph.llm.common import fresh_name, materialize, prepare
 #: A text may be encoded in pieces that are cut before such a space: no token of either vocabulary spans it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of so many characters at most are kept with their ids, so many at once in a worker.
-KEPT_LENGTH, KEPT_PIECES = 48, 150_000
+KEPT_LENGTH, KEPT_PIECES = 48, 300_000
 #: Id pairs whose counts go to all tasks: at most so many, each a few numbers.
 HOT_PAIRS = 1 << 19
 ROWS_AT_ONCE = 64
@@ -60,7 +60,7 @@ class Codec:
         # Merges stay within a piece if no entry has a space behind anything but spaces.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.sizes = tuple(np.array([len(b) for b in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
 
     def _encode(self, pieces: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Of each text the ids of either tokenizer as 32-bit numbers; None if the tokens don't spell space and text."""
@@ -71,27 +71,36 @@ class Codec:
             out.append((np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if good else None)
         return out
 
+    def _encode_at_once(self, pieces: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """As _encode, of pieces without white space at their ends: as one text, whose ids are parted where the pieces end."""
+        whole = self._encode([" ".join(pieces)])[0] if len(pieces) > 1 else None
+        if whole is None:
+            return self._encode(pieces)
+        ends = np.cumsum([1 + len(p.encode()) for p in pieces])
+        parts = []
+        for raw, sizes in zip(whole, self.sizes, strict=True):
+            at = np.searchsorted(np.cumsum(sizes[np.frombuffer(raw, "<u4")]), ends, "right") * 4
+            parts.append([raw[i:j] for i, j in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)])
+        return list(zip(*parts, strict=True))
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of both tokenizers for a text; None for an empty one and for one that either doesn't spell."""
         if not text:
             return None
-        kept = self.kept
         pieces = _CUT.split(text) if self.cuts else [text]
-        new = {p for p in pieces if p not in kept}
-        once = {}
-        if new:
-            new = list(new)
-            for piece, ids in zip(new, self._encode(new), strict=True):
-                if len(piece) <= KEPT_LENGTH:
-                    kept[piece] = ids
-                else:
-                    once[piece] = ids
-        found = [kept[p] if p in kept else once[p] for p in pieces] if once else [kept[p] for p in pieces]
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
+        # White space is at the ends of the first and the last piece only.
+        ids = {p: self._encode([p])[0] for p in (pieces[0], pieces[-1]) if p != p.strip()}
+        found = list(map(self.kept.get, pieces))
+        if None in found:
+            new = list({p for p, f in zip(pieces, found, strict=True) if f is None and p not in ids})
+            ids.update(zip(new, self._encode_at_once(new), strict=True) if new else ())
+            found = [ids[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+            if len(self.kept) + len(ids) > KEPT_PIECES:
+                self.kept.clear()
+            self.kept.update((p, f) for p, f in ids.items() if f is not None and len(p) <= KEPT_LENGTH)
         if None in found:
             return None
-        return tuple(np.frombuffer(b"".join([f[k] for f in found]), "<u4").astype(np.int64) for k in (0, 1))
+        return tuple(np.frombuffer(b"".join(part), "<u4").astype(np.int64) for part in zip(*found, strict=True))
 
 
 class Bits:
@@ -151,6 +160,17 @@ def align(sizes_a: np.ndarray, sizes_b: np.ndarray) -> Aligned:
     return Aligned(a.rank(shared) + 1, b.rank(shared) + 1, a.rank(either), b.rank(either))
 
 
+class _Names(dict):
+    """Ids with the character that follows them, as text; as many as both vocabularies have, twice."""
+
+    def __missing__(self, number: int) -> str:
+        self[number] = name = f"{number >> 7}{chr(number & 127)}"
+        return name
+
+
+_NAMES = _Names()
+
+
 def group_text(ids_a: np.ndarray, ids_b: np.ndarray, found: Aligned) -> str:
     """Groups as `a1,a2|b1;a3|b2,b3`."""
     after_a, after_b = np.full(len(ids_a), 44), np.full(len(ids_b), 44)
@@ -161,8 +181,7 @@ def group_text(ids_a: np.ndarray, ids_b: np.ndarray, found: Aligned) -> str:
     place_b = np.arange(len(ids_b)) + found.ends_a[group_b]
     ids, after = np.empty(len(ids_a) + len(ids_b), np.int64), np.empty(len(ids_a) + len(ids_b), np.int64)
     ids[place_a], ids[place_b], after[place_a], after[place_b] = ids_a, ids_b, after_a, after_b
-    names = {int(v): f"{v >> 7}{chr(v & 127)}" for v in np.unique(ids << 7 | after)}
-    return "".join(map(names.__getitem__, (ids << 7 | after).tolist()))[:-1]
+    return "".join(map(_NAMES.__getitem__, (ids << 7 | after).tolist()))[:-1]
 
 
 _CODECS: dict[bytes, Codec] = {}
