@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellgraph.operators.duplicates import ACCEPTED, SHARE, SMALL_CLUSTER, compatible, with_quality
 from dwellgraph.operators.graph import components
-from dwellgraph.operators.lineage import cut, forget
+from dwellgraph.operators.lineage import cut, forget, importable
 
 #: A component of so many pairs at most is settled by one task; larger ones go through rounds until so few pairs are open.
 ONE_TASK = 200_000
@@ -118,6 +118,7 @@ def guarded_clusters(scored: DataFrame, listings: DataFrame, *, one_task: int =
     whole numbers; pairs of listings that the table lacks have no effect. labels are the components of the
     accepted pairs (id, component), if they are known.
     """
+    importable(scored.sparkSession)
     links = _prepared(scored, listings, labels)
     wide = links.groupBy("component").count().where(F.col("count") > one_task).select("component")
     wide = cut(wide)

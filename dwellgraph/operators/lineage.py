@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that holds the package.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = ":".join([ROOT, *paths])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); where none is set and the driver runs the tasks itself, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -107,7 +107,7 @@ def assess(targets: DataFrame, compared: DataFrame, as_of, *, least: int = MIN_S
     share = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
     spread = F.when(F.col("median") != 0, (F.col("q3") - F.col("q1")) / F.col("median")).otherwise(1.0)
     parts = 35 * F.least(n / max(2 * least, 1), F.lit(1.0)) + 20 * share("same_district") + 15 * share("areas") + 15 * F.greatest(F.lit(0.0), 1 - F.col("age") / fresh_days) + 15 * F.greatest(F.lit(0.0), 1 - F.least(spread, F.lit(1.0)))
-    confidence = F.when(n == 0, 0.0).otherwise(F.round(F.least(parts, F.lit(100.0)), 2))
+    confidence = F.when(n == 0, 0.0).otherwise(F.round(F.round(F.least(parts, F.lit(100.0)), 8), 2))
     ready = n >= least
     only = lambda c: F.when(ready, c)
     fence = 1.5 * (F.col("q3") - F.col("q1"))

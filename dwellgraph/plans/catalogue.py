@@ -15,7 +15,7 @@ from dwellgraph.sources import listings as src
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-L = f"with l as ({src.LISTINGS_SQL}), a as (select * from l where is_active and enabled)"
+L = f"with l as ({src.LISTINGS_SQL}), a as (select * from l where is_active and enabled and legal_status in ('approved', 'approved_demo'))"
 PROFILE = matching.Profile("NATION_3", 60_000, 180_000, (2, 3), ("1-URGENT", "2-HIGH"), ("5-LOW",), ("brick", "panel"), True, True)
 
 
@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def approved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings that are active, of a source that is enabled."""
-    return src.fixture_listings(spark, sf_dir).where("is_active and enabled")
+    """Listings that are active, of a source that is enabled and approved."""
+    return src.fixture_listings(spark, sf_dir).where(src.APPROVED)
 
 
 # Match
@@ -213,7 +213,7 @@ ASSESSED = COMPARED + f""", e as (select target, count(*) n, any_value(stage) st
   q as (select *, round(m0)::bigint median, round(a0)::bigint q1, round(b0)::bigint q3 from e),
   w as (select target, sum((price_uah < q1 - 1.5 * (q3 - q1) or price_uah > q3 + 1.5 * (q3 - q1))::int) outliers from c join q using (target) group by target),
   z as (select g.id target, coalesce(n, 0) n, stage, coalesce(candidates, 0) candidates, coalesce(n, 0) >= 8 ok, median, q1, q3, outliers, per0, price_uah, total_area,
-    case when n is null then 0 else round(least(100.0, 35 * least(n / 16, 1.0) + 20 * near / n + 15 * areas / n + 15 * greatest(0.0, 1 - age / {FRESH}) + 15 * greatest(0.0, 1 - least(case when median <> 0 then (q3 - q1) / median else 1.0 end, 1.0))), 2) end::double confidence
+    case when n is null then 0 else round(round(least(100.0, 35 * least(n / 16, 1.0) + 20 * near / n + 15 * areas / n + 15 * greatest(0.0, 1 - age / {FRESH}) + 15 * greatest(0.0, 1 - least(case when median <> 0 then (q3 - q1) / median else 1.0 end, 1.0))), 8) + 1e-9, 2) end::double confidence
     from g left join q on g.id = q.target left join w on g.id = w.target),
   ma as (select target, n, stage, candidates, case when ok then 'ready' else 'insufficient' end status, case when ok then median end median, case when ok then q1 end q1, case when ok then q3 end q3, case when ok then outliers end::bigint outliers,
     case when ok then round(round(per0, 8) + 1e-9, 2) end median_per_area, case when ok and total_area > 0 then ((200 * price_uah + total_area) // (2 * total_area)) / 100 end own_per_area, case when ok then round(round((price_uah - median)::double / median * 100, 8) + sign(price_uah - median) * 1e-9, 2) + 0.0 end deviation, confidence,
@@ -255,11 +255,9 @@ def market_assessment(spark, d):
     return _assessed(spark, d).drop("confidence", "confidence_label").withColumn("outliers", F.col("outliers").cast("bigint"))
 
 
-@query(ASSESSED + "select target, floor(confidence)::bigint confidence, confidence_label from ma where n = 0 or abs(confidence - round(confidence)) > 0.02")
+@query(ASSESSED + "select target, confidence, confidence_label from ma")
 def market_confidence(spark, d):
-    # Whole points, and none next to a whole number: two engines may add up the parts in another order.
-    found = _assessed(spark, d).where((F.col("n") == 0) | (F.abs(F.col("confidence") - F.round("confidence")) > 0.02))
-    return found.select("target", F.floor("confidence").alias("confidence"), "confidence_label")
+    return _assessed(spark, d).select("target", "confidence", "confidence_label")
 
 
 # Duplicates
@@ -287,7 +285,7 @@ def fingerprint_texts(spark, d):
     return _prints(spark, d).select("id", "body", "simhash", "text_block")
 
 
-PAIRS = PRINTS + """, fs as (select * from (select *, row_number() over (partition by city_key order by id) place from fp) where place <= 500),
+PAIRS = PRINTS.replace(" from l) ", " from a) ") + """, fs as (select * from (select *, row_number() over (partition by city_key order by id) place from fp) where place <= 500),
 b as (select x.id left_id, y.id right_id from fs x join fp y on x.city_key = y.city_key and x.address_key = y.address_key and x.id < y.id
   union select x.id, y.id from fs x join fp y on x.city_key = y.city_key and x.geo_key = y.geo_key and x.id < y.id
   union select x.id, y.id from fs x join fp y on x.city_key = y.city_key and x.attribute_key = y.attribute_key and x.id < y.id and abs(x.price_bucket - y.price_bucket) <= 3
@@ -296,7 +294,7 @@ b as (select x.id left_id, y.id right_id from fs x join fp y on x.city_key = y.c
 
 
 def _pairs(spark, d, text=False):
-    rows = src.fixture_listings(spark, d)
+    rows = approved(spark, d)
     prints = fingerprints.fingerprints(rows)
     return rows, prints, duplicates.block_pairs(prints, text=text)
 
@@ -374,12 +372,12 @@ def accepted_components(spark, d):
 
 @query()
 def guarded_clusters(spark, d):
-    return guarded.guarded_clusters(_scored(spark, d), src.fixture_listings(spark, d))
+    return guarded.guarded_clusters(_scored(spark, d), approved(spark, d))
 
 
 @query()
 def cluster_members(spark, d):
-    rows, scored = src.fixture_listings(spark, d), cut(_scored(spark, d))
+    rows, scored = approved(spark, d), cut(_scored(spark, d))
     members = duplicates.joined_members(guarded.guarded_clusters(scored, rows), rows, scored)
     told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"], m["role"], m["method"])), ",")
     return duplicates.nested(members).withColumn("members", told)
@@ -404,9 +402,9 @@ def cluster_price_range(spark, d):
     return duplicates.cluster_ranges(_ranked(spark, d))
 
 
-@query(RANKED + "select id from r where is_active and enabled and role = 'primary'")
+@query(RANKED + "select id from r where is_active and enabled and legal_status in ('approved', 'approved_demo') and role = 'primary'")
 def collapse_clusters(spark, d):
-    return _ranked(spark, d).where("is_active and enabled and role = 'primary'").select("id")
+    return _ranked(spark, d).where(f"{src.APPROVED} and role = 'primary'").select("id")
 
 
 # Risk
@@ -427,11 +425,13 @@ LINE_CHANGES = """lp as (select l_orderkey id, l_shipdate ts, l_linenumber * 100
 _says = lambda p: f"contains(x, '{p}')"
 RISKS = ASSESSED + f""", {LINE_CHANGES},
   cc as (select id // 3 cluster, concat_ws(',', case when count(distinct lower(city)) > 1 then 'city' end, case when count(distinct rooms) > 1 then 'rooms' end, case when coalesce((max(price_uah) - min(price_uah)) / min(price_uah) * 100, 0) >= 25 then 'price' end) conflicts from a group by 1 having count(*) > 1),
-  rt as (select a.*, lower(trim(title || ' ' || description)) x, ma.deviation, ma.confidence_label, ma.status market_status, lc.largest_change, lc.change_count, cc.conflicts cluster_conflicts,
+  cf as (with {SCORES.removeprefix(L + ", ")}, e as (select left_id id, right_id other, final, conflicts from w where conflicts <> '' union all select right_id, left_id, final, conflicts from w where conflicts <> '') select id, arg_max(conflicts, [final, -other]) conflicts from e group by id),
+  ir as (with {REUSED.removeprefix(L + ", ")} select id, matches from im),
+  rt as (select a.*, cf.conflicts, ir.matches, lower(trim(title || ' ' || description)) x, ma.deviation, ma.confidence_label, ma.status market_status, lc.largest_change, lc.change_count, cc.conflicts cluster_conflicts,
     (district = '')::int + (street = '')::int + (total_area is null)::int + (floor is null)::int + (commission_percent is null)::int + (is_owner is null)::int missing
-    from a left join ma on a.id = ma.target left join lc on a.id = lc.id left join cc on a.id // 3 = cc.cluster),
+    from a left join ma on a.id = ma.target left join lc on a.id = lc.id left join cc on a.id // 3 = cc.cluster left join cf on a.id = cf.id left join ir on a.id = ir.id),
   rs as (select *, market_status = 'ready' and confidence_label in ('medium', 'high') trusted, {" or ".join(map(_says, risk.PREPAYMENT))} prepay, {" + ".join(f"{_says(p)}::int" for p in risk.PRESSURE)} pressure, {" or ".join(f"({_says(p)} and lower(city) <> '{p}')" for p in risk.CITIES)} elsewhere from rt),
-  rc as (select *, [case when trusted and deviation <= -35 then 30 end, case when trusted and deviation > -35 and deviation <= -20 then 18 end, case when cluster_conflicts <> '' then 16 end, case when missing >= 3 then least(4 + missing, 12) end, case when hidden_commission then 12 end, case when largest_change >= 30 then 14 end, case when change_count >= 3 then 8 end,
+  rc as (select *, [case when trusted and deviation <= -35 then 30 end, case when trusted and deviation > -35 and deviation <= -20 then 18 end, case when conflicts <> '' then 14 end, case when matches > 0 then 24 end, case when cluster_conflicts <> '' then 16 end, case when missing >= 3 then least(4 + missing, 12) end, case when hidden_commission then 12 end, case when largest_change >= 30 then 14 end, case when change_count >= 3 then 8 end,
     case when length(trim(description)) < 80 then 8 end, case when prepay then 30 end, case when pressure >= 2 then 7 end, case when regexp_matches(x, 'https?://|www\\.|t\\.me/') then 7 end, case when elsewhere then 12 end, case when is_owner then -5 end, case when length(trim(description)) >= 300 then -4 end] points from rs) """
 
 
@@ -443,12 +443,14 @@ def _risky(spark, d):
     changes = risk.last_changes(history.price_events(prices, key="id", at="at", value="v", tie="tie"), "id", "at", "tie")
     grouped = workspace.cluster_conflicts(rows.drop("cluster").withColumn("cluster", F.expr("id div 3")), "cluster").select("cluster", F.col("conflicts").alias("cluster_conflicts"))
     told = rows.drop("cluster").withColumn("cluster", F.expr("id div 3")).join(assessed, "id", "left").join(changes, "id", "left").join(grouped, "cluster", "left")
-    return told.withColumns({"conflicts": F.lit(None).cast("array<string>"), "matches": F.lit(None).cast("bigint")})
+    everyone = src.fixture_listings(spark, d)
+    reused = risk.image_reuse(fingerprints.fingerprints(everyone), everyone).select("id", "matches")
+    return told.join(risk.worst_conflict(_scored(spark, d)), "id", "left").join(reused, "id", "left")
 
 
-@query(RISKS + "select id, greatest(0, least(100, list_sum(list_filter(points, lambda p: p is not null)))) score from rc where len(list_filter(points, lambda p: p is not null)) > 0")
+@query(RISKS + "select id, greatest(0, least(100, coalesce(list_sum(list_filter(points, lambda p: p is not null)), 0))) score from rc")
 def risk_total(spark, d):
-    return risk.assess(_risky(spark, d)).where("codes <> '' or protective <> ''").select("id", "score")
+    return risk.assess(_risky(spark, d)).select("id", "score")
 
 
 @query(RISKS + "select level, count(*) n from (select case when s >= 50 then 'elevated' when s >= 25 then 'review' else 'low' end as level from (select coalesce(list_sum(list_filter(points, lambda p: p is not null)), 0) s from rc)) group by level")
@@ -458,22 +460,27 @@ def risk_levels(spark, d):
 
 # Rules
 
+#: Ways of asking, with the price in thousands and the rooms of a listing in place of %p and %r.
 NL_TEXTS = [
-    "Шукаю однокімнатну квартиру у Львові до 18 тисяч, новобудова, не перший поверх, з котом і без комісії", "Шукаю двокімнатну квартиру у Києві до 25000 грн.", "Шукаю однокімнатну квартиру у Львові до 18 тисяч, до 25 хвилин від політехніки.",
-    "3 кімнатна у Рівному, собака, не останній поверх, біля університету", "", "max 30 тис  2-кімнатну квартиру, комісію платити не хочу, робота до 300 хв",
+    "Шукаю однокімнатну квартиру у Львові до %p тисяч, новобудова, не перший поверх, з котом і без комісії", "Шукаю двокімнатну квартиру у Києві до %p500 грн.", "Шукаю %r-кімнатну квартиру у Львові до %p тисяч, до 25 хвилин від політехніки.",
+    "%r кімнатна у Рівному, собака, не останній поверх, біля університету", "", "max %p тис  %r-кімнатну квартиру, комісію платити не хочу, робота до 300 хв",
 ]
 _flag = lambda n: " or ".join(f"contains(t, '{p}')" for p in rules.FLAGS[n])
 _first = lambda pairs: "case " + " ".join(f"when contains(t, '{k}') then {v}" for k, v in pairs) + " end"
 
 
-@query(f"""with s(id, text) as (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(NL_TEXTS))}), n as (select id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) t from s),
+@query(L + f""", s as (select 'l' || id::varchar id, replace(replace([{", ".join(f"'{x}'" for x in NL_TEXTS)}][(id % {len(NL_TEXTS)} + 1)::int], '%p', (price_uah // 10000)::varchar), '%r', rooms::varchar) text from a union all select 'c' || conv_id::varchar || '-' || turn::varchar, text from conversations),
+  n as (select id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) t from s),
   r as (select id, {_first((k, f"'{v}'") for k, v in rules.CITY_NAMES.items())} city, coalesce(nullif(regexp_extract(t, '{rules.ROOMS}', 1), '')::bigint, case when contains(t, 'однокімнат') then 1 when contains(t, 'двокімнат') then 2 end) rooms,
     coalesce(nullif(regexp_extract(t, '{rules.THOUSANDS}', 1), '')::bigint * 1000, nullif(regexp_extract(t, '{rules.AMOUNT}', 1), '')::bigint) price_max, {", ".join(f"({_flag(n)}) {n}" for n in rules.FLAGS)}, {_first((k, f"'{n}'") for k, (n, _) in rules.PLACES.items())} place,
     coalesce(greatest(1, least(240, nullif(regexp_extract(t, '{rules.MINUTES}', 1), '')::bigint)), 30) mins from n)
   select id, city, rooms, price_max, {", ".join(rules.FLAGS)}, place, case when place is not null then mins end as minutes, concat_ws(',', case when city is null then 'city' end, case when price_max is null then 'price_max' end, case when rooms is null then 'rooms' end) missing from r""")
 def parse_nl_search(spark, d):
-    texts = spark.createDataFrame(list(enumerate(NL_TEXTS)), "id int, text string")
-    return rules.parse_search(texts).select("id", "city", "rooms", "price_max", *rules.FLAGS, "place", "minutes", "missing")
+    asked = F.element_at(F.array(*[F.lit(t) for t in NL_TEXTS]), (F.col("id") % len(NL_TEXTS) + 1).cast("int"))
+    asked = F.replace(F.replace(asked, F.lit("%p"), F.expr("price_uah div 10000").cast("string")), F.lit("%r"), F.col("rooms").cast("string"))
+    told = approved(spark, d).select(F.concat(F.lit("l"), "id").alias("id"), asked.alias("text"))
+    talked = table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    return rules.parse_search(told.union(talked)).select("id", "city", "rooms", "price_max", *rules.FLAGS, "place", "minutes", "missing")
 
 
 _money = "replace(format('{:,}', price_uah), ',', ' ') || ' грн'"
@@ -518,10 +525,17 @@ def norm_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
 
 
-@query("select doc_id, regexp_extract(text, '[a-z0-9._]+@[a-z0-9.-]+[a-z]', 0) mail from documents where regexp_matches(text, '[a-z0-9._]+@[a-z0-9.-]+[a-z]')")
+# DuckDB's patterns have no lookbehind: phones are found with the character before them, handles likewise; a digit or a letter
+# can't be the end of one match and the sign before the next, but the sign between two numbers can, so it is doubled first.
+@query("""with t as (select doc_id, regexp_replace(coalesce(text, ''), '([^0-9])', '\\1\\1', 'g') x, regexp_replace(coalesce(text, ''), '@', '@@', 'g') y, coalesce(text, '') z from documents),
+  f as (select doc_id, list_transform(regexp_extract_all(x, '(?:^|[^0-9])((?:\\+\\+?38)?(?:38)?0?[0-9]{9,10})(?:[^0-9]|$)', 1), lambda v: regexp_replace(v, '[^0-9]', '', 'g')) phones, regexp_extract_all(z, '(?i)[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[a-zа-яіїєґ]{2,}') mails,
+    regexp_extract_all(y, '(?i)(?:^|[^\\p{L}\\p{N}_@])@@([a-z0-9_]{5,32})', 1) handles from t),
+  g as (select doc_id, list_sort(list_distinct(list_concat(list_transform(list_filter(list_transform(phones, lambda d: case when length(d) = 9 then '380' || d when length(d) = 10 and d[1] = '0' then '38' || d else d end), lambda d: length(d) >= 11), lambda d: 'phone:' || d),
+    list_transform(mails, lambda m: 'email:' || lower(m)), list_transform(handles, lambda h: 'handle:' || lower(h))))) tokens from f)
+  select doc_id, array_to_string(tokens, ' ') tokens from g where len(tokens) > 0""")
 def contact_tokens(spark, d):
-    pattern = "[a-z0-9._]+@[a-z0-9.-]+[a-z]"
-    return table(spark, d, "documents").where(F.col("text").rlike(pattern)).select("doc_id", F.regexp_extract("text", pattern, 0).alias("mail"))
+    found = table(spark, d, "documents").select("doc_id", F.array_sort(text.contact_tokens(F.col("text"))).alias("tokens"))
+    return found.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("select min(doc_id) doc_id, count(*) copies from documents where text is not null group by sha256(text) having count(*) > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellgraph.functions import geo, text
 from dwellgraph.operators import history, risk, state
+from dwellgraph.streaming import rules as stream_rules
 from dwellgraph.plans.catalogue import HAVERSINE, PLACES, L, approved, query, table
 
 _PLACES = "p(name, plon, plat) as (values ('centre', 24.2::double, 48.6::double), ('station', 24.35::double, 49.3::double))"
@@ -55,6 +56,41 @@ def compare_limit(spark, d):
     return state.compared(marks, most=4)
 
 
+def _sequential(answer: str, start: str, step: str) -> str:
+    """SQL of a rule that decides a user's events one after the other: answer and state of a row by those of the row before."""
+    return f"""with recursive e as (select *, epoch_us(ts) t, (event_type = 'error')::int flag, row_number() over (partition by user_id order by ts, event_id) rn from events),
+  r as (select user_id, rn, event_id, {start} from e where rn = 1 union all select e.user_id, e.rn, e.event_id, {step} from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+  select event_id, {answer} answer from r"""
+
+
+def _decided(spark, d, rule):
+    events = table(spark, d, "events").withColumns({"failed": (F.col("event_type") == "error").cast("int"), "sent": F.unix_micros(F.col("ts").cast("timestamp")) - F.col("event_id") % 11 * 400_000_000 + 40_000_000})
+    flag = "sent" if isinstance(rule, stream_rules.Replay) else "failed"
+    return stream_rules.decided(events, rule, key="user_id", at="ts", tie="event_id", flag=flag).select(F.col("tie").alias("event_id"), "answer")
+
+
+_HOURS = 3_600_000_000
+_AGE = "e.event_id % 11 * 400000000 - 40000000"
+_FIRST = _AGE.replace("e.event_id", "event_id")
+_fresh = lambda age, rest: f"case when {age} > 3600000000 then 'expired' when {age} < -30000000 then 'future' else {rest} end"
+
+
+@query(_sequential("answer", f"{_fresh(_FIRST, repr('accepted'))} answer, case when {_fresh(_FIRST, repr('accepted'))} = 'accepted' then t + {6 * _HOURS} else 0 end until", f"{_fresh(_AGE, 'case when e.t < r.until then ' + repr('replayed') + ' else ' + repr('accepted') + ' end')}, case when {_fresh(_AGE, 'case when e.t < r.until then 1::varchar else 0::varchar end')} = '0' then e.t + {6 * _HOURS} else r.until end"))
+def replay_window(spark, d):
+    return _decided(spark, d, stream_rules.Replay(ttl_seconds=6 * 3600))
+
+
+@query(_sequential("answer", f"case when flag = 1 then 'failure' else 'success' end answer, flag failures, case when flag = 1 then t + {8 * _HOURS} else 0 end until, 0::bigint opened",
+    f"case when e.t < r.opened then 'refused' when e.flag = 0 then 'success' when case when e.t < r.until then r.failures else 0 end + 1 >= 2 then 'tripped' else 'failure' end, case when e.t < r.opened then r.failures when e.flag = 0 then 0 else case when e.t < r.until then r.failures else 0 end + 1 end, case when e.t < r.opened then r.until when e.flag = 0 then 0 else e.t + {8 * _HOURS} end, case when e.t < r.opened then r.opened when e.flag = 1 and case when e.t < r.until then r.failures else 0 end + 1 >= 2 then e.t + {8 * _HOURS} else 0 end"))
+def breaker_ttl(spark, d):
+    return _decided(spark, d, stream_rules.Breaker(limit=2, pause_seconds=8 * 3600))
+
+
+@query(_sequential("answer", "'granted' answer, [t] recent", f"case when len(list_filter(r.recent, lambda x: x > e.t - {24 * _HOURS})) >= 3 then 'refused' else 'granted' end, case when len(list_filter(r.recent, lambda x: x > e.t - {24 * _HOURS})) >= 3 then list_filter(r.recent, lambda x: x > e.t - {24 * _HOURS}) else list_append(list_filter(r.recent, lambda x: x > e.t - {24 * _HOURS}), e.t) end"))
+def rate_slots(spark, d):
+    return _decided(spark, d, stream_rules.Rate(limit=3, per_seconds=24 * 3600))
+
+
 @query("with f as (select event_id, (event_id * 7919) % 400 k, ts from events), s as (select distinct k from f where event_id < 100) select k, min_by(event_id, [epoch_us(ts), event_id]) event_id from f where event_id >= 100 and k not in (select k from s) group by k")
 def replay_protection(spark, d):
     rows = table(spark, d, "events").select("event_id", (F.col("event_id") * 7919 % 400).alias("k"), "ts")
@@ -134,10 +170,10 @@ def price_per_area(spark, d):
     return approved(spark, d).select("id", per_area(F.col("price_uah"), F.col("total_area")).alias("per_area"))
 
 
-@query("select event_id, array_to_string(list_filter([event_id % 7, event_id % 5, 12], lambda x: x > 0), ',') numbers from (select event_id from events) where event_id % 7 <> event_id % 5")
+@query("select event_id, array_to_string(list_filter(case when event_id % 7 = event_id % 5 then [event_id % 7, 12] else [event_id % 7, event_id % 5, 12] end, lambda x: x > 0), ',') numbers from events")
 def positive_number_lists(spark, d):
     rows = table(spark, d, "events").select("event_id", F.concat_ws(",", F.col("event_id") % 7, F.lit("x"), F.lit(" "), F.col("event_id") % 5, F.lit(" 12"), F.lit("-3"), F.lit("12")).alias("csv"))
-    return rows.where("event_id % 7 <> event_id % 5").select("event_id", F.array_join(text.positive_numbers(F.col("csv")), ",").alias("numbers"))
+    return rows.select("event_id", F.array_join(text.positive_numbers(F.col("csv")), ",").alias("numbers"))
 
 
 @query(L + " select id, concat_ws(', ', nullif(trim(building_type), ''), nullif(trim(renovation_level), ''), nullif(trim(city), '')) address from a")

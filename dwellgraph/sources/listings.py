@@ -45,6 +45,8 @@ COLUMNS = {
     "hidden_commission": "o_orderkey % 13 = 0",
     "deposit_months": "case when o_orderkey % 4 > 0 then (o_orderkey % 4) * 5.0e-1 end",
 }
+#: Which listings users see and duplicates are looked for among.
+APPROVED = "is_active and enabled and legal_status in ('approved', 'approved_demo')"
 LISTINGS_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in COLUMNS.items()) + " from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 
 

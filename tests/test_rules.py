@@ -98,13 +98,13 @@ def test_ingest_of_two_revisions(spark):
     assert {r.status: r.n for r in again.counts.collect()} == {"unchanged": 40} and again.landed.count() == 0
     assert again.listings.where("last_seen_at = timestamp '2024-01-11'").count() == again.listings.count() == 40
     later = ingest(spark, Synthetic(), Request(limit=40, revision=2), first.landed, first.listings, DAY)
-    assert {r.status: r.n for r in later.counts.collect()} == {"unchanged": 36, "updated": 4} and later.landed.count() == 4
+    assert {r.status: r.n for r in later.counts.collect()} == {"updated": 40} and later.landed.count() == 40
     for bad in ({"limit": 0}, {"limit": 1001}, {"revision": 21}):
         with pytest.raises(ValueError):
             Request(**bad)
-    copies = Synthetic().search(spark, Request(limit=12)).where("flat is not null")
-    assert copies.count() == 3 and copies.select("title", "rooms").distinct().count() == 1
-    assert Synthetic().details(spark, Request(limit=12), "synthetic-20260716-5").count() == 1
+    copies = Synthetic().search(spark, Request(limit=12)).where("attributes like '%demo_duplicate_group%'")
+    assert copies.count() == 3 and copies.select("district", "rooms").distinct().count() == 1 and copies.select("title").distinct().count() == 3
+    assert Synthetic().details(spark, Request(limit=12), "synthetic-0005").count() == 1 and Synthetic().details(spark, Request(limit=12), "synthetic-0013").count() == 0
 
 
 def test_clusters_go_on(spark):
