@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import prepare
+from dwellgraph.llm.common import fresh_name, prepare
 
 #: Ranks kept in a profile, of a language and of a document alike.
 RANKS = 300
@@ -19,16 +18,23 @@ RANKS = 300
 UNKNOWN = "und"
 #: Labelled rows of a fit at most.
 FIT_ROWS = 40_000
-#: Word characters that are numerals (such as a superscript or a fraction), not letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Runs of letters and of numerals that aren't digits (such as a superscript or a fraction); the latter part words.
+_RUN = re.compile(r"[^\W\d_]+")
 #: A gram is kept as one number: its code points, 21 bits each, first one highest; so numbers sort as grams do.
 _BITS = 21
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters. Only the few runs that hold something else are looked at letter by letter."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ((run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split(" ")) if w]
+
+
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(grams in order, their counts) over the texts' words, all at once: a gram spans no space but at its ends."""
-    words = _WORD.findall("\n".join(texts).lower())
+    words = words_of("\n".join(texts).lower())
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -113,8 +119,9 @@ def predict(docs: DataFrame, known: dict[str, list[int]], *, text: str = "text")
             out.append((names[order[0]], 1.0 - int(apart[order[0]]) / rest if rest else 1.0 if len(names) == 1 else 0.0))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    made = docs.withColumn("_p", predicted(F.col(text)))
-    return made.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    told = fresh_name("_p", docs)
+    made = docs.withColumn(told, predicted(F.col(text)))
+    return made.withColumns({"lang_pred": F.col(told)["lang_pred"], "score": F.col(told)["score"]}).drop(told)
 
 
 def held_out(key: Column) -> Column:
