@@ -35,11 +35,14 @@ CUT = 4_000
 RATE = 0.15
 #: Tokens of the longest window that is learned from.
 FIT_TOKENS = 90
-#: A window is a run of chunks, parted by single spaces, of which each but those that spell out @ or . holds a digit, an @ or such a sign.
-_SPELT = r"[\[({<]?(?:at|dot|AT|DOT)[\])}>]?"
-_WINDOW = re.compile(rf"\S+(?: ?{_SPELT} ?[A-Za-z0-9_.-]+){{2,}}|\S*[0-9@]\S*(?: (?:\S*[0-9@]\S*|[.:=/_-]))*")
-_SPELT_TEXT = re.compile(r"[ \])}>](?:dot|DOT)[ \])}>]|[\[({<](?:dot|DOT)[\])}>]")
-_DIGITS_ONLY = re.compile(r"\S*[0-9@]\S*(?: (?:\S*[0-9@]\S*|[.:=/_-]))*")
+#: A window is a run of chunks, parted by single spaces: of such that hold a digit or an @, or of such that spell out @ or . twice.
+_CHUNK = re.compile(r"\S+")
+_HOLDS = re.compile(r"[0-9@]")
+_SIGNS = ".:=/_-"
+_SPELT = re.compile(r"[\[({<]?(?:at|dot|AT|DOT)[\])}>]?")
+_BRACKETED = re.compile(r"[\[({<](?:at|dot|AT|DOT)[\])}>]")
+_OPENED, _CLOSED = re.compile(_BRACKETED.pattern), re.compile(rf"(?:{_BRACKETED.pattern})\Z")
+_OUTSIDE = re.compile(r"[^A-Za-z0-9_.-]+\Z")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 #: What the text says just before a window (a word and a sign of assignment) is a feature of its first segment.
 _KEYED = re.compile(r"([A-Za-z_]+) ?[=:] ?[\"']?\Z")
@@ -83,17 +86,78 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _spelt_run(text: str, chunks: list[tuple[int, int]], k: int) -> int:
+    """How many chunks from the k-th on spell out signs, each a single space behind the one before; 0 if they spell fewer than two."""
+    signs, n = 0, 0
+    glued = True  # a chunk goes on a run if it is or begins with a sign, or if the one before is or ends with one
+    for start, end in chunks[k : k + 2 * LONGEST]:
+        alone = end - start <= 5 and _SPELT.fullmatch(text, start, end)
+        if n and (text[start - 1] != " " or start - chunks[k + n - 1][1] != 1 or not (glued or alone or _OPENED.match(text, start, end))):
+            break
+        if not n and alone:
+            break
+        signs += 1 if alone else sum(1 for _ in _BRACKETED.finditer(text, start, end))
+        glued = bool(alone) or bool(_CLOSED.search(text, max(start, end - 5), end))
+        n += 1
+    return n if signs >= 2 else 0
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """The windows' borders. A chunk is looked at a bounded number of times, so the time is in proportion to the text."""
+    chunks = [m.span() for m in _CHUNK.finditer(text)]
+    spelt = bool(_BRACKETED.search(text)) or "dot" in text or "DOT" in text
+    k = 0
+    while k < len(chunks):
+        start, end = chunks[k]
+        if spelt and (n := _spelt_run(text, chunks, k)):
+            k += n
+            last = chunks[k - 1]
+            tail = _OUTSIDE.search(text, max(last[0], last[1] - 40), last[1])
+            yield start, tail.start() if tail and tail.start() > start else last[1]
+            continue
+        k += 1
+        if not _HOLDS.search(text, start, end):
+            continue
+        while k < len(chunks) and chunks[k][0] - end == 1 and text[end] == " ":
+            if _HOLDS.search(text, *chunks[k]):
+                end = chunks[k][1]
+            elif text[chunks[k][0]] in _SIGNS and chunks[k][1] - chunks[k][0] == 1:
+                end = chunks[k][1]
+            else:
+                break
+            k += 1
+        yield start, end
+
+
 def windows(text: str) -> Iterator[tuple[int, list[str], str]]:
-    """(offset, tokens, word) of the stretches of a text in which entities are looked for; word is the name that is assigned to, if any."""
-    find = _WINDOW if _SPELT_TEXT.search(text) else _DIGITS_ONLY
-    for m in find.finditer(text):
-        whole, at = m[0], m.start()
+    """(offset, tokens, word) of the stretches of a text in which entities are looked for; word is the name that is assigned to, if any.
+
+    An entity has a digit or a spelt or written @, so of a long window only the tokens within LONGEST of one are
+    given: no entity reaches to the edge of such a stretch, so the best segmentation is the same.
+    """
+    for start, end in _runs(text):
+        whole, at = text[start:end], start
         before = _KEYED.search(text, max(0, at - 40), at)
         # A window may itself begin with the name and the sign.
-        inner = re.match(r"([A-Za-z_]+)[=:][\"']?", whole)
+        inner = re.match(r"([A-Za-z_]+)[=:][\"']?", whole[:60])
         if inner and not before:
             before, at, whole = inner, at + inner.end(), whole[inner.end() :]
-        yield at, _TOKEN.findall(whole), before[1].lower() if before else ""
+        word, tokens = before[1].lower() if before else "", _TOKEN.findall(whole)
+        if len(tokens) <= 2 * LONGEST:
+            yield at, tokens, word
+            continue
+        low, high, offset, done = 0, 0, at, 0
+        for i, t in enumerate(tokens):
+            if t[0] in "0123456789@" or t in ("at", "AT", "At", "aT"):
+                if i - LONGEST > high and high:
+                    yield offset, tokens[low:high], word if not low else ""
+                if not high or i - LONGEST > high:
+                    low = max(0, i - LONGEST)
+                    offset += sum(map(len, tokens[done:low]))
+                    done = low
+                high = min(len(tokens), i + LONGEST + 1)
+        if high:
+            yield offset, tokens[low:high], word if not low else ""
 
 
 class Window:
@@ -111,10 +175,12 @@ class Window:
             self.wide.append(self.wide[-1] + (len(t) if k in "da_" else 0))
 
     def fits(self, i: int, j: int) -> bool:
-        """Whether tokens[i:j] has what every entity has; entities begin and end on no space."""
+        """Whether tokens[i:j] has what every entity has; entities begin and end on no space, and not within a run of letters and digits."""
         first, last = self.kinds[i], self.kinds[j - 1]
         if last not in "da" or not (first in "da" or first in "+("):
             return False
+        if (i and first in "da" and self.kinds[i - 1] in "da_") or (j < len(self.kinds) and self.kinds[j] in "da_"):
+            return False
         digits = self.digits[j] - self.digits[i]
         if 7 <= digits <= 19 and j - i <= 33:
             return True
