@@ -9,16 +9,17 @@ key. An empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dwellgraph.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from dwellgraph.llm.common import materialize, table
+from dwellgraph.llm.common import fresh_name, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under the threshold; the model is learned from the labelled documents that are left in."""
     weights = toxicity.fit(toxicity.learning_rows(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, weights, name="_score")
-    return scored.where(f"_score < {toxicity.THRESHOLD}").select(*docs.columns)
+    name = fresh_name("_score", docs)
+    return toxicity.score(docs, weights, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
