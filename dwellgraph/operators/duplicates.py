@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dwellgraph.functions.geo import haversine
 from dwellgraph.functions.text import hamming64, text_similarity
+from dwellgraph.operators.lineage import cut
 
 #: Weights of the components, the thresholds of a decision, and the decisions that count as accepted.
 WEIGHTS = {"exact": 25, "location": 25, "attributes": 15, "text": 15, "image": 15, "price": 5}
@@ -207,55 +208,79 @@ def compatible(scored: DataFrame) -> Column:
     return (F.col("decision") != "split") & (F.size("conflicts") == 0) & (F.col("decision").isin(*ACCEPTED) | (F.col("final") >= REVIEW))
 
 
+#: How a member came to its cluster, and how many of its reasons are told.
+JOINED = ("auto", "manual", "exact")
+REASONS_TOLD = 3
+
+
 def joined_members(clusters: DataFrame, listings: DataFrame, scored: DataFrame) -> DataFrame:
-    """The members of clusters with role, confidence and method of joining.
+    """The members of clusters with role, confidence, joined_by and reasons (of their pair with the primary).
 
-    The primary has confidence 100; others the final score of their pair with it, or null without one.
-    The method is manual for a confirmed pair, exact for a ruled one, else score.
+    The confidence is the final score of that pair, 100 for the primary and for members without such a
+    pair. A member joined manually if the pair was confirmed, exactly if its exact score is 100, else
+    automatically, as the primary does.
     """
     ranked = primaries(listings.join(clusters, "id")).select("id", "cluster", "role", "source_code", "price_uah", "is_active", "published_at")
     tops = ranked.where("role = 'primary'").select("cluster", F.col("id").alias("primary_id"))
-    pair = scored.select("left_id", "right_id", F.col("final").alias("pair_final"), F.col("decision").alias("pair_decision"), "ruled")
+    pair = scored.select("left_id", "right_id", F.col("final").alias("pair_final"), F.col("decision").alias("pair_decision"), F.col("exact").alias("pair_exact"), F.col("reasons").alias("pair_reasons"))
     told = ranked.join(tops, "cluster").withColumns({"left_id": F.least("id", "primary_id"), "right_id": F.greatest("id", "primary_id")}).join(pair, ["left_id", "right_id"], "left")
-    confidence = F.when(F.col("role") == "primary", 100.0).otherwise(F.col("pair_final"))
-    method = F.when(F.col("role") == "primary", "primary").when(F.col("pair_decision") == "confirmed", "manual").when(F.col("ruled"), "exact").otherwise("score")
-    return told.select("cluster", "id", "role", "source_code", "price_uah", "is_active", "published_at", confidence.alias("confidence"), method.alias("method"))
+    joined = F.when(F.col("pair_decision") == "confirmed", "manual").when(F.col("pair_exact") >= 100, "exact").otherwise("auto")
+    reasons = F.coalesce("pair_reasons", F.array().cast("array<string>"))
+    return told.select("cluster", "id", "role", "source_code", "price_uah", "is_active", "published_at", F.coalesce("pair_final", F.lit(100.0)).alias("confidence"), joined.alias("joined_by"), reasons.alias("reasons"))
 
 
 def nested(members: DataFrame) -> DataFrame:
-    """Each cluster with its members as an ordered array, the primary first, then by confidence and id; and its counts and confidences."""
-    item = F.struct((F.col("role") != "primary").alias("after"), (-F.coalesce("confidence", F.lit(-1.0))).alias("low"), "id", "role", "source_code", "price_uah", "confidence", "method")
+    """Each cluster with its members as an ordered array and its counts, confidences and prices of the active.
+
+    The primary comes first, then the greatest confidence, the newest publication and the smallest id.
+    Each member has its first REASONS_TOLD reasons.
+    """
+    item = F.struct((F.col("role") != "primary").alias("after"), (-F.col("confidence")).alias("low"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("old"), "id", "role", "source_code", "price_uah", "is_active", "confidence", "joined_by", F.slice("reasons", 1, REASONS_TOLD).alias("reasons"))
+    price = F.when(F.col("is_active"), F.col("price_uah"))
     return members.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda m: m.dropFields("after", "low")).alias("members"), F.count("*").alias("member_count"), F.count_distinct("source_code").alias("source_count"),
-        F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"),
+        F.transform(F.array_sort(F.collect_list(item)), lambda m: m.dropFields("after", "low", "old")).alias("members"), F.count("*").alias("member_count"), F.count_distinct("source_code").alias("source_count"),
+        F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"), F.min(price).alias("price_min"), F.max(price).alias("price_max"), F.max(F.when(F.col("role") == "primary", F.col("id"))).alias("primary_id"),
     )
 
 
 def reused_ids(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(cluster, kept) of each new cluster: the old cluster that shares most members with it goes on under its old name.
+    """(cluster, kept) of each new cluster: an old cluster that it shares members with goes on under its old name.
 
-    Both tables have cluster and id. Of equal overlaps the smaller old name wins, and an old name goes on in
-    the new cluster that shares most with it; others keep their own name.
+    Both tables have cluster and id; a new cluster's name is its smallest member. Clusters choose in the order of their names:
+    each takes, of the old names not yet taken, the one with most shared members, then the smallest; without one it
+    has its own. So a cluster that loses its first choice has its second. In rounds every cluster asks for the best
+    it has not lost, and loses it to a smaller one that asks for it too, which gives the same, as all old names would
+    choose alike.
     """
-    shared = old.select(F.col("cluster").alias("was"), "id").join(new, "id").groupBy("cluster", "was").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "was"))
-    first = F.row_number().over(Window.partitionBy("was").orderBy(F.desc("n"), "cluster"))
-    kept = shared.withColumn("b", best).where("b = 1").withColumn("f", first).where("f = 1").select("cluster", "was")
-    return new.select("cluster").distinct().join(kept, "cluster", "left").select("cluster", F.coalesce("was", "cluster").alias("kept"))
+    wishes = cut(old.select(F.col("cluster").alias("was"), "id").join(new, "id").groupBy("cluster", "was").agg(F.count("*").alias("n")))
+    while True:
+        best = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "was"))
+        asked = wishes.withColumn("place", best).where("place = 1").select("cluster", "was")
+        first = F.row_number().over(Window.partitionBy("was").orderBy("cluster"))
+        lost = cut(asked.withColumn("place", first).where("place > 1").select("cluster", "was"))
+        if lost.isEmpty():
+            return new.select("cluster").distinct().join(asked, "cluster", "left").select("cluster", F.coalesce("was", "cluster").alias("kept"))
+        wishes = cut(wishes.join(lost, ["cluster", "was"], "left_anti"))
 
 
-def archived(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The names of old clusters of which no new one shares a member."""
-    going_on = old.join(new.select("id"), "id", "left_semi").select("cluster").distinct()
-    return old.select("cluster").distinct().join(going_on, "cluster", "left_anti")
+def archived(old: DataFrame, kept: DataFrame) -> DataFrame:
+    """The names of old clusters that none of reused_ids' goes on under."""
+    return old.select("cluster").distinct().join(kept.select(F.col("kept").alias("cluster")), "cluster", "left_anti")
 
 
-def migrated_states(states: DataFrame, members: DataFrame) -> DataFrame:
-    """User states of listings moved to their clusters: a flag is set if it was for any member; the last note stays.
+def migrated_states(states: DataFrame, old: DataFrame, new: DataFrame, kept: DataFrame) -> DataFrame:
+    """User states of old clusters moved to all clusters that their members are in now, under the names that go on.
 
-    states has user_id, id, is_favorite, is_hidden, is_compared, note, updated_at; states of listings in no
-    cluster are left out.
+    states has user_id, cluster, is_favorite, is_hidden, is_compared, note, updated_at; old and new have cluster,
+    id and role. The mark for comparison stays only where the primary is the same. A state that comes from
+    another cluster takes the place of the target's own; of several the one of the greatest name does.
+    States of clusters whose members are all gone are left out.
     """
-    told = states.join(members.select("id", "cluster"), "id")
-    flags = [F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("is_favorite", "is_hidden", "is_compared")]
-    return told.groupBy("user_id", "cluster").agg(*flags, F.max_by("note", F.struct("updated_at", "id")).alias("note"), F.max("updated_at").alias("updated_at"))
+    now = new.join(kept, "cluster").select("id", F.col("kept").alias("target"), F.col("role").alias("new_role"))
+    first = lambda rows, role, name: rows.where(F.col(role) == "primary").select(F.col(name), F.col("id").alias(f"{name}_primary"))
+    moved = old.select("cluster", "id").join(now, "id").select("cluster", "target").distinct()
+    moved = moved.join(first(old, "role", "cluster"), "cluster", "left").join(first(now, "new_role", "target"), "target", "left")
+    told = states.join(moved, "cluster").withColumn("own", F.col("cluster") == F.col("target"))
+    compared = F.col("is_compared") & (F.col("own") | F.coalesce(F.col("cluster_primary") == F.col("target_primary"), F.lit(False)))
+    last = told.groupBy("user_id", "target").agg(F.max_by(F.struct("is_favorite", "is_hidden", compared.alias("is_compared"), "note", "updated_at"), F.struct(~F.col("own"), "cluster")).alias("s"))
+    return last.select("user_id", F.col("target").alias("cluster"), "s.*")

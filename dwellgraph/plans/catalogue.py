@@ -16,7 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 L = f"with l as ({src.LISTINGS_SQL}), a as (select * from l where is_active and enabled and legal_status in ('approved', 'approved_demo'))"
-PROFILE = matching.Profile("NATION_3", 60_000, 180_000, (2, 3), ("1-URGENT", "2-HIGH"), ("5-LOW",), ("brick", "panel"), True, True)
+PROFILE = matching.Profile("NATION_3", 60_000, 180_000, (2, 3), ("1-URGENT", "2-HIGH"), ("5-LOW",), ("apartment",), True, True)
 
 
 def query(sql: str | None = None):
@@ -44,7 +44,7 @@ SCORED = L + """, c as (select *,
   case when price_uah < 60000 then greatest(55, round_even(90 - 100 * (60000 - price_uah) / 60000, 0)) when price_uah > 180000 then greatest(0, round_even(100 - 220 * (price_uah - 180000) / 180000, 0)) else 100 end::bigint s_price,
   case when city <> 'NATION_3' then 0 when district = '5-LOW' then 0 when district in ('1-URGENT', '2-HIGH') then 100 else 55 end::bigint s_location,
   case when rooms in (2, 3) then 100 when rooms in (1, 4) then 50 else 10 end::bigint s_rooms,
-  case when building_type in ('brick', 'panel') then 100 else 20 end::bigint s_property,
+  case when property_type = 'apartment' then 100 else 20 end::bigint s_property,
   round_even((case when children_allowed then 100 when not children_allowed then 0 else 55 end + case when pets_allowed then 100 when not pets_allowed then 0 else 55 end) / 2, 0)::bigint s_preferences,
   round_even(45 + 55 * ((total_area is not null)::int + (floor is not null)::int + 1 + (building_type <> '')::int + (heating_type <> '')::int) / 5, 0)::bigint s_quality
   from a), m as (select *, round_even((s_price * 30 + s_location * 25 + s_rooms * 15 + s_property * 10 + s_preferences * 10 + s_quality * 10) / 100, 0)::bigint score, s_price > 0 and s_location > 0 eligible from c) """
@@ -66,6 +66,39 @@ def match_eligibility_counts(spark, d):
     return matching.matched(approved(spark, d), PROFILE).groupBy("eligible", band.alias("band")).agg(F.count("*").alias("n"))
 
 
+_notes = "concat_ws('; ', case when children_allowed then null when not children_allowed then 'діти не дозволені' else 'умови для дітей не вказані' end, case when pets_allowed then null when not pets_allowed then 'тварини не дозволені' else 'умови для тварин не вказані' end)"
+_TOLD = {
+    "price": "case when price_uah < 60000 then 'Ціна на ' || format('{:,}', 60000 - price_uah) || ' грн нижча за мінімум.' when price_uah > 180000 then 'Перевищення бюджету: ' || format('{:,}', price_uah - 180000) || ' грн.' else 'Ціна входить у заданий діапазон.' end",
+    "location": "case when city <> 'NATION_3' then 'Інше місто.' when district = '5-LOW' then 'Район виключений у профілі пошуку.' when district in ('1-URGENT', '2-HIGH') then 'Квартира у бажаному районі.' else 'Місто підходить, але район не серед пріоритетних.' end",
+    "rooms": "case when rooms in (2, 3) then 'Кількість кімнат відповідає профілю.' else 'Кількість кімнат відрізняється від бажаної.' end", "property": "case when property_type = 'apartment' then 'Тип житла відповідає пошуку.' else 'Тип житла не відповідає профілю.' end",
+    "preferences": f"case when s_preferences = 100 then 'Особливі умови виконані.' else upper({_notes}[1]) || {_notes}[2:] || '.' end", "quality": "'Оцінка залежить від повноти нормалізованих параметрів.'",
+}
+_of = lambda low, high: "concat_ws('|', " + ", ".join(f"case when s_{n} between {low} and {high} then {t} end" for n, t in _TOLD.items()) + ")"
+
+
+@query(SCORED + f"select id, score, case when score >= 85 then 'Майже повна відповідність вашому пошуку.' when score >= 70 then 'Хороший варіант із кількома компромісами.' when score >= 50 then 'Часткова відповідність — варто уважно перевірити умови.' else 'Слабка відповідність заданим критеріям.' end summary, {_of(80, 100)} strengths, {_of(0, 79)} compromises, '' unknowns from m")
+def match_explained(spark, d):
+    told = matching.explained(approved(spark, d), PROFILE)
+    return told.select("id", "score", "summary", *[F.array_join(c, "|").alias(c) for c in ("strengths", "compromises", "unknowns")])
+
+
+_PROFILES = """pf as (select c_custkey profile_id, n_name wanted, case when c_custkey % 3 > 0 then 20000 + 7000 * (c_custkey % 9) end price_min, case when c_custkey % 4 > 0 then 90000 + 9000 * (c_custkey % 13) end price_max, case when c_custkey % 5 > 0 then [1 + c_custkey % 4, 1 + (c_custkey + 1) % 4] else [] end wr,
+  case when c_custkey % 2 = 0 then ['1-urgent', '3-medium'] else [] end desired, case when c_custkey % 7 = 0 then ['5-low'] else [] end excluded, case when c_custkey % 3 = 1 then ['apartment'] else [] end kinds, c_custkey % 2 = 1 children, c_custkey % 5 < 2 pets from customer join nation on c_nationkey = n_nationkey)"""
+
+
+@query(L + f", {_PROFILES}" + """, x as (select profile_id, id, published_at, case when price_min is null and price_max is null then 70 when price_uah < price_min then greatest(55, round_even(90 - 100 * (price_min - price_uah) / price_min, 0)) when price_uah > price_max then greatest(0, round_even(100 - 220 * (price_uah - price_max) / price_max, 0)) else 100 end::bigint s1,
+    case when list_contains(excluded, lower(district)) then 0 when len(desired) = 0 then 90 when list_contains(desired, lower(district)) then 100 else 55 end s2, case when len(wr) = 0 then 75 when list_contains(wr, rooms) then 100 when list_contains(wr, rooms + 1) or list_contains(wr, rooms - 1) then 50 else 10 end s3,
+    case when len(kinds) = 0 then 75 when property_type = 'apartment' then 100 else 20 end s4, case when not children and not pets then 75 else round_even((case when not children then 0 when children_allowed then 100 when not children_allowed then 0 else 55 end + case when not pets then 0 when pets_allowed then 100 when not pets_allowed then 0 else 55 end) / (children::int + pets::int), 0) end::bigint s5,
+    round_even(45 + 55 * ((total_area is not null)::int + (floor is not null)::int + 1 + (building_type <> '')::int + (heating_type <> '')::int) / 5, 0)::bigint s6 from pf join a on a.city = pf.wanted),
+  y as (select *, round_even((s1 * 30 + s2 * 25 + s3 * 15 + s4 * 10 + s5 * 10 + s6 * 10) / 100, 0)::bigint score from x where s1 > 0 and s2 > 0)
+  select profile_id, place, id, score from (select *, row_number() over (partition by profile_id order by score desc, published_at desc, id) place from y) where place <= 5""")
+def match_profiles_topk(spark, d):
+    people = table(spark, d, "customer").join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
+    some = lambda on, *values: f"case when {on} then array({', '.join(values)}) end"
+    profiles = people.selectExpr("c_custkey profile_id", "n_name city", "case when c_custkey % 3 > 0 then 20000 + 7000 * (c_custkey % 9) end price_min", "case when c_custkey % 4 > 0 then 90000 + 9000 * (c_custkey % 13) end price_max", some("c_custkey % 5 > 0", "int(1 + c_custkey % 4)", "int(1 + (c_custkey + 1) % 4)") + " rooms", some("c_custkey % 2 = 0", "'1-URGENT'", "'3-MEDIUM'") + " desired", some("c_custkey % 7 = 0", "'5-LOW'") + " excluded", some("c_custkey % 3 = 1", "'apartment'") + " property_types", "c_custkey % 2 = 1 children", "c_custkey % 5 < 2 pets")
+    return matching.best_of_each(approved(spark, d), profiles, 5)
+
+
 # Feeds, filters, joins
 
 
@@ -379,7 +412,7 @@ def guarded_clusters(spark, d):
 def cluster_members(spark, d):
     rows, scored = approved(spark, d), cut(_scored(spark, d))
     members = duplicates.joined_members(guarded.guarded_clusters(scored, rows), rows, scored)
-    told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"], m["role"], m["method"])), ",")
+    told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"], m["role"], m["joined_by"])), ",")
     return duplicates.nested(members).withColumn("members", told)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellgraph.functions import geo, text
-from dwellgraph.operators import history, risk, state
+from dwellgraph.operators import detail, history, risk, state
 from dwellgraph.streaming import rules as stream_rules
 from dwellgraph.plans.catalogue import HAVERSINE, PLACES, L, approved, query, table
 
@@ -145,6 +145,36 @@ def stale_sweep(spark, d):
     return history.swept(rows, newest, days=400).select("id", "age_days", "is_active")
 
 
+_DETAIL = L + """, mb as (select a.*, case when id % 4 < 3 then id // 4 end cluster, case when id % 4 = 0 then 'primary' when id % 4 < 3 then 'duplicate' end as role, (90 - id % 7)::bigint confidence from a),
+  gr as (select cluster, count(*) member_count, count(distinct source_code) source_count, min(price_uah) price_min, max(price_uah) price_max, list({'id': id, 'role': role, 'source_code': source_code, 'price_uah': price_uah, 'joined_by': 'auto'} order by role <> 'primary', confidence desc, published_at desc, id) members from mb where cluster is not null group by cluster),
+  st as (select id, list({'user_id': user_id, 'is_favorite': fav, 'is_hidden': hid, 'is_compared': cmp} order by user_id) states from (select 1 + event_id % 997 id, user_id, bool_or(event_type = 'click') fav, bool_or(event_type = 'error') hid, bool_or(event_type = 'view') cmp from events group by all) group by id),
+  sm as (select id, list({'kind': kind, 'status': status} order by kind) assessments from (select 1 + event_id % 997 id, case when event_id % 2 = 0 then 'market' else 'risk' end kind, arg_max(case when event_type = 'error' then 'failed' else 'ready' end, event_id) status from events group by 1, 2) group by id),
+  hi as (select id, list({'at': "at", 'price': price} order by "at", price) history from (select l_orderkey id, strftime(l_shipdate, '%Y-%m-%d') "at", round(l_extendedprice)::bigint price from lineitem) group by id)
+  select mb.id, mb.cluster, coalesce(role = 'primary', true) is_cluster_primary, coalesce(member_count, 1) member_count, coalesce(source_count, 1) source_count, case when mb.cluster is null then price_uah else price_min end price_min, case when mb.cluster is null then price_uah else price_max end price_max,
+    coalesce(to_json(members)::varchar, '[]') members, coalesce(to_json(states)::varchar, '[]') states, coalesce(to_json(assessments)::varchar, '[]') assessments, coalesce(to_json(history)::varchar, '[]') history
+  from mb left join gr on mb.cluster = gr.cluster left join st using (id) left join sm using (id) left join hi using (id)"""
+
+
+@query(_DETAIL)
+def listing_detail(spark, d):
+    rows = approved(spark, d)
+    role = F.when(F.col("id") % 4 == 0, "primary").otherwise("duplicate")
+    members = rows.where("id % 4 < 3").select(F.expr("id div 4").alias("cluster"), "id", role.alias("role"), (90 - F.col("id") % 7).alias("confidence"), F.lit("auto").alias("joined_by"))
+    events = table(spark, d, "events").withColumn("id", 1 + F.col("event_id") % 997)
+    on = lambda kind: F.bool_or(F.col("event_type") == kind)
+    states = events.groupBy("id", "user_id").agg(on("click").alias("is_favorite"), on("error").alias("is_hidden"), on("view").alias("is_compared"))
+    made = events.select("id", F.when(F.col("event_id") % 2 == 0, "market").otherwise("risk").alias("kind"), F.when(F.col("event_type") == "error", "failed").otherwise("ready").alias("status"), F.col("event_id").alias("calculated_at"), F.lit(None).cast("timestamp").alias("valid_until"))
+    history = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"), F.round("l_extendedprice").cast("bigint").alias("price"))
+    told = detail.listing_detail(rows, members, states, made, history)
+    return told.select("id", "cluster", "is_cluster_primary", "member_count", "source_count", "price_min", "price_max", *[F.to_json(c).alias(c) for c in ("members", "states", "assessments", "history")])
+
+
+@query("select user_id, event_id id, place from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) place from events where event_type = 'click') where place <= 4")
+def recent_four(spark, d):
+    marks = table(spark, d, "events").where("event_type = 'click'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("updated_at"))
+    return state.recent(marks).select("user_id", "id", "place")
+
+
 # Snapshots and small expressions
 
 

@@ -107,16 +107,52 @@ def test_ingest_of_two_revisions(spark):
     assert Synthetic().details(spark, Request(limit=12), "synthetic-0005").count() == 1 and Synthetic().details(spark, Request(limit=12), "synthetic-0013").count() == 0
 
 
+def plainly_reused(old, new):
+    """Clusters by their smallest members, each with the best old name that is left."""
+    members, was = {}, {r.id: r.cluster for r in old.collect()}
+    for r in new.collect():
+        members.setdefault(r.cluster, []).append(r.id)
+    out = {}
+    for name in sorted(members, key=lambda c: min(members[c])):
+        shared = {}
+        for i in members[name]:
+            if i in was and was[i] not in out.values():
+                shared[was[i]] = shared.get(was[i], 0) + 1
+        out[name] = min(shared, key=lambda c: (-shared[c], c)) if shared else name
+    return out
+
+
+def test_names_go_on_as_one_after_the_other(spark):
+    import random
+
+    from dwellgraph.operators import duplicates
+
+    rng = random.Random(1)
+    old = spark.createDataFrame([(rng.randrange(12), i) for i in range(100, 220)], "cluster bigint, id bigint")
+    groups = [rng.randrange(25) for _ in range(130)]
+    first = {}
+    for i, g in zip(range(100, 230), groups):
+        first.setdefault(g, i)
+    new = spark.createDataFrame([(first[g], i) for i, g in zip(range(100, 230), groups)], "cluster bigint, id bigint")
+    assert {r.cluster: r.kept for r in duplicates.reused_ids(old, new).collect()} == plainly_reused(old, new)
+
+
 def test_clusters_go_on(spark):
     from dwellgraph.operators import duplicates
 
     old = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 20), (2, 21), (3, 30)], "cluster bigint, id bigint")
     new = spark.createDataFrame([(10, 10), (10, 11), (12, 12), (12, 20), (12, 21), (40, 40)], "cluster bigint, id bigint")
-    assert {r.cluster: r.kept for r in duplicates.reused_ids(old, new).collect()} == {10: 1, 12: 2, 40: 40}
-    assert [r.cluster for r in duplicates.archived(old, new).collect()] == [3]
-    states = spark.createDataFrame([(1, 10, True, False, False, "x", DAY), (1, 11, False, True, None, "y", DAY + datetime.timedelta(1)), (1, 99, True, True, True, "z", DAY)], "user_id int, id bigint, is_favorite boolean, is_hidden boolean, is_compared boolean, note string, updated_at timestamp")
-    got = duplicates.migrated_states(states, new).collect()
-    assert [(r.cluster, r.is_favorite, r.is_hidden, r.is_compared, r.note) for r in got] == [(10, True, True, False, "y")]
+    kept = duplicates.reused_ids(old, new)
+    assert {r.cluster: r.kept for r in kept.collect()} == {10: 1, 12: 2, 40: 40}
+    assert [r.cluster for r in duplicates.archived(old, kept).collect()] == [3]
+    # The loser of a first choice has its second: 50 takes 7, so 60 goes on as 8, and 70 has none left but its own.
+    was = spark.createDataFrame([(7, i) for i in (50, 51, 60, 61, 62, 70)] + [(8, 63), (8, 64)], "cluster bigint, id bigint")
+    now = spark.createDataFrame([(50, 50), (50, 51), (60, 60), (60, 61), (60, 62), (60, 63), (70, 70), (70, 64)], "cluster bigint, id bigint")
+    assert {r.cluster: r.kept for r in duplicates.reused_ids(was, now).collect()} == plainly_reused(was, now) == {50: 7, 60: 8, 70: 70}
+    roles = lambda rows, *primary: rows.withColumn("role", F.when(F.col("id").isin(*primary), "primary").otherwise("duplicate"))
+    states = spark.createDataFrame([(1, 1, True, False, True, "x", DAY), (1, 2, False, True, True, "y", DAY), (1, 3, True, True, True, "z", DAY), (2, 1, False, False, True, "w", DAY)], "user_id int, cluster bigint, is_favorite boolean, is_hidden boolean, is_compared boolean, note string, updated_at timestamp")
+    got = duplicates.migrated_states(states, roles(old, 12, 20, 30), roles(new, 10, 12, 40), kept).collect()
+    assert sorted((r.user_id, r.cluster, r.is_favorite, r.is_hidden, r.is_compared, r.note) for r in got) == [(1, 1, True, False, True, "x"), (1, 2, True, False, True, "x"), (2, 1, False, False, True, "w"), (2, 2, False, False, True, "w")]
     scored = spark.createDataFrame([(1, 2, 95.0, "auto_merge"), (2, 3, 80.0, "needs_review")], "left_id bigint, right_id bigint, final double, decision string")
     log = spark.createDataFrame([(1, 2, 1, "confirmed", DAY), (2, 1, 2, "split", DAY + datetime.timedelta(1)), (3, 3, 2, "confirmed", DAY)], "id bigint, left_id bigint, right_id bigint, decision string, decided_at timestamp")
     assert {(r.left_id, r.right_id): r.decision for r in duplicates.with_manual(scored, log).collect()} == {(1, 2): "split", (2, 3): "confirmed"}
