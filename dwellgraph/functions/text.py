@@ -112,12 +112,6 @@ def contact_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(*tagged))
 
 
-def contact_values(attributes: Column) -> Column:
-    """The values of a (flat) map of attributes whose keys name a contact."""
-    named = lambda k, _: reduce(lambda a, b: a | b, [F.contains(F.lower(k), F.lit(x)) for x in CONTACT_KEYS])
-    return F.map_values(F.map_filter(attributes, named))
-
-
 def token_hashes(tokens: Column) -> Column:
     """The SHA-256 of each token, in order, so that contacts can be compared but not read."""
     return F.array_sort(F.transform(tokens, lambda x: F.sha2(x, 256)))
@@ -196,6 +190,23 @@ def text_similarity(left: Column, right: Column, left_hash: Column, right_hash:
     return F.when((left != "") & (right != ""), F.round(alike, 2)).otherwise(0.0)
 
 
+#: Fixed value: the letters that a bag counts one by one; all others are counted together.
+BAG = "абвгґдеєжзиіїйклмнопрстуфхцчшщьюяabcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_bag(normal: Column) -> Column:
+    """How often each letter of BAG stands in a text, and last how many others it has."""
+    found = [F.length(normal) - F.length(F.translate(normal, c, "")) for c in BAG]
+    return F.array(*found, F.length(F.translate(normal, BAG, "")))
+
+
+def text_similarity_at_most(left: Column, right: Column, left_hash: Column, right_hash: Column, left_bag: Column, right_bag: Column) -> Column:
+    """A bound that text_similarity doesn't exceed: matching blocks hold no letter more often than both texts do."""
+    shared = F.aggregate(F.zip_with(left_bag, right_bag, lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    most = 65 * F.try_divide(2.0 * shared, F.length(left) + F.length(right)) + 0.35 * F.greatest(F.lit(0.0), 100 - 3.125 * hamming64(left_hash, right_hash))
+    return F.when((left != "") & (right != ""), F.round(most, 2) + 0.01).otherwise(0.0)
+
+
 def portable_simhash(text: Column, bits: int = 16) -> Column:
     """A SimHash of the text's distinct words over the first bits of their SHA-256, by Spark's functions only."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellgraph.functions.geo import haversine
-from dwellgraph.functions.text import hamming64, text_similarity
+from dwellgraph.functions.text import hamming64, letter_bag, text_similarity, text_similarity_at_most
 from dwellgraph.operators.lineage import cut
 
 #: Weights of the components, the thresholds of a decision, and the decisions that count as accepted.
@@ -87,14 +87,18 @@ def steps(x: Column, bounds: Iterable[tuple[float, float]], rest: float) -> Colu
     return out.otherwise(float(rest))
 
 
-def score(pairs: DataFrame, listings: DataFrame, prints: DataFrame, *, text: bool = True) -> DataFrame:
+def score(pairs: DataFrame, listings: DataFrame, prints: DataFrame, *, text: bool | str = True) -> DataFrame:
     """Pairs with their components, reasons, hard conflicts, final score and decision.
 
     Components are null where nothing is known and then have no weight. A hard conflict rejects the pair
     with a final score of 0. An exact rule accepts unless attributes speak against it.
+
+    Texts are compared for every pair with text true, for none with false. With "needed" the costly comparison is made
+    only where it can matter: a pair that stays below REVIEW even with the most that its texts can score is
+    rejected by that bound, its text score is null, and its final score is the bound (column bounded).
     """
     wanted = ["id", "source_code", "external_id", "deal_type", "property_type", "city", "district", "street", "rooms", "total_area", "floor", "floors_total", "building_type", "renovation_level", "heating_type", "price_uah", "lat", "lon", "location_accuracy"]
-    whole = listings.select(*wanted).join(prints.select("id", "url_key", "contacts", "address_key", "exact", "perceptual", "body", "simhash"), "id")
+    whole = listings.select(*wanted).join(prints.select("id", "url_key", "contacts", "address_key", "exact", "perceptual", "body", "simhash", *([letter_bag(F.col("body")).alias("bag")] if text == "needed" else [])), "id")
     side = lambda s: whole.select(*[F.col(c).alias(f"{s}_{c}") for c in whole.columns])
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
     left, right = (lambda c: F.col(f"left_{c}")), (lambda c: F.col(f"right_{c}"))
@@ -123,8 +127,6 @@ def score(pairs: DataFrame, listings: DataFrame, prints: DataFrame, *, text: boo
     area = steps(apart("total_area"), [(0.05, 100), (0.12, 82), (0.25, 45)], 5)
     attributes = F.round(mean(rooms, area, *[equal(c) for c in ("floor", "floors_total", "building_type", "renovation_level", "heating_type")]), 2)
 
-    alike = text_similarity(left("body"), right("body"), left("simhash"), right("simhash"))
-    written = F.when((left("body") != "") & (right("body") != ""), alike) if text else F.lit(None).cast("double")
     # Sets of visual hashes are small, so the least distance of any two is a nested minimum.
     bits = F.array_min(F.transform(left("perceptual"), lambda x: F.array_min(F.transform(right("perceptual"), lambda y: hamming64(x, y)))))
     seen = F.when((F.size(left("perceptual")) == 0) | (F.size(right("perceptual")) == 0), 0.0).otherwise(steps(bits, [(4, 94), (8, 78), (14, 52)], 8))
@@ -136,9 +138,27 @@ def score(pairs: DataFrame, listings: DataFrame, prints: DataFrame, *, text: boo
     against = {"deal_type": ~same("deal_type"), "property_type": ~same("property_type"), "city": F.lower(left("city")) != F.lower(right("city")), "rooms": F.abs(left("rooms") - right("rooms")) > 1, "area": apart("total_area") > 0.45, "location": built & (metres > 750)}
     conflicts = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in against.items()]))
 
-    told = both.select("left_id", "right_id", exact.alias("exact"), F.round(location, 6).alias("location"), attributes.alias("attributes"), written.alias("text"), image.alias("image"), price.alias("price"), F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in hits.items()])).alias("reasons"), conflicts.alias("conflicts"), ruled.alias("ruled"))
+    rated = {"exact": exact, "location": F.round(location, 6), "attributes": attributes, "image": image, "price": price}
+    told = both.withColumns({f"r_{n}": c for n, c in rated.items()} | {"r_ruled": ruled, "r_conflicts": conflicts})
+    of = lambda written: weighted({n: F.col(f"r_{n}") if n != "text" else written for n in WEIGHTS}, WEIGHTS)
+    merged = F.coalesce(F.col("r_ruled"), F.lit(False)) & F.coalesce(F.col("r_attributes") >= 60, F.lit(True))
+    compared, bounded = F.lit(None).cast("double"), F.lit(False)
+    known = (left("body") != "") & (right("body") != "")
+    if text == "needed":
+        most = F.when(known, text_similarity_at_most(left("body"), right("body"), left("simhash"), right("simhash"), left("bag"), right("bag")))
+        told = told.withColumn("r_most", most)
+        told = told.withColumn("r_needed", known & (F.size("r_conflicts") == 0) & (merged | (of(F.col("r_most")) >= REVIEW)))
+        only = lambda c: F.when(F.col("r_needed"), c)
+        compared = F.when(F.col("r_needed"), text_similarity(only(left("body")), only(right("body")), left("simhash"), right("simhash")))
+        bounded = known & (F.size("r_conflicts") == 0) & ~F.col("r_needed")
+    elif text:
+        compared = F.when(known, text_similarity(left("body"), right("body"), left("simhash"), right("simhash")))
+    told = told.withColumns({"r_text": compared, "r_bounded": bounded})
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in hits.items()])).alias("reasons")
+    told = told.select("left_id", "right_id", *[F.col(f"r_{n}").alias(n) for n in ("exact", "location", "attributes", "text", "image", "price")], found, F.col("r_conflicts").alias("conflicts"), F.col("r_ruled").alias("ruled"), *([F.col("r_most"), F.col("r_bounded").alias("bounded")] if text == "needed" else []))
     told = told.withColumn("conflict", F.size("conflicts") > 0)
-    told = told.withColumn("final", F.when(F.col("conflict"), 0.0).otherwise(F.coalesce(weighted({n: F.col(n) for n in WEIGHTS}, WEIGHTS), F.lit(0.0))))
+    total = weighted({n: F.coalesce("text", "r_most") if n == "text" and text == "needed" else F.col(n) for n in WEIGHTS}, WEIGHTS)
+    told = told.withColumn("final", F.when(F.col("conflict"), 0.0).otherwise(F.coalesce(total, F.lit(0.0)))).drop("r_most")
     merges = (F.col("ruled") & F.coalesce(F.col("attributes") >= 60, F.lit(True))) | (F.col("final") >= AUTO)
     return told.withColumn("decision", F.when(F.col("conflict"), "rejected").when(merges, "auto_merge").when(F.col("final") >= REVIEW, "needs_review").otherwise("rejected"))
 

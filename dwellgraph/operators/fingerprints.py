@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwellgraph.functions import nested
 from dwellgraph.functions import text as t
 
 
@@ -14,21 +15,31 @@ def image_hashes(*urls: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))
 
 
-def fingerprints(listings: DataFrame, *, url: str | None = None, images: tuple[str, ...] = ("image_one", "image_two"), perceptual: str | None = "perceptual") -> DataFrame:
+def fingerprints(listings: DataFrame, *, url: str | None = None, images: tuple[str, ...] = ("image_one", "image_two"), perceptual: str | None = "perceptual", attributes: str = "attributes") -> DataFrame:
     """One row per listing with its keys: city, url, contacts, address, place, attributes, price, images and text.
 
     Empty keys are '' and never match. contacts and exact are arrays of hashes, perceptual one of 64-bit
-    hashes in hex. body is the normalised title and description, simhash its hash and text_block the first
+    hashes in hex. A column of attributes (JSON), if there is one, adds contacts at any depth of it, a house number
+    and images. body is the normalised title and description, simhash its hash and text_block the first
     16 bits of that.
     """
     street, title, description = (t.norm_text(F.col(c)) for c in ("street", "title", "description"))
     named = listings.withColumns({"n_city": t.norm_text(F.col("city")), "n_district": t.norm_text(F.col("district")), "n_street": street, "n_title": title, "n_description": description})
-    named = named.withColumns({"building": F.left(t.building_number(F.col("n_street"), F.col("n_title"), F.col("n_description")), F.lit(32)), "geo_key": t.geo_key(F.col("lat"), F.col("lon"), F.col("rooms"))})
+    tokens = F.array_distinct(F.concat(t.contact_tokens(F.col("description")), t.contact_tokens(F.col("title"))))
+    house, exact, visual = F.lit(""), F.array().cast("array<string>"), F.array().cast("array<string>")
+    if attributes in listings.columns:
+        house = nested.house_number(F.col(attributes))
+        exact, visual = nested.image_hashes(F.col(attributes))
+        found = nested.contacts(listings, "id", attributes).withColumnRenamed("tokens", "named_contacts")
+        named = named.join(found, "id", "left")
+        tokens = F.array_distinct(F.concat(tokens, F.coalesce("named_contacts", F.array().cast("array<string>"))))
+    named = named.withColumns({"house": house, "building": F.left(t.building_number(F.col("n_street"), F.col("n_title"), F.col("n_description")), F.lit(32)), "geo_key": t.geo_key(F.col("lat"), F.col("lon"), F.col("rooms"))})
     area = (F.bround(F.coalesce("total_area", F.lit(0)) / 5) * 5).cast("bigint")
     kinds = [t.norm_text(F.col(c)) for c in ("deal_type", "property_type")]
     fit_out = [t.norm_text(F.col(c)) for c in ("building_type", "renovation_level", "heating_type")]
     floors = [F.coalesce(F.col(c), F.lit(0)) for c in ("floor", "floors_total")]
-    tokens = F.array_distinct(F.concat(t.contact_tokens(F.col("description")), t.contact_tokens(F.col("title"))))
+    named = named.withColumn("building", F.when(F.col("house") != "", F.col("house")).otherwise(F.col("building")))
+    own = F.array_compact(F.array(F.col(perceptual) if perceptual else F.lit(None).cast("string")))
     body = F.trim(F.concat_ws(" ", "n_title", "n_description"))
     told = named.select(
         "id",
@@ -40,8 +51,8 @@ def fingerprints(listings: DataFrame, *, url: str | None = None, images: tuple[s
         "building",
         t.joined_key(*kinds, F.col("rooms"), area, *floors, *fit_out).alias("attribute_key"),
         F.greatest(F.lit(0), F.floor(F.col("price_uah") / 1000)).alias("price_bucket"),
-        image_hashes(*[F.col(c) for c in images]).alias("exact"),
-        F.array_compact(F.array(F.col(perceptual) if perceptual else F.lit(None).cast("string"))).alias("perceptual"),
+        F.array_sort(F.array_distinct(F.concat(image_hashes(*[F.col(c) for c in images]), exact))).alias("exact"),
+        F.array_sort(F.array_distinct(F.concat(own, visual))).alias("perceptual"),
         body.alias("body"),
     )
     told = told.withColumn("simhash", t.simhash64(F.col("body")))

@@ -32,19 +32,19 @@ def _accepted(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("decision").isin(*duplicates.ACCEPTED)).select("left_id", "right_id")
 
 
-def detect(listings: DataFrame, *, log: DataFrame | None = None, cap: int | None = duplicates.BLOCK_CAP, text: bool = True, **keys) -> Detection:
+def detect(listings: DataFrame, *, log: DataFrame | None = None, cap: int | None = duplicates.BLOCK_CAP, text: bool | str = "needed", **keys) -> Detection:
     """The duplicates among listings, which are the ones to compare (active, of approved sources).
 
-    log has the manual decisions; keys go to fingerprints().
+    log has the manual decisions; text goes to score(), keys to fingerprints().
     """
     prints = cut(fingerprints(listings, **keys))
-    scored = cut(duplicates.score(duplicates.block_pairs(prints, cap=cap, text=text), listings, prints, text=text))
+    scored = cut(duplicates.score(duplicates.block_pairs(prints, cap=cap, text=bool(text)), listings, prints, text=text))
     decided = _decided(scored, log)
     labels = cut(components(_accepted(decided)))
     return Detection(prints, scored, labels, cut(guarded_clusters(decided, listings, labels=labels)))
 
 
-def redetect(before: Detection, listings: DataFrame, changed: DataFrame, *, log: DataFrame | None = None, reviewed: DataFrame | None = None, cap: int | None = duplicates.BLOCK_CAP, text: bool = True, **keys) -> Detection:
+def redetect(before: Detection, listings: DataFrame, changed: DataFrame, *, log: DataFrame | None = None, reviewed: DataFrame | None = None, cap: int | None = duplicates.BLOCK_CAP, text: bool | str = "needed", **keys) -> Detection:
     """The detection over listings as they are now, from one over listings that differ by the ids of changed only.
 
     changed has the ids (id) that are new, altered or gone; reviewed those of pairs whose manual decision is another
@@ -61,7 +61,7 @@ def redetect(before: Detection, listings: DataFrame, changed: DataFrame, *, log:
         touched = cut(changed.union(was.exceptAll(now)).union(now.exceptAll(was)).distinct())
     ends = lambda s: touched.withColumnRenamed("id", f"{s}_id")
     kept = before.scored.join(ends("left"), "left_id", "left_anti").join(ends("right"), "right_id", "left_anti")
-    made = duplicates.score(duplicates.block_pairs(prints, cap=cap, text=text, only=touched), listings, prints, text=text)
+    made = duplicates.score(duplicates.block_pairs(prints, cap=cap, text=bool(text), only=touched), listings, prints, text=text)
     scored = cut(kept.unionByName(made))
     decided = _decided(scored, log)
     # Whose component may be another: the touched, and whom they meet now.

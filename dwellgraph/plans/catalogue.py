@@ -296,21 +296,27 @@ def market_confidence(spark, d):
 # Duplicates
 
 _norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_²]+', ' ', 'g'))"
-PRINTS = L + f""", fp as (select *, {_norm("city")} city_key,
-    list_sort(list_filter([sha256('phone:380' || right(street, 9)), case when id % 6 = 0 then sha256('phone:380671234567') end, case when id % 6 = 4 then sha256('email:owner' || (right(street, 9)::bigint % 50)::varchar || '@example.org') end, case when id % 6 = 4 then sha256('handle:owner_' || (right(street, 9)::bigint % 9)::varchar) end], lambda x: x is not null)) contacts,
-    left({_norm("city")} || '|' || {_norm("district")} || '|' || {_norm("street")} || '|' || rooms::varchar, 320) address_key, format('{{:.3f}}:{{:.3f}}:{{}}', lat, lon, rooms) geo_key, rooms::varchar building,
+PRINTS = L + f""", jt as (select x.id, lower(j.fullkey) path, j.atom ->> '$' said from (select id, attributes from l where json_valid(attributes)) x, json_tree(x.attributes) j where j.type = 'VARCHAR'),
+  jc as (select id, list(distinct sha256(token)) named from (select id, unnest(list_concat(list_transform(regexp_extract_all(said, '0[0-9]{{9}}'), lambda d: 'phone:38' || d), list_transform(regexp_extract_all(said, '[A-Za-z0-9]+@[a-z.]+'), lambda m: 'email:' || lower(m)), list_transform(regexp_extract_all(' ' || said, ' @([a-z_]+)', 1), lambda h: 'handle:' || h))) token
+    from jt where {" or ".join(f"contains(path, '{k}')" for k in text.CONTACT_KEYS)}) group by id),
+  fp as (select l.*, {_norm("city")} city_key,
+    list_sort(list_distinct(list_concat(coalesce(named, []), list_filter([sha256('phone:380' || right(street, 9)), case when l.id % 6 = 0 then sha256('phone:380671234567') end, case when l.id % 6 = 4 then sha256('email:owner' || (right(street, 9)::bigint % 50)::varchar || '@example.org') end, case when l.id % 6 = 4 then sha256('handle:owner_' || (right(street, 9)::bigint % 9)::varchar) end], lambda x: x is not null)))) contacts,
+    case when l.id % 9 = 3 then replace({_norm("attributes ->> 'building_number'")}, ' ', '') else rooms::varchar end building,
+    left({_norm("city")} || '|' || {_norm("district")} || '|' || {_norm("street")} || '|' || building, 320) address_key, format('{{:.3f}}:{{:.3f}}:{{}}', lat, lon, rooms) geo_key,
     left(concat_ws('|', deal_type, property_type, rooms::varchar, (round_even(coalesce(total_area, 0) / 5, 0) * 5)::bigint::varchar, coalesce(floor, 0)::varchar, floors_total::varchar, building_type, renovation_level, heating_type), 320) attribute_key,
-    greatest(0, price_uah // 1000) price_bucket, list_sort(list_distinct(list_filter([case when image_one is not null then sha256('url:' || image_one) end, case when image_two is not null then sha256('url:' || image_two) end], lambda x: x is not null))) exact from l) """
+    greatest(0, price_uah // 1000) price_bucket, case when l.id % 9 = 1 then attributes ->> 'demo_duplicate_group' end grp, case when l.id % 9 = 2 then lower(trim(attributes ->> '$.trusted_image_hashes[0].sha256')) end trusted,
+    list_sort(list_distinct(list_filter([case when image_one is not null then sha256('url:' || image_one) end, case when image_two is not null then sha256('url:' || image_two) end, sha256(grp || ':image:0'), sha256(grp || ':image:1'), trusted], lambda x: x is not null))) exact,
+    list_sort(list_distinct(list_filter([perceptual, left(sha256(grp || ':visual:0'), 16), left(sha256(grp || ':visual:1'), 16), case when l.id % 9 = 2 then attributes ->> '$.trusted_image_hashes[0].dhash' end], lambda x: x is not null))) ph from l left join jc using (id)) """
 
 
 def _prints(spark, d):
     return fingerprints.fingerprints(src.fixture_listings(spark, d))
 
 
-@query(PRINTS + "select id, city_key, array_to_string(contacts, ',') contacts, address_key, geo_key, building, attribute_key, price_bucket, array_to_string(exact, ',') exact, '' url_key from fp")
+@query(PRINTS + "select id, city_key, array_to_string(contacts, ',') contacts, address_key, geo_key, building, attribute_key, price_bucket, array_to_string(exact, ',') exact, array_to_string(ph, ',') perceptual, '' url_key from fp")
 def fingerprint_keys(spark, d):
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return _prints(spark, d).select("id", "city_key", joined("contacts"), "address_key", "geo_key", "building", "attribute_key", "price_bucket", joined("exact"), "url_key")
+    return _prints(spark, d).select("id", "city_key", joined("contacts"), "address_key", "geo_key", "building", "attribute_key", "price_bucket", joined("exact"), joined("perceptual"), "url_key")
 
 
 @query()
@@ -318,7 +324,7 @@ def fingerprint_texts(spark, d):
     return _prints(spark, d).select("id", "body", "simhash", "text_block")
 
 
-PAIRS = PRINTS.replace(" from l) ", " from a) ") + """, fs as (select * from (select *, row_number() over (partition by city_key order by id) place from fp) where place <= 500),
+PAIRS = PRINTS.replace(" from l left join jc", " from a l left join jc") + """, fs as (select * from (select *, row_number() over (partition by city_key order by id) place from fp) where place <= 500),
 b as (select x.id left_id, y.id right_id from fs x join fp y on x.city_key = y.city_key and x.address_key = y.address_key and x.id < y.id
   union select x.id, y.id from fs x join fp y on x.city_key = y.city_key and x.geo_key = y.geo_key and x.id < y.id
   union select x.id, y.id from fs x join fp y on x.city_key = y.city_key and x.attribute_key = y.attribute_key and x.id < y.id and abs(x.price_bucket - y.price_bucket) <= 3
@@ -342,13 +348,13 @@ def block_pairs_by_text(spark, d):
     return _pairs(spark, d, text=True)[2]
 
 
-_bits = "(bit_count(xor(('0x' || substr(x.perceptual, 1, 8))::bigint, ('0x' || substr(y.perceptual, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(x.perceptual, 9, 8))::bigint, ('0x' || substr(y.perceptual, 9, 8))::bigint)))"
+_bits = "list_min(flatten(list_transform(x.ph, lambda p: list_transform(y.ph, lambda q: (bit_count(xor(('0x' || substr(p, 1, 8))::bigint, ('0x' || substr(q, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(p, 9, 8))::bigint, ('0x' || substr(q, 9, 8))::bigint)))::int))))"
 _pair = lambda c: f"case when coalesce(x.{c}::varchar, '') <> '' and coalesce(y.{c}::varchar, '') <> '' then case when x.{c} = y.{c} then 100.0 else 35.0 end end"
 SCORES = PAIRS + f""", g as (select left_id, right_id, x.rooms xr, y.rooms yr, len(list_intersect(x.exact, y.exact)) shared, list_has_any(x.contacts, y.contacts) contact, x.source_code = y.source_code and x.external_id = y.external_id same_id, x.property_type <> y.property_type other_kind,
     x.address_key = y.address_key same_address, x.street = y.street same_street, x.district = y.district same_district, x.location_accuracy = 'building' and y.location_accuracy = 'building' built,
     2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) m,
     abs(x.total_area - y.total_area)::double / greatest(x.total_area, y.total_area) da, x.total_area is null or y.total_area is null na, abs(x.price_uah - y.price_uah)::double / greatest(x.price_uah, y.price_uah) dp,
-    {_pair("floor")} a1, {_pair("floors_total")} a2, {_pair("building_type")} a3, {_pair("renovation_level")} a4, {_pair("heating_type")} a5, case when x.perceptual is null or y.perceptual is null then 65 else {_bits} end bits, len(x.exact) > 0 and len(y.exact) > 0 pictured
+    {_pair("floor")} a1, {_pair("floors_total")} a2, {_pair("building_type")} a3, {_pair("renovation_level")} a4, {_pair("heating_type")} a5, case when len(x.ph) = 0 or len(y.ph) = 0 then 65 else {_bits} end bits, len(x.exact) + len(x.ph) > 0 and len(y.exact) + len(y.ph) > 0 pictured
     from b join fp x on left_id = x.id join fp y on right_id = y.id),
   h as (select *, case when same_id then 100 when shared >= 2 then 100 when contact then 100 when shared = 1 then 88 end::double exact, same_id or shared >= 2 ruled,
     list_avg(list_filter([case when same_address then 100 when same_street then 82 when same_district then 55 end, case when m <= 50 then 100 when m <= 150 then 92 when m <= 400 then 72 when m <= 1000 then 42 else 0 end]::double[], lambda v: v is not null)) location,
@@ -396,6 +402,12 @@ def pair_scores_with_text(spark, d):
     return duplicates.score(pairs, rows, prints).withColumns(joined)
 
 
+@query()
+def pair_decisions_with_text(spark, d):
+    rows, prints, pairs = _pairs(spark, d, text=True)
+    return duplicates.score(pairs, rows, prints, text="needed").select("left_id", "right_id", "decision")
+
+
 @query()
 def accepted_components(spark, d):
     from dwellgraph.operators import graph
@@ -442,7 +454,7 @@ def collapse_clusters(spark, d):
 
 # Risk
 
-REUSED = PRINTS + """, hs as (select distinct id, city_key, city, is_active, h from (select id, city_key, city, is_active, unnest(list_concat(exact, case when perceptual is null then [] else [perceptual] end)) h from fp)),
+REUSED = PRINTS + """, hs as (select distinct id, city_key, city, is_active, h from (select id, city_key, city, is_active, unnest(list_concat(exact, ph)) h from fp)),
   im as (select x.id, count(*) matches, array_to_string(list_sort(list_distinct(list(y.city))), '|') other_cities from hs x join hs y on x.h = y.h and x.city_key <> y.city_key and y.is_active group by x.id) """
 
 

@@ -41,6 +41,9 @@ COLUMNS = {
     "image_one": "case when o_orderkey % 3 > 0 then 'https://img.example.org/' || cast(o_custkey % 97 as string) || '.jpg' end",
     "image_two": "case when o_orderkey % 3 = 2 then 'https://img.example.org/b' || cast(o_custkey % 89 as string) || '.jpg' end",
     "perceptual": "case when o_orderkey % 3 > 0 then substr(md5(cast(o_custkey % 61 as string)), 1, 16) end",
+    "attributes": """case o_orderkey % 9 when 0 then '{"contacts":{"agent":[{"Phone":"067' || lpad(cast(o_custkey % 300 as string), 7, '1') || '"},["x",{"deep":{"e":"Shared' || cast(o_custkey % 70 as string) || '@example.org"}}]],"age":5},"note":"0671112233"}'
+      when 1 then '{"demo_duplicate_group":"g' || cast(o_custkey % 40 as string) || '"}' when 2 then '{"trusted_image_hashes":[{"sha256":" ' || upper(md5(cast(o_custkey % 30 as string))) || md5('x') || '","dhash":"' || substr(md5(cast(o_custkey % 30 as string)), 1, 16) || '"},{"sha256":"short"},{"dhash":7}]}'
+      when 3 then '{"house_number":null,"building_number":"' || cast(o_custkey % 90 as string) || '-A"}' when 4 then 'no json' when 5 then '{"Viber":"0501234567 or @some_handle"}' else '{}' end""",
     "backup_power": "case o_orderkey % 4 when 0 then true when 1 then false end",
     "hidden_commission": "o_orderkey % 13 = 0",
     "deposit_months": "case when o_orderkey % 4 > 0 then (o_orderkey % 4) * 5.0e-1 end",

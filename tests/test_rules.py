@@ -45,7 +45,6 @@ def test_texts(spark):
     assert one(spark, text.simhash64(F.lit(" ".join(words)))) == want and one(spark, text.simhash64(F.lit(""))) == ""
     assert one(spark, text.hamming64(F.lit("00000000000000ff"), F.lit("8000000000000000"))) == 9 and one(spark, text.hamming64(F.lit(""), F.lit("0" * 16))) == 64
     assert one(spark, text.text_similarity(F.lit("a b c"), F.lit("a b c"), F.lit("0" * 16), F.lit("0" * 16))) == 100.0
-    assert one(spark, text.contact_values(F.create_map(F.lit("My_Phone"), F.lit("067"), F.lit("note"), F.lit("x")))) == ["067"]
     assert one(spark, text.positive_numbers(F.lit("3, x, 0, 2,3,-1"))) == [3, 2]
     assert one(spark, text.optional_number(F.lit("x"))) is None and one(spark, text.clamp(F.lit(140))) == 100
 
