@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwellgraph.operators.lineage import cut
+
 EARTH_METRES = 6_371_000.0
 
 
@@ -15,6 +19,56 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_METRES * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+#: The WGS 84 ellipsoid's larger half axis and flattening.
+AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
+_STEPS = 20
+
+
+def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres between two points on the WGS 84 ellipsoid, by Vincenty's inverse formula; null if either is unknown.
+
+    Below a millimetre off, except for points nearly opposite on the globe, where the formula finds no end.
+    """
+    f, minor = FLATTENING, AXIS * (1 - FLATTENING)
+    u1, u2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    base = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("d"))
+
+    def arc(b: Column, turn: Column) -> dict[str, Column]:
+        """The arc for a difference of longitude on the auxiliary sphere: its sine, cosine, azimuth and midpoint."""
+        across = b["c2"] * F.sin(turn)
+        along = b["c1"] * b["s2"] - b["s1"] * b["c2"] * F.cos(turn)
+        sine = F.sqrt(across * across + along * along)
+        cosine = b["s1"] * b["s2"] + b["c1"] * b["c2"] * F.cos(turn)
+        azimuth = F.when(sine == 0, 0.0).otherwise(b["c1"] * b["c2"] * F.sin(turn) / sine)
+        square = 1 - azimuth * azimuth
+        middle = F.when(square <= 1e-15, 0.0).otherwise(cosine - 2 * b["s1"] * b["s2"] / square)
+        return {"sine": sine, "cosine": cosine, "azimuth": azimuth, "square": square, "middle": middle}
+
+    def step(b: Column, turn: Column) -> Column:
+        a = F.transform(F.array(F.struct(*[v.alias(k) for k, v in arc(b, turn).items()])), lambda a: b["d"] + (1 - curve(a)) * f * a["azimuth"] * (F.atan2(a["sine"], a["cosine"]) + curve(a) * a["sine"] * (a["middle"] + curve(a) * a["cosine"] * (2 * a["middle"] * a["middle"] - 1))))
+        return a[0]
+
+    def curve(a: Column) -> Column:
+        return f / 16 * a["square"] * (4 + f * (4 - 3 * a["square"]))
+
+    def length(a: Column) -> Column:
+        u = a["square"] * ((AXIS / minor) ** 2 - 1)
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m = a["middle"]
+        fix = small * a["sine"] * (m + small / 4 * (a["cosine"] * (2 * m * m - 1) - small / 6 * m * (4 * a["sine"] * a["sine"] - 3) * (4 * m * m - 3)))
+        return minor * big * (F.atan2(a["sine"], a["cosine"]) - fix)
+
+    # Each value is made once, as the only element of an array, and the turn is found in a fixed number of steps.
+    def measured(b: Column) -> Column:
+        turn = F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), b["d"], lambda t, _: step(b, t))
+        arcs = F.transform(F.array(turn), lambda t: F.struct(*[v.alias(k) for k, v in arc(b, t).items()]))
+        return F.transform(arcs, length)[0]
+
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    return F.when(known, F.transform(F.array(base), measured)[0])
+
+
 def in_box(lat: Column, lon: Column, box: str) -> Column:
     """Whether a point lies in west,south,east,north; the text is checked here."""
     parts = [float(x) for x in box.split(",")]
@@ -78,17 +132,41 @@ def write_features(rows: DataFrame, path: str, properties: list[str], **names) -
     features(rows, properties, **names).select("feature").write.mode("overwrite").text(path)
 
 
-def within(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """(place, id, km) of the points within km kilometres of each place, by cells of that size.
+#: A cell with more points is split into four, until it is so many times smaller.
+CROWDED, SPLITS = 2_000, 12
+
+
+def within(points: DataFrame, places: DataFrame, km: float, *, metres=haversine, crowded: int = CROWDED) -> DataFrame:
+    """(place, id, km) of the points within km kilometres of each place, by cells that split where points are many.
 
-    Both tables have lat and lon; places has place, points id. A place looks into the cells around its own,
-    so no place meets all points.
+    Both tables have lat and lon; places has place, points id. metres is the distance, on a sphere or an ellipsoid.
+    A place looks into the cells around its own, about km wide. A cell with more than crowded points is split into
+    four, and again, so that no task has more of one cell's points (but for many at one place), and a place
+    meets only those parts of it that its circle reaches.
     """
-    size = km / 111.0
+    size = km / 110.5  # a degree of latitude is no shorter, on the sphere or the ellipsoid
     reach = F.ceil(F.lit(1.0) / F.greatest(F.cos(F.radians("plat")), F.lit(0.05))).cast("int")
     around = places.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon")).where(valid_point(F.col("plat"), F.col("plon")))
     around = around.withColumn("cy", F.explode(F.sequence(F.floor(F.col("plat") / size) - 1, F.floor(F.col("plat") / size) + 1)))
     around = around.withColumn("cx", F.explode(F.sequence(F.floor(F.col("plon") / size) - reach, F.floor(F.col("plon") / size) + reach)))
     placed = points.where(valid_point(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lon") / size).alias("cx"))
-    metres = haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
-    return placed.join(around, ["cy", "cx"]).where(metres <= km * 1000).select("place", "id", kilometres(metres).alias("km"))
+    far = metres(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+    found = []
+    for level in range(SPLITS + 1):
+        full = placed.groupBy("cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("cy", "cx") if level < SPLITS else None
+        full = None if full is None else cut(full)
+        wide = full is not None and not full.isEmpty()
+        now, seen = (placed.join(full, ["cy", "cx"], "left_anti"), around.join(full, ["cy", "cx"], "left_anti")) if wide else (placed, around)
+        found.append(now.join(seen, ["cy", "cx"]).withColumn("m", far).where(F.col("m") <= km * 1000).select("place", "id", kilometres(F.col("m")).alias("km")))
+        if not wide:
+            break
+        # One level down; of a place's parts those that its circle can't reach are dropped, by latitude and by longitude.
+        size /= 2
+        placed = cut(placed.join(full, ["cy", "cx"], "left_semi").select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lon") / size).alias("cx")))
+        split = around.join(full, ["cy", "cx"], "left_semi").withColumn("dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1))))
+        split = split.select("place", "plat", "plon", (2 * F.col("cy") + F.col("dy")).alias("cy"), (2 * F.col("cx") + F.col("dx")).alias("cx"))
+        gap = lambda cell, at: F.greatest(F.col(cell) * size - F.col(at), F.col(at) - (F.col(cell) + 1) * size, F.lit(0.0))  # noqa: E731, B023
+        # The farthest from the equator that the circle comes has the shortest degrees of longitude.
+        near = F.cos(F.radians(F.least(F.abs("plat") + km / 110.5, F.lit(89.9))))
+        around = cut(split.where((gap("cy", "plat") * 110.5 <= km) & (gap("cx", "plon") * 110.5 * near <= km)))
+    return reduce(DataFrame.union, found)

@@ -24,6 +24,40 @@ def _fits_area(percent: int) -> Column:
     return F.when(F.coalesce(F.col("ta") > 0, F.lit(False)), F.coalesce(F.col("total_area").between(low, high), F.lit(False))).otherwise(True)
 
 
+#: A cell of areas is a tenth of a square metre; a district's tree has so many levels above its cells. Larger areas are in the last cell.
+_LEVELS = 15
+
+
+def _area_cell(area: Column) -> Column:
+    return F.least(F.floor(area * 10), F.lit((1 << _LEVELS) - 1)).cast("int")
+
+
+def _by_area(targets: DataFrame, pool: DataFrame, newest) -> DataFrame:
+    """Targets (td, ta) with the newest listings of their district that can fit their area.
+
+    A node of the tree holds the newest listings of 2^level cells. The cells that lie wholly within a target's
+    tolerance are at most two nodes a level; the two cells at its ends are met by single areas, of which the newest
+    are kept too. A target without an area meets its district's newest. newest(rows, *keys) keeps the newest
+    of each key, so many that the ones left out can't change what is taken or counted.
+    """
+    keys = ["k", "rooms", "dk"]
+    sized = pool.where("total_area > 0").withColumn("cell", _area_cell(F.col("total_area")))
+    single = newest(sized, *keys, "total_area")
+    leaves = newest(sized, *keys, "cell")
+    nodes = newest(leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS)))).withColumn("node", F.expr("shiftright(cell, level)")), *keys, "level", "node")
+    low, high = F.col("ta") * (1 - AREA_DISTRICT / 100), F.col("ta") * (1 + AREA_DISTRICT / 100)
+    own = targets.withColumnRenamed("td", "dk").withColumns({"a": _area_cell(low), "b": _area_cell(high)})
+    known = own.where("ta > 0")
+    # Whole nodes of a level within the cells a + 1 to b - 1 are those from x to y; those whose parent is whole as well are left to it.
+    whole = f"""filter(flatten(transform(sequence(0, {_LEVELS}), j -> transform(array_distinct(array(shiftright(a + shiftleft(1, j), j), shiftright(b, j) - 1)), n -> struct(j level, n node,
+        shiftright(a + shiftleft(1, j), j) <= shiftright(b, j) - 1 and not shiftright(n, 1) between shiftright(a + shiftleft(1, j + 1), j + 1) and shiftright(b, j + 1) - 1 own)))), x -> x.own)"""
+    inside = known.withColumn("w", F.explode(F.expr(whole))).select("*", "w.level", "w.node").drop("w")
+    by_node = inside.join(nodes.drop("cell"), [*keys, "level", "node"]).drop("level", "node")
+    by_value = known.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b")))).join(single, [*keys, "cell"]).drop("cell")
+    free = own.where("not coalesce(ta > 0, false)").join(newest(pool, *keys), keys)
+    return by_node.unionByName(by_value).unionByName(free)
+
+
 def comparables(targets: DataFrame, pool: DataFrame, as_of, *, least: int = MIN_SAMPLE, most: int = MAX_SAMPLE, fresh_days: int = FRESH_DAYS, radius_km: float = RADIUS_KM) -> DataFrame:
     """(target, id, price_uah, total_area, district, published_at, stage, candidates) of each target's comparables.
 
@@ -33,10 +67,11 @@ def comparables(targets: DataFrame, pool: DataFrame, as_of, *, least: int = MIN_
     the target, otherwise the last; the newest of it are taken, then the cheapest, then by id, most at most.
     candidates tells how many there were, most + 1 standing for all greater numbers.
 
-    The stages run one after the other, each for the targets that the ones before left open. The first two
-    join on a district or a cell of the map; the last two meet only the newest most + 3 of a city's listings
-    (of a building type or renovation level), of which two at most are the target and its cluster's primary,
-    so that no target meets a whole city.
+    The stages run one after the other, each for the targets that the ones before left open. The second joins on
+    a cell of the map. The others meet only the newest most + 3 of what they join with, of which two at most
+    are the target and its cluster's primary: the last two of a city's listings (of a building type or
+    renovation level), the first of the nodes of a binary tree over the areas of a district, into few of which
+    the tolerated areas fall apart (_by_area). So no target meets a whole district or city.
     """
     stop = F.lit(as_of) if not isinstance(as_of, Column) else as_of
     fresh = pool.where((F.col("price_uah") > 0) & (F.col("published_at") >= stop - F.expr(f"interval {fresh_days} days")) & (F.col("role").isNull() | (F.col("role") == "primary")))
@@ -57,7 +92,11 @@ def comparables(targets: DataFrame, pool: DataFrame, as_of, *, least: int = MIN_
     def without(rows: DataFrame, done: DataFrame) -> DataFrame:
         return rows.join(done.select("target").distinct(), "target", "left_anti")
 
-    first = taken(t.where("td <> ''").join(p, ["k", "rooms"]).where((F.col("td") == F.col("dk")) & other & _fits_area(AREA_DISTRICT)), 0)
+    def newest(rows: DataFrame, *keys: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("at", at).where(F.col("at") <= most + 3).drop("at")
+
+    first = taken(_by_area(t.where("td <> ''"), p.where("dk <> ''"), newest).where(other & _fits_area(AREA_DISTRICT)), 0)
     left = cut(without(t, first))
     # By radius: a target looks into the cells around its own.
     size = radius_km / _DEGREE_KM
@@ -70,15 +109,11 @@ def comparables(targets: DataFrame, pool: DataFrame, as_of, *, least: int = MIN_
     second = taken(cells.join(placed, ["k", "rooms", "cy", "cx"]).where(other & near & _fits_area(AREA)), 1)
     left = cut(without(left, second))
 
-    def newest(*keys: str) -> DataFrame:
-        at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return p.withColumn("at", at).where(F.col("at") <= most + 3)
-
     # By building type or renovation level: a listing can have both, so the two lists are put together.
     columns = [*names, "pc", "tc"]
-    lists = [left.where(F.col(own) != "").withColumnRenamed(own, kind).join(newest("k", "rooms", kind), ["k", "rooms", kind]).select(*columns) for own, kind in (("tb", "building_type"), ("tr", "renovation_level"))]
+    lists = [left.where(F.col(own) != "").withColumnRenamed(own, kind).join(newest(p, "k", "rooms", kind), ["k", "rooms", kind]).select(*columns) for own, kind in (("tb", "building_type"), ("tr", "renovation_level"))]
     third = taken(lists[0].union(lists[1]).where(other).dropDuplicates(["target", "id"]), 2)
-    fourth = taken(without(left, third).join(newest("k", "rooms"), ["k", "rooms"]).where(other), 3)
+    fourth = taken(without(left, third).join(newest(p, "k", "rooms"), ["k", "rooms"]).where(other), 3)
     return first.union(second).union(third).union(fourth)
 
 
