@@ -127,6 +127,15 @@ def features(rows: DataFrame, properties: list[str], *, key: str = "id", lat: st
     return rows.where(valid_point(F.col(lat), F.col(lon))).select(key, told.alias("feature"))
 
 
+def read_point(feature: Column) -> Column:
+    """(lat, lon) of the text of a GeoJSON feature with a valid point; null for any other text."""
+    told = F.from_json(feature, "type string, geometry struct<type:string,coordinates:array<double>>")
+    at = told["geometry"]["coordinates"]
+    lat, lon = F.get(at, F.lit(1)), F.get(at, F.lit(0))
+    good = (told["type"] == "Feature") & (told["geometry"]["type"] == "Point") & (F.size(at) == 2) & valid_point(lat, lon)
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
 def write_features(rows: DataFrame, path: str, properties: list[str], **names) -> None:
     """Write the rows' features as GeoJSON text sequences, one feature a line."""
     features(rows, properties, **names).select("feature").write.mode("overwrite").text(path)

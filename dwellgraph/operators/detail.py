@@ -53,3 +53,16 @@ def cluster_detail(nested: DataFrame, listings: DataFrame, states: DataFrame) ->
     of_state = children(states, "cluster", "states", ["user_id", "is_favorite", "is_hidden", "is_compared"], [F.col("user_id")])
     told = nested.withColumn("members", F.filter("members", lambda m: m["is_active"])).join(first, "primary_id", "left").join(of_state, "cluster", "left")
     return told.withColumn("states", F.coalesce("states", F.array().cast(told.schema["states"].dataType)))
+
+
+def context(listings: DataFrame, market: DataFrame, risk: DataFrame) -> DataFrame:
+    """(id, context): what is known of a listing as one nested value: its facts, place, conditions, and its market and risk.
+
+    market has id, status, median, deviation and confidence_label, risk id, score and level; a listing without them
+    has null there.
+    """
+    sides = [t.select("id", F.struct(*[c for c in t.columns if c != "id"]).alias(n)) for t, n in ((market, "market"), (risk, "risk"))]
+    told = listings.join(sides[0], "id", "left").join(sides[1], "id", "left")
+    place = F.struct("city", "district", "street", "lat", "lon")
+    terms = F.struct("pets_allowed", "children_allowed", "commission_percent", "is_owner")
+    return told.select("id", F.struct("id", "title", "price_uah", "rooms", "total_area", "floor", place.alias("location"), terms.alias("conditions"), "market", "risk").alias("context"))

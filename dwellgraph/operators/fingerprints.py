@@ -59,8 +59,8 @@ def fingerprints(listings: DataFrame, *, url: str | None = None, images: tuple[s
     return told.withColumn("text_block", F.left("simhash", F.lit(4)))
 
 
-def stale(current: DataFrame, listings: DataFrame, *, version: int) -> DataFrame:
-    """The ids of listings without a fingerprint, with one of another version, or with one older than their last update."""
-    kept = current.select("id", F.col("version").alias("v"), F.col("computed_at").alias("at"))
-    old = F.col("v").isNull() | (F.col("v") != version) | (F.col("at") < F.col("updated_at"))
+def stale(current: DataFrame, listings: DataFrame, *, version: int, image_version: int) -> DataFrame:
+    """The ids of listings without a fingerprint, with one of another version of texts or images, or with one older than their last update."""
+    kept = current.select("id", F.col("version").alias("v"), F.col("image_version").alias("i"), F.col("computed_at").alias("at"))
+    old = F.col("v").isNull() | (F.col("v") != version) | ~F.col("i").eqNullSafe(F.lit(image_version)) | (F.col("at") < F.col("updated_at"))
     return listings.select("id", "updated_at").join(kept, "id", "left").where(old).select("id")

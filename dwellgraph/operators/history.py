@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dwellgraph.operators.lineage import cut
+
 
 def price_events(snapshots: DataFrame, *, key: str, at: str, value: str, tie: str) -> DataFrame:
     """Each change of value between consecutive snapshots of a key: old, new, change, percent, kind.
@@ -88,3 +90,24 @@ def swept(listings: DataFrame, as_of, *, days: int) -> DataFrame:
     """The listings, those not seen for so many days no longer active; age_days tells how long ago each was seen."""
     age = F.datediff(F.lit(as_of).cast("date"), F.col("last_seen_at").cast("date"))
     return listings.withColumn("age_days", age).withColumn("is_active", F.col("is_active") & F.coalesce(F.col("age_days") <= days, F.lit(True)))
+
+
+def age_days(at: Column, as_of: Column) -> Column:
+    """Days, with fractions, from a time to another; 0 for what lies ahead."""
+    return F.greatest((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000, F.lit(0.0))
+
+
+def expires(at: Column, ttl_seconds: int, *, least: int = 60) -> Column:
+    """When something made at a time ends: after its time to live, but no sooner than least seconds."""
+    return at.cast("timestamp") + F.make_dt_interval(secs=F.lit(float(max(ttl_seconds, least))))
+
+
+def iso(at: Column) -> Column:
+    """A time in UTC as ISO 8601, to the second."""
+    return F.date_format(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def capture(listings: DataFrame, columns: list[str], *, texts: tuple[str, ...] = ("title", "description")) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, price events) of the states of listings: a change of price is told between a snapshot and the one before it."""
+    kept = cut(snapshots(listings, columns, texts=texts))
+    return kept, price_events(kept, key="id", at="captured_at", value="price_uah", tie="content_hash")

@@ -14,9 +14,9 @@ STAGES = ("district_rooms_area", "radius_rooms_area", "city_rooms_attributes", "
 _DEGREE_KM = 111.0
 
 
-def price_per_area(price: Column, area: Column) -> Column:
-    """Price for a square metre, half up to two places; null without a positive area."""
-    return F.when(area > 0, F.round(price / area, 2))
+def price_per_area(price: Column, area: Column, places: int = 2) -> Column:
+    """Price for a square metre, half up; null without a positive area."""
+    return F.when(area > 0, F.round(price / area, places))
 
 
 def _fits_area(percent: int) -> Column:

@@ -268,7 +268,7 @@ def _compared(spark, d):
     return rows, as_of, market.comparables(rows, rows, as_of, fresh_days=FRESH)
 
 
-def _assessed(spark, d):
+def assessed(spark, d):
     rows, as_of, compared = _compared(spark, d)
     return market.assess(rows, compared, as_of, fresh_days=FRESH)
 
@@ -285,12 +285,12 @@ def comparables_topn(spark, d):
 
 @query(ASSESSED + "select target, n, stage, candidates, status, median, q1, q3, outliers, median_per_area, own_per_area, deviation from ma")
 def market_assessment(spark, d):
-    return _assessed(spark, d).drop("confidence", "confidence_label").withColumn("outliers", F.col("outliers").cast("bigint"))
+    return assessed(spark, d).drop("confidence", "confidence_label").withColumn("outliers", F.col("outliers").cast("bigint"))
 
 
 @query(ASSESSED + "select target, confidence, confidence_label from ma")
 def market_confidence(spark, d):
-    return _assessed(spark, d).select("target", "confidence", "confidence_label")
+    return assessed(spark, d).select("target", "confidence", "confidence_label")
 
 
 # Duplicates

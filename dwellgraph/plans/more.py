@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from dwellgraph.functions import geo, text
-from dwellgraph.operators import detail, history, risk, state
+from dwellgraph.functions import geo, nested, text
+from dwellgraph.operators import detail, fingerprints, history, incremental, market, matching, risk, state
+from dwellgraph.operators.lineage import shared_folder
+from dwellgraph.plans import catalogue
+from dwellgraph.plans.catalogue import ASSESSED, HAVERSINE, PAIRS, PLACES, SCORED, L, approved, query, table
+from dwellgraph.sources.listings import LISTINGS_SQL, fixture_listings
+from dwellgraph.sources.versioned import VersionedTable
 from dwellgraph.streaming import rules as stream_rules
-from dwellgraph.plans.catalogue import HAVERSINE, PLACES, L, approved, query, table
 
 _PLACES = "p(name, plon, plat) as (values ('centre', 24.2::double, 48.6::double), ('station', 24.35::double, 49.3::double))"
 
@@ -209,3 +215,117 @@ def positive_number_lists(spark, d):
 @query(L + " select id, concat_ws(', ', nullif(trim(building_type), ''), nullif(trim(renovation_level), ''), nullif(trim(city), '')) address from a")
 def joined_address(spark, d):
     return approved(spark, d).select("id", text.joined_parts(F.col("building_type"), F.col("renovation_level"), F.col("city")).alias("address"))
+
+
+# Nested payloads, versions, small rules
+
+
+@query("select l.id id, lower(regexp_replace(regexp_replace(j.fullkey[2:], '\\[[0-9]+\\]', '', 'g'), '\"', '', 'g')) path, j.atom ->> '$' \"value\" from (" + LISTINGS_SQL + ") l, json_tree(case when json_valid(attributes) then attributes end) j where j.type = 'VARCHAR'")
+def attribute_texts(spark, d):
+    return nested.strings(fixture_listings(spark, d), "id", "attributes")
+
+
+_ALLOWED = ", ".join(f"case when json_exists(attributes, '$.{k}') then '{k}' end" for k in sorted(history.ALLOWED))
+
+
+@query(L + f" select id, case when json_valid(attributes) then concat_ws(',', {_ALLOWED}) else '' end allowed from a")
+def allowed_attributes(spark, d):
+    kept = history.allowed(F.from_json("attributes", "map<string,string>"))
+    return approved(spark, d).select("id", F.array_join(F.map_keys(kept), ",").alias("allowed"))
+
+
+@query(L + " select id from a where id % 7 = 0 or id % 3 <> 1 or id % 5 = 2 or published_at - interval 3 day * (id % 2) < published_at")
+def stale_fingerprints(spark, d):
+    rows = approved(spark, d)
+    made = rows.where("id % 7 <> 0").select("id", (F.col("id") % 3).alias("version"), F.when(F.col("id") % 5 == 2, 1).otherwise(2).alias("image_version"), F.expr("published_at - make_dt_interval(3 * (id % 2))").alias("computed_at"))
+    return fingerprints.stale(made, rows.withColumnRenamed("published_at", "updated_at"), version=1, image_version=2)
+
+
+@query(PAIRS + "select left_id, right_id from b where left_id in (select id from a where rooms = 2) and right_id in (select id from a where rooms = 2)")
+def pairs_inside(spark, d):
+    rows = approved(spark, d)
+    return state.inside(catalogue.QUERIES["block_pairs"](spark, d), rows.where("rooms = 2"))
+
+
+@query(L + ", s as (select 1 + event_id % 997 id, event_type from events) select id from a where id in (select id from s where event_type = 'click') or (id % 4 < 3 and id // 4 in (select id from s where event_type = 'purchase'))")
+def favorites_any(spark, d):
+    rows = approved(spark, d)
+    marks = table(spark, d, "events").select((1 + F.col("event_id") % 997).alias("id"), "event_type")
+    clusters = rows.where("id % 4 < 3").select("id", F.expr("id div 4").alias("cluster"))
+    return state.marked(rows, clusters, marks.where("event_type = 'click'"), marks.where("event_type = 'purchase'").withColumnRenamed("id", "cluster")).select("id")
+
+
+@query("with t as (select max(ts) as_of from events), m as (select user_id id, max(ts) filter (event_type = 'view') v, max(ts) filter (event_type = 'click') c from events group by 1) select id from m, t where v is null or v <= as_of - interval 30 hour or c is null or c <= as_of - interval 12 hour")
+def due_for_any(spark, d):
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    as_of = events.agg(F.max("ts")).first()[0]
+    people = events.select(F.col("user_id").alias("id")).distinct().withColumn("updated_at", F.lit("1970-01-01").cast("timestamp"))
+    due = lambda kind, ttl: state.to_refresh(people, events.where(F.col("event_type") == kind).select(F.col("user_id").alias("id"), F.col("ts").alias("calculated_at"), history.expires(F.col("ts"), ttl).alias("valid_until")), as_of, limit=500)
+    return state.any_of(due("view", 30 * 3600), due("click", 12 * 3600))
+
+
+@query("select event_id, (t <= as_of) is_stale, case when t <= as_of and event_type <> 'error' then 'stale' when event_type = 'error' then 'failed' else 'ready' end effective_status, strftime(t, '%Y-%m-%dT%H:%M:%SZ') valid_until, greatest(epoch_us(as_of) - epoch_us(ts), 0) // 86400000000 age from (select event_id, event_type, ts, ts + interval 1 second * greatest(60, 3600 * (event_id % 3)) t, timestamp '2024-01-20 00:00:00' as_of from events)")
+def assessment_status(spark, d):
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    until = F.when(F.col("event_id") % 3 == 0, history.expires(F.col("ts"), 0)).when(F.col("event_id") % 3 == 1, history.expires(F.col("ts"), 3600)).otherwise(history.expires(F.col("ts"), 7200))
+    made = events.select("event_id", "ts", F.when(F.col("event_type") == "error", "failed").otherwise("ready").alias("status"), until.alias("valid_until"))
+    return state.effective(made, as_of).select("event_id", "is_stale", "effective_status", history.iso(F.col("valid_until")).alias("valid_until"), F.floor(history.age_days(F.col("ts"), as_of)).alias("age"))
+
+
+@query(SCORED + ", g as (select id // 4 card, min(price_uah) price_min, max(price_uah) price_max, max(score) score, max(published_at) published_at, min(id) id from m group by 1) select id, price_max, score from g order by price_max desc, id limit 60")
+def cards_by_price(spark, d):
+    rows = matching.matched(approved(spark, d), catalogue.PROFILE).groupBy(F.expr("id div 4").alias("card"))
+    cards = rows.agg(F.min("price_uah").alias("price_min"), F.max("price_uah").alias("price_max"), F.max("score").alias("score"), F.max("published_at").alias("published_at"), F.min("id").alias("id"))
+    return state.sorted_cards(cards, "price_desc").select("id", "price_max", "score").limit(60)
+
+
+@query(L + " select id, lat, lon, case when total_area > 0 then (2 * price_uah + total_area) // (2 * total_area) end per_area, concat_ws(', ', case when pets_allowed then 'pets' end, case when children_allowed then 'children' end, case when backup_power then 'power' end) wishes from a where id % 4 > 0")
+def checked_features(spark, d):
+    rows = approved(spark, d)
+    told = geo.features(rows, ["rooms"])
+    broken = F.when(F.col("id") % 12 == 0, F.replace("feature", F.lit("Point"), F.lit("Line"))).when(F.col("id") % 12 == 4, F.lit("{")).when(F.col("id") % 12 == 8, F.replace("feature", F.lit('"coordinates":['), F.lit('"coordinates":[999,'))).otherwise(F.col("feature"))
+    found = told.select("id", geo.read_point(broken).alias("at")).where("at is not null").select("id", "at.lat", "at.lon")
+    flags = F.create_map(F.lit("pets"), F.col("pets_allowed"), F.lit("children"), F.col("children_allowed"), F.lit("power"), F.col("backup_power"))
+    facts = rows.select("id", market.price_per_area(F.col("price_uah"), F.col("total_area"), 0).cast("bigint").alias("per_area"), F.array_join(state.enabled(flags, {"pets": "pets", "children": "children", "power": "power"}), ", ").alias("wishes"))
+    return found.join(facts, "id")
+
+
+@query(ASSESSED + """ select id, to_json({'id': id, 'title': title, 'price_uah': price_uah, 'rooms': rooms, 'location': {'city': city, 'district': district, 'street': street}, 'conditions': {'pets_allowed': pets_allowed, 'children_allowed': children_allowed, 'commission_percent': commission_percent, 'is_owner': is_owner}, 'market': {'status': ma.status, 'median': ma.median, 'confidence_label': ma.confidence_label}})::varchar context from a join ma on a.id = ma.target""")
+def listing_context(spark, d):
+    rows = approved(spark, d)
+    found = catalogue.assessed(spark, d).select(F.col("target").alias("id"), "status", "median", "deviation", "confidence_label")
+    none = found.select("id", F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("level"))
+    c = lambda *names: F.struct(*[F.col(f"context.{n}") for n in names])
+    told = F.struct(*[F.col(f"context.{n}") for n in ("id", "title", "price_uah", "rooms")], c("location.city", "location.district", "location.street").alias("location"), F.col("context.conditions"), c("market.status", "market.median", "market.confidence_label").alias("market"))
+    return detail.context(rows, found, none).select("id", F.to_json(told, {"ignoreNullFields": "false"}).alias("context"))
+
+
+@query("""with s as (select l_orderkey id, round(l_extendedprice)::bigint price, l_returnflag flag, l_linestatus title, l_shipdate "at" from lineitem),
+  h as (select id, sha256('{"flag":"' || flag || '","price_uah":' || price || ',"title_hash":"' || sha256(trim(title)) || '"}') hash, min("at") "at", any_value(price) price from s group by id, flag, price, title),
+  e as (select *, lag(price) over (partition by id order by "at", hash) was from h) select id, "at", was "old", price "new" from e where was is not null and was <> price""")
+def captured_prices(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.round("l_extendedprice").cast("bigint").alias("price_uah"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("title"), F.col("l_shipdate").alias("captured_at"))
+    return history.capture(rows, ["flag", "price_uah"], texts=("title",))[1].select("id", F.col("captured_at").alias("at"), "old", "new")
+
+
+@query("select o_orderkey k, case when o_orderkey % 4 = 1 then 'again' when o_orderkey % 3 = 0 then 'second' else 'first' end v, o_custkey from orders where o_orderkey % 10 <> 7 and (o_orderkey % 2 = 0 or o_orderkey % 3 = 0 or o_orderkey % 4 = 1)")
+def versioned_upsert(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit("first").alias("v"), "o_custkey")
+    as_ = lambda on, v: rows.where(on).withColumn("v", F.lit(v))
+    kept = VersionedTable(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", rows.schema, ("k",))
+    kept.apply("one", rows.where("k % 2 = 0"))
+    kept.apply("two", as_("k % 3 = 0", "second"))
+    kept.apply("one", as_("k % 2 = 0", "a replay, which changes nothing"))
+    kept.compact()
+    kept.apply("three", as_("k % 4 = 1", "again").where("k % 10 <> 7"), deleted=rows.where("k % 10 = 7"))
+    return kept.read()
+
+
+@query()
+def incremental_clusters(spark, d):
+    """Clusters after one in fifty listings has come anew and one in sixty has gone: those of a detection of all."""
+    rows = approved(spark, d)
+    before = incremental.detect(rows.where("id % 50 <> 1"), text=False)
+    now = rows.where("id % 60 <> 2")
+    return incremental.redetect(before, now, rows.where("id % 50 = 1 or id % 60 = 2"), text=False).clusters
