@@ -15,6 +15,10 @@ from dwellgraph.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from dwellgraph.llm.common import fresh_name, materialize, table
 
 
+#: Chunks of text whose ids a worker keeps: fewer than the operator's own, for workers still hold memory of the stages before.
+KEPT_CHUNKS = 60_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under the threshold; the model is learned from the labelled documents that are left in."""
     weights = toxicity.fit(toxicity.learning_rows(docs, table(spark, sf_dir, "labels")))
@@ -39,7 +43,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text, and the digests of the ids and of the text they decode to."""
-    return bpe.encode_documents(docs, *bpe.public_vocabulary(), with_ids=True)
+    return bpe.encode_documents(docs, *bpe.public_vocabulary(), with_ids=True, kept=KEPT_CHUNKS)
 
 
 STAGES = [

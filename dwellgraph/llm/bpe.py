@@ -238,10 +238,11 @@ class Transducer:
 class Encoder(dict):
     """Chunk of text -> its ids as little-endian uint32 bytes, kept for the chunks met so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = CHUNK_LIMIT):
         import regex
 
         super().__init__()
+        self.limit = limit
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]"))
 
@@ -251,7 +252,7 @@ class Encoder(dict):
             ids += self.machine.encode_piece(m.encode("utf-8"))
         value = np.asarray(ids, "<u4").tobytes()
         if len(chunk) <= 64:
-            if len(self) >= CHUNK_LIMIT:
+            if len(self) >= self.limit:
                 self.clear()
             self[chunk] = value
         return value
@@ -320,12 +321,12 @@ class StreamDecoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
+def encoder_of(ranks: dict[bytes, int], pattern: str, limit: int = CHUNK_LIMIT) -> Encoder:
     """The worker's encoder for a vocabulary: tasks that follow on the same worker go on with its states."""
-    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
+    key = (len(ranks), hash(frozenset(ranks.items())), pattern, limit)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern)
+        _ENCODERS[key] = Encoder(ranks, pattern, limit)
     return _ENCODERS[key]
 
 
@@ -334,8 +335,8 @@ def _ranks_of(path: str) -> dict[bytes, int]:
         return load_ranks(f)
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Encode every whole text and decode it again.
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", key: str = "doc_id", with_ids: bool = False, kept: int = CHUNK_LIMIT) -> DataFrame:
+    """Encode every whole text and decode it again. A worker keeps the ids of kept chunks of text at most.
 
     Returns one row per input row: the key, n_tokens, ids_sha256 (of the ids as little-endian unsigned
     32-bit integers), decoded_sha256 (of the decoded text's bytes), and with_ids the ids themselves. A null
@@ -348,12 +349,12 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *,
     sent = spark.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(*sent.value)
+        encoder = encoder_of(*sent.value, kept)
         tokens = encoder.machine.tokens
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(lo, ROWS_AT_ONCE)
-                n, ids_hash, text_hash, kept = [], [], [], []
+                n, ids_hash, text_hash, all_ids = [], [], [], []
                 for value in part.column(1).to_pylist():
                     raw = encoder.encode(value or "")
                     ids = np.frombuffer(raw, "<u4")
@@ -365,11 +366,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *,
                     ids_hash.append(hashlib.sha256(raw).hexdigest())
                     text_hash.append(digest.hexdigest())
                     if with_ids:
-                        kept.append(ids.astype(np.int32))
+                        all_ids.append(ids.astype(np.int32))
                 out = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    out.append(pa.array(kept, pa.list_(pa.int32())))
+                    out.append(pa.array(all_ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
