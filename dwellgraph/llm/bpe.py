@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dwellgraph.llm.common import prepare
+from dwellgraph.llm.common import held, prepare
 
 #: White space as the tokenizer's pattern means it (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -318,16 +318,10 @@ class StreamDecoder:
         return data[:cut].decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder_of(ranks: dict[bytes, int], pattern: str, limit: int = CHUNK_LIMIT) -> Encoder:
     """The worker's encoder for a vocabulary: tasks that follow on the same worker go on with its states."""
     key = (len(ranks), hash(frozenset(ranks.items())), pattern, limit)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern, limit)
-    return _ENCODERS[key]
+    return held(key, lambda: Encoder(ranks, pattern, limit))
 
 
 def _ranks_of(path: str) -> dict[bytes, int]:

@@ -127,6 +127,25 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_HELD: dict = {}
+
+
+def held[T](key: object, make: Callable[[], T]) -> T:
+    """What the worker keeps between tasks under a key, made when first asked for.
+
+    Workers serve one operator after another; what another key had is let go, so they keep the memory of one.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes of words, by the one table of words that all operators of a worker share."""
+    return held("words", WordHashes).array(words)
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """One hash for each run of n words, in order; a shorter non-empty sequence is one shingle."""
     if not len(words):

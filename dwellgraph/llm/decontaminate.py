@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import WordHashes, broadcast_if_small, fresh_name, materialize, mix, plain_words, prepare
+from dwellgraph.llm.common import broadcast_if_small, fresh_name, materialize, mix, plain_words, prepare, word_hashes
 
 #: Masks over consecutive tokens: positions with 1 are hashed, those with 0 may differ (fixed values).
 MASKS = ("111011", "11010111", "1100110101", "1011000111")
@@ -29,14 +29,13 @@ ITEM_BYTES = 64 << 20
 #: Scripts that are written without spaces: each character is a token (code point ranges, fixed values).
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
-_WORDS = WordHashes()
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased text's tokens: runs of letters and digits, and single characters of scripts without spaces."""
     if not text or text.isascii():
-        return _WORDS.array(plain_words(text))
-    return _WORDS.array([w.encode("utf-8", "surrogatepass") for w in _TOKEN.findall(text.lower())])
+        return word_hashes(plain_words(text))
+    return word_hashes([w.encode("utf-8", "surrogatepass") for w in _TOKEN.findall(text.lower())])
 
 
 def spaced_hashes(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:

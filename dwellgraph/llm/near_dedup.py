@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import WordHashes, ascii_words, broadcast_if_small, fresh_name, materialize, mix, prepare, shingle_hashes
+from dwellgraph.llm.common import ascii_words, broadcast_if_small, fresh_name, materialize, mix, prepare, shingle_hashes, word_hashes
 from dwellgraph.llm.paths import link
 
 #: Minwise values kept for each document.
@@ -22,12 +22,11 @@ CHILDREN, STEP = 8, 2
 SKETCH = 32
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_WORDS = WordHashes()
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of n words; of a shorter text, of its whole sequence."""
-    return np.unique(shingle_hashes(_WORDS.array(ascii_words(text)), n))
+    return np.unique(shingle_hashes(word_hashes(ascii_words(text)), n))
 
 
 def set_id(shingles: np.ndarray) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgraph.llm.common import WordHashes, broadcast_if_small, mix, plain_words, prepare
+from dwellgraph.llm.common import broadcast_if_small, mix, plain_words, prepare, word_hashes
 
 BITS = 20
 #: The fit takes about so many labelled rows and bytes of their text at most, chosen by a hash of key and text.
@@ -19,8 +19,6 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.7
 
-_WORDS = WordHashes()
-
 
 @dataclass(frozen=True)
 class Weights:
@@ -38,7 +36,7 @@ class Weights:
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct coordinates of a text's words, pairs of neighbours, and pairs that skip one word."""
-    words = _WORDS.array(plain_words(text))
+    words = word_hashes(plain_words(text))
     parts = [mix(words)]
     for gap in (1, 2):
         if len(words) > gap:
@@ -110,13 +108,11 @@ def score(docs: DataFrame, weights: Weights, *, text: str = "text", name: str =
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         dense, bias = sent.value.dense(), sent.value.bias
-        sums = np.array([dense[features(t)].sum() + bias for t in texts], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
+        sums = np.array([dense[features(t.as_py())].sum() + bias for t in texts], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
 
     return docs.withColumn(name, scored(F.col(text)))
 

@@ -189,3 +189,15 @@ def test_pipeline_keeps_a_clashing_score(spark, tmp_path):
     spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     frame = spark.createDataFrame([(1, "a house", 0.25, "s")], "doc_id bigint, text string, _score double, _SCORE_ string")
     assert [tuple(r) for r in corpus_pipeline.drop_toxic(spark, frame, top).collect()] == [(1, "a house", 0.25, "s")]
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    from dwellgraph.llm import bpe, common, toxicity
+
+    toxicity.features("some plain words")
+    assert len(common.held("words", dict)) == 3
+    ranks = {bytes([b]): b for b in range(256)}
+    encoder = bpe.encoder_of(ranks, r"\S+|\s+")
+    assert bpe.encoder_of(ranks, r"\S+|\s+") is encoder and list(common._HELD) != ["words"]
+    toxicity.features("plain")
+    assert list(common._HELD) == ["words"] and len(common.held("words", dict)) == 1
