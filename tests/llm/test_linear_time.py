@@ -201,3 +201,17 @@ def test_a_worker_keeps_the_memory_of_one_operator():
     assert bpe.encoder_of(ranks, r"\S+|\s+") is encoder and list(common._HELD) != ["words"]
     toxicity.features("plain")
     assert list(common._HELD) == ["words"] and len(common.held("words", dict)) == 1
+
+
+def test_lines_are_looked_up_without_another_shuffle(spark):
+    """A table in buckets is joined and grouped by its column where it lies, and leaves no name behind."""
+    from dwellgraph.llm import common, line_dedup
+
+    rows = spark.createDataFrame([(i, f"a line of the house with the number {i}") for i in range(300)], "lid long, norm string")
+    kept = common.bucketed(rows, "distinct", "lid", "zstd")
+    found = kept.join(spark.range(0, 300, 3).withColumnRenamed("id", "lid").hint("shuffle_hash"), "lid", "left_semi")
+    plan = line_dedup.minwise(found, line_dedup._SEEDS[:3])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and sorted(r.lid for r in found.collect()) == list(range(0, 300, 3))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect())) and not spark.catalog.listTables()
+    one = line_dedup.dedup_lines(docs(spark, [(1, "a line alone\n\nand one more"), (2, None)])).orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.n_removed) for r in one] == [("a line alone\n\nand one more", 3, 0), (None, 0, 0)]
