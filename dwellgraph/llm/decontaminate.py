@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ SIFT_HASHES = 2_000_000
 #: Bytes of item tokens that are sent to the tasks at most; beyond, they are joined.
 ITEM_BYTES = 64 << 20
 
+#: Texts are hashed together up to so many tokens; a longer one is hashed alone.
+TOKENS_AT_ONCE = 1 << 15
+
 #: Scripts that are written without spaces: each character is a token (code point ranges, fixed values).
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
@@ -57,6 +60,40 @@ def spaced_hashes(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np
     return np.concatenate(hashes), np.concatenate(places)
 
 
+def together(texts: Iterator[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first, texts) of neighbouring texts' tokens, TOKENS_AT_ONCE or a single text at most."""
+    first, part, size = 0, [], 0
+    for words in texts:
+        if part and size + len(words) > TOKENS_AT_ONCE:
+            yield first, part
+            first, part, size = first + len(part), [], 0
+        part.append(words)
+        size += len(words)
+    if part:
+        yield first, part
+
+
+def hashes_of_texts(texts: list[np.ndarray], masks: tuple[str, ...], sift: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, position), in this order, of every placement of every mask within a text whose hash sift names by its index.
+
+    The texts are hashed as one sequence, which costs less for short ones; placements across borders are left out.
+    """
+    words, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    found = []
+    for mask in masks:
+        h, at = spaced_hashes(words, (mask,))
+        h = h.view(np.int64)
+        near = sift(h)
+        h, at = h[near], at[near]
+        own = np.searchsorted(ends, at, "right")
+        inside = at + len(mask) <= ends[own]
+        own, h, at = own[inside], h[inside], at[inside]
+        found.append((own, h, at - ends[own] + np.array([len(t) for t in texts])[own]))
+    own, h, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((at, h, own))
+    return own[order], h[order], at[order]
+
+
 def best_overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
     """(start in the text, end, equal tokens) of the stretch in which item[i] faces text[diagonal + i] with most equal tokens.
 
@@ -129,22 +166,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
         if known is not None:
             flags = np.zeros(1 << 22, bool)
             flags[known & (len(flags) - 1)] = True
+
+        def sifted(h: np.ndarray) -> np.ndarray:
+            if known is None:
+                return np.arange(len(h))
+            near = np.flatnonzero(flags[h & (len(flags) - 1)])
+            return near[known[np.minimum(np.searchsorted(known, h[near]), len(known) - 1)] == h[near]] if len(near) else near
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                h, at = spaced_hashes(tokens(batch.column(1)[i].as_py()), masks)
-                h = h.view(np.int64)
-                if known is not None:
-                    near = np.flatnonzero(flags[h & (len(flags) - 1)])
-                    h, at = h[near], at[near]
-                    if len(h):
-                        found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                        h, at = h[found], at[found]
+            keys = batch.column(0)
+            for low, part in together(tokens(x.as_py()) for x in batch.column(1)):
+                own, h, at = hashes_of_texts(part, masks, sifted)
                 if len(h):  # one row for a hash in a text, with all its places
-                    order = np.argsort(h, kind="stable")
-                    h, at = h[order], at[order]
-                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]))
                     places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(first), batch.schema.field(0).type), pa.array(h[first]), places], ["doc", "h", "places"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(low + own[first])), pa.array(h[first]), places], ["doc", "h", "places"])
 
     def diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

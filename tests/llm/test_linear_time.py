@@ -215,3 +215,18 @@ def test_lines_are_looked_up_without_another_shuffle(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect())) and not spark.catalog.listTables()
     one = line_dedup.dedup_lines(docs(spark, [(1, "a line alone\n\nand one more"), (2, None)])).orderBy("doc_id").collect()
     assert [(r.text, r.n_lines, r.n_removed) for r in one] == [("a line alone\n\nand one more", 3, 0), (None, 0, 0)]
+
+
+def test_texts_hashed_together_have_the_hashes_of_each():
+    """Decontamination: no placement reaches over a border, and short, empty and long texts are all there."""
+    from dwellgraph.llm import decontaminate as d
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 1, 4, 5, 6, 7, 8, 9, 30, 0, 400, d.TOKENS_AT_ONCE + 5, 3, 0)]
+    masks, got = (*d.MASKS, "1", "111"), []
+    for low, part in d.together(iter(texts)):
+        got += [(low + int(i), int(h), int(at)) for i, h, at in zip(*d.hashes_of_texts(part, masks, lambda h: np.flatnonzero(h % 2 == 0)), strict=True)]
+    want = [(i, int(h), int(at)) for i, t in enumerate(texts) for h, at in zip(*d.spaced_hashes(t, masks), strict=True)]
+    want = [(i, h - (1 << 64) if h >> 63 else h, at) for i, h, at in want if h % 2 == 0]
+    assert got == sorted(want)
+    assert [len(part) for _, part in d.together(iter(texts))] == [11, 1, 2]
